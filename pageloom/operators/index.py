@@ -100,12 +100,13 @@ def resolve_ids(paths: DataFrame, current: DataFrame) -> DataFrame:
     ``paths`` must be distinct. Only paths and ids are read, never the texts.
     """
     known = current.select("path", "id")
-    matched = paths.select("path").join(known, "path", "left")
-    fresh = assign_ids(matched.where(F.col("id").isNull()), known)
-    return (
-        matched.where(F.col("id").isNotNull())
-        .withColumn("status", F.lit(UPDATED))
-        .unionByName(fresh.withColumn("status", F.lit(NEW)))
+    paths = paths.select("path")
+    # Reduced to the incoming paths first: a small batch then goes to the scan of
+    # a large index, not the index through a shuffle.
+    updated = known.join(paths, "path", "left_semi")
+    fresh = assign_ids(paths.join(updated, "path", "left_anti"), known)
+    return updated.withColumn("status", F.lit(UPDATED)).unionByName(
+        fresh.withColumn("status", F.lit(NEW))
     )
 
 
@@ -115,10 +116,14 @@ def with_ids(incoming: DataFrame, current: DataFrame) -> DataFrame:
     return last_per_path(incoming).join(ids, "path")
 
 
+def without_paths(documents: DataFrame, paths: DataFrame) -> DataFrame:
+    """The documents that have none of the given ``path`` values."""
+    return documents.join(paths.select("path"), "path", "left_anti").select(*DOCUMENT_COLUMNS)
+
+
 def replace_documents(current: DataFrame, changed: DataFrame) -> DataFrame:
     """``current`` with the rows of ``changed`` in place of those with the same path."""
-    kept = current.join(changed.select("path"), "path", "left_anti")
-    return kept.select(*DOCUMENT_COLUMNS).unionByName(changed.select(*DOCUMENT_COLUMNS))
+    return without_paths(current, changed).unionByName(changed.select(*DOCUMENT_COLUMNS))
 
 
 def upsert_documents(current: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -127,7 +132,8 @@ def upsert_documents(current: DataFrame, incoming: DataFrame) -> DataFrame:
     A known path keeps its id and gets the new fields; of a path that comes more
     than once the row with the highest ``seq`` counts.
     """
-    return replace_documents(current, with_ids(incoming, current))
+    kept = without_paths(current, incoming.select("path").distinct())
+    return kept.unionByName(with_ids(incoming, current).select(*DOCUMENT_COLUMNS))
 
 
 def save_embeddings(vectors: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -36,6 +36,8 @@ CORPUS_BLOCK = 20_000
 QUERY_BLOCK = 20_000
 # Entries of the distance matrix that is in memory at a time.
 _MATRIX_CELLS = 4_000_000
+# Results of a single search up to which their ids are fetched.
+_FETCHED_K = 1_000
 # Parts in which the hits of one query are merged before the final ranking.
 _MERGE_PARTS = 16
 
@@ -285,18 +287,37 @@ def search_by_vector(
     A vector is reduced to its distance before the join with the documents, so
     the join moves two numbers per document and no vector and no text.
     """
-    _check_k(k)
     known = in_category(documents, category).select(F.col("id").alias("doc_id"))
-    best = (
-        score_vectors(vectors, query)
-        .join(known, "doc_id")
-        .orderBy("score", "doc_id")
-        .limit(k)
-        .withColumn("rank", F.row_number().over(Window.orderBy("score", "doc_id")))
-        .withColumn("query_id", F.lit(0).cast("long"))
-    )
-    # k rows at most, so they are sent to the scan of the documents.
-    return with_documents(best, in_category(documents, category), small_hits=True).orderBy("rank")
+    scores = score_vectors(vectors, query).join(known, "doc_id")
+    return _first_documents(scores, in_category(documents, category), k)
+
+
+def search_corpus(
+    corpus: DataFrame,
+    documents: DataFrame,
+    query: Sequence[float],
+    category: str | None = None,
+    k: int = DEFAULT_K,
+) -> DataFrame:
+    """``search_by_vector`` on a stored corpus: one scan, of one category if one is given."""
+    scores = score_vectors(in_category(corpus, category), query)
+    return _first_documents(scores, in_category(documents, category), k)
+
+
+def _first_documents(scores: DataFrame, documents: DataFrame, k: int) -> DataFrame:
+    """The documents with the k lowest of ``(doc_id, score)``, in order."""
+    _check_k(k)
+    first = scores.orderBy("score", "doc_id").limit(k)
+    if k <= _FETCHED_K:
+        # k pairs of numbers are fetched, so that the ids reach the scan of the
+        # documents as a filter and only the parts with one of them are read.
+        found = first.collect()
+        documents = documents.where(F.col("id").isin([row["doc_id"] for row in found]))
+        first = scores.sparkSession.createDataFrame(found, scores.schema)
+    ranked = first.withColumn(
+        "rank", F.row_number().over(Window.orderBy("score", "doc_id"))
+    ).withColumn("query_id", F.lit(0).cast("long"))
+    return with_documents(ranked, documents, small_hits=k <= _FETCHED_K).orderBy("rank")
 
 
 def search_category(

@@ -38,7 +38,10 @@ def with_(ctes: list[tuple[str, str]], final: str) -> str:
 
 # ----------------------------------------------------------------------- paths
 
-PATHS = ("paths", t.PATHS_SQL)
+PATHS = (
+    "paths",
+    f"SELECT unnest([{', '.join(t.PATH_FORMS_SQL)}]) AS path FROM documents UNION ALL SELECT url FROM pages",
+)
 SUFFIX = r"(\.html|\.md)$"
 
 
@@ -425,6 +428,7 @@ ORACLES["l2_distances"] = with_(
 )
 ORACLES["vector_search"] = _single(None, 5)
 ORACLES["vector_search_category"] = _single("en", 7)
+ORACLES["snapshot_search"] = _single("en", 7)
 ORACLES["capped_topk"] = _single("de", 10)
 ORACLES["batch_topk"] = _many(5, f"SELECT {FOUND_SHORT} FROM found")
 ORACLES["batch_topk_blocks"] = _many(10, f"SELECT {FOUND_SHORT} FROM found")

@@ -18,6 +18,7 @@ from pageloom.plans import tables as t
 from pageloom.plans.build import BuildSettings, build_index
 from pageloom.session import new_dir, with_computed
 from pageloom.sources.pages import pages_from_table, select_category
+from pageloom.sources.snapshots import read_corpus, read_index, write_index
 from pageloom.streaming.incremental import current_index, index_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -245,6 +246,16 @@ def capped_topk(spark, sf_dir):
     return _rounded(found)
 
 
+@query
+def snapshot_search(spark, sf_dir):
+    """The category-bound search on an index written to storage and read back."""
+    directory = new_dir(spark, "index")
+    write_index(t.index_tables(spark, sf_dir), directory)
+    documents, corpus = read_index(spark, directory).documents, read_corpus(spark, directory)
+    vector = _query_vector(spark, sf_dir)
+    return _rounded(search.search_corpus(corpus, documents, vector, "en", 7))
+
+
 def _batch(spark: SparkSession, sf_dir: str, k: int = 5, **limits) -> tuple[DataFrame, DataFrame]:
     index = t.index_tables(spark, sf_dir)
     requests = t.search_requests(spark, sf_dir)

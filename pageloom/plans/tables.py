@@ -40,16 +40,16 @@ NOISY_SQL = """CASE doc_id % 10
  WHEN 7 THEN text || chr(10) || 'exampl' || chr(10) || 've next'
  WHEN 8 THEN text || chr(10) || 'one' || chr(9) || 'two ' || chr(9) || ' three.' || chr(13) || chr(10) || 'Four'
  ELSE text END"""
-# Paths of all kinds for the path functions, from every document and page.
-PATHS_SQL = f"""
- SELECT {PATH_SQL} AS path FROM documents
- UNION SELECT '../docs/' || lang || '/' || source || '.example.net/' || CAST(doc_id AS VARCHAR(20)) || '.md' FROM documents
- UNION SELECT '../docs/' || lang || '/genindex-' || source || '/Page' || CAST(doc_id AS VARCHAR(20)) || '.HTM' FROM documents
- UNION SELECT '/mirror/' || {PATH_SQL} FROM documents
- UNION SELECT '../docs/' || upper(lang) || '/' || source || '-' || CAST(doc_id AS VARCHAR(20)) FROM documents
- UNION SELECT '../docs/' || lang || CAST(doc_id AS VARCHAR(20)) || '.html' FROM documents
- UNION SELECT '/other/docs/' || lang || '/' || source || '/research/' || CAST(doc_id AS VARCHAR(20)) || '.txt' FROM documents
- UNION SELECT url FROM pages"""
+# Paths of all kinds for the path functions, from every document.
+PATH_FORMS_SQL = (
+    PATH_SQL,
+    "'../docs/' || lang || '/' || source || '.example.net/' || CAST(doc_id AS VARCHAR(20)) || '.md'",
+    "'../docs/' || lang || '/genindex-' || source || '/Page' || CAST(doc_id AS VARCHAR(20)) || '.HTM'",
+    f"'/mirror/' || {PATH_SQL}",
+    "'../docs/' || upper(lang) || '/' || source || '-' || CAST(doc_id AS VARCHAR(20))",
+    "'../docs/' || lang || CAST(doc_id AS VARCHAR(20)) || '.html'",
+    "'/other/docs/' || lang || '/' || source || '/research/' || CAST(doc_id AS VARCHAR(20)) || '.txt'",
+)
 MARKDOWN_SQL = """'---' || chr(10) || 'title: ' || source || chr(10) || '---' || chr(10)
  || '# Heading of **' || lang || '**' || chr(10) || chr(10) || '> quoted [link](https://example.org/a) & `code`' || chr(10)
  || chr(10) || '- item *one*' || chr(10) || '1. item <b>two</b> ![image](a.png)' || chr(10)
@@ -95,13 +95,10 @@ def index_tables(spark: SparkSession, sf_dir: str) -> Index:
 
 def index_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of all kinds, each once."""
-    documents = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    pages = read_table(spark, sf_dir, "pages").select("url")
-    return spark.sql(
-        PATHS_SQL.replace("FROM documents", "FROM {documents}").replace("FROM pages", "FROM {pages}"),
-        documents=documents,
-        pages=pages,
-    )
+    documents = read_table(spark, sf_dir, "documents")
+    forms = F.array(*[F.expr(form) for form in PATH_FORMS_SQL])
+    pages = read_table(spark, sf_dir, "pages")
+    return documents.select(F.explode(forms).alias("path")).union(pages.select("url"))
 
 
 def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

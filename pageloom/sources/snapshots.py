@@ -15,9 +15,14 @@ def write_index(index: Index, directory: str) -> None:
     """Write the documents, the vectors and the search corpus of an index.
 
     The corpus holds the join that every search needs, by category, so that a
-    search reads one table and a category-bound search one part of it.
+    search reads one table and a category-bound search one part of it. Documents
+    are looked up by id and by path; Bloom filters on both let a lookup of a few
+    keys skip the parts of the table that have none of them.
     """
-    index.documents.write.partitionBy("category").parquet(f"{directory}/documents")
+    documents = index.documents.write.partitionBy("category")
+    for key in ("id", "path"):
+        documents = documents.option(f"parquet.bloom.filter.enabled#{key}", "true")
+    documents.parquet(f"{directory}/documents")
     index.vectors.write.parquet(f"{directory}/vectors")
     written = read_index(index.documents.sparkSession, directory)
     corpus = searchable(written.documents, written.vectors)
