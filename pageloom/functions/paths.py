@@ -6,9 +6,6 @@ parameter: it has to be spelled as it is in the paths, final slash included.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,7 +17,7 @@ from pageloom.config import (
     UNKNOWN_CATEGORY,
     ScanRules,
 )
-from pageloom.functions.strings import bind
+from pageloom.functions.strings import bind, constant
 
 # Fixed value: where a mirrored path is recognised whatever its base.
 _DOCS_PATH = r"(?d)/docs/[^/]+/([^/]+)/(.*)$"
@@ -33,7 +30,7 @@ def file_name(path: Column) -> Column:
 
 def detect_category(path: Column, known: tuple = KNOWN_CATEGORIES) -> Column:
     """The first known category, in the order of ``known``, that is a directory of the path."""
-    names = F.array(*[F.lit(name) for name in known])
+    names = constant(known, "array<string>")
     return bind(
         F.split(F.lower(path), "/"),
         lambda parts: F.coalesce(
@@ -80,7 +77,7 @@ def allowed_domain(path: Column, base: str, blocked: tuple = BLOCKED_DOMAINS) ->
     endings = [*blocked, *(entry[1:] for entry in blocked if entry.startswith("*."))]
     if not endings:
         return F.lit(True)
-    table = F.array(*[F.lit(ending) for ending in endings])
+    table = constant(endings, "array<string>")
     return bind(
         extract_domain(path, base),
         lambda domain: (domain == "") | ~F.exists(table, lambda end: F.endswith(domain, end)),
@@ -91,17 +88,23 @@ def skipped_file(
     path: Column, name_parts: tuple = SKIP_NAME_PARTS, path_parts: tuple = SKIP_PATH_PARTS
 ) -> Column:
     """True for index, search and error pages, known by parts of their name or path."""
-    name, whole = F.lower(file_name(path)), F.lower(path)
-    tests = [F.contains(name, F.lit(part)) for part in name_parts]
-    tests += [F.contains(whole, F.lit(part)) for part in path_parts]
-    return reduce(or_, tests, F.lit(False))
+    return _has_any(F.lower(file_name(path)), name_parts) | _has_any(F.lower(path), path_parts)
+
+
+def _has_any(text: Column, parts: tuple) -> Column:
+    return bind(
+        text,
+        lambda t: F.exists(constant(parts, "array<string>"), lambda part: F.contains(t, part)),
+    )
 
 
 def scanned_file(path: Column, suffixes: tuple) -> Column:
     """True for names with a scanned suffix and for names without any dot."""
-    name = F.lower(file_name(path))
-    tests = [F.endswith(name, F.lit(suffix)) for suffix in suffixes]
-    return reduce(or_, tests, ~F.contains(name, F.lit(".")))
+    return bind(
+        F.lower(file_name(path)),
+        lambda name: ~F.contains(name, F.lit("."))
+        | F.exists(constant(suffixes, "array<string>"), lambda end: F.endswith(name, end)),
+    )
 
 
 def scan_filter(path: Column, rules: ScanRules) -> Column:

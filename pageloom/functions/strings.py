@@ -7,6 +7,7 @@ line), because that is what the documented results are defined by.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable
 
@@ -33,6 +34,14 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def constant(value, ddl: str) -> Column:
+    """A nested Python value as a constant column of the given type.
+
+    One call into the JVM however large the value; the optimizer folds it.
+    """
+    return F.from_json(F.lit(json.dumps(value)), ddl)
+
+
 def java_regex(pattern: str, flags: str = "") -> str:
     """A Python pattern as a Java one with the same meaning on Unicode text."""
     translated = (
@@ -97,16 +106,11 @@ def remove_patterns(text: Column, rules: Iterable, flags: str = "i") -> Column:
     rules = [_with_hints(rule) for rule in rules]
     if not rules:
         return text
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(java_regex(pattern, flags)).alias("regex"),
-                F.array(*[F.lit(hint) for hint in hints]).alias("hints"),
-            )
-            for pattern, hints in rules
-        ]
+    table = constant(
+        [{"regex": java_regex(pattern, flags), "hints": hints} for pattern, hints in rules],
+        "array<struct<regex string, hints array<string>>>",
     )
-    all_hints = F.array(*[F.lit(hint) for _, hints in rules for hint in hints])
+    all_hints = constant([hint for _, hints in rules for hint in hints], "array<string>")
 
     def state(value: Column) -> Column:
         return bind(value, lambda t: F.struct(t.alias("text"), _fold(t).alias("folded")))

@@ -151,13 +151,13 @@ _cleaning("clean_text", strings.clean_text)
 
 @query
 def doc_stats(spark, sf_dir):
-    documents = t.index_documents(spark, sf_dir)
-    text = F.col("text")
+    documents = t.read_documents(spark, sf_dir, "doc_id", "text", "lang", "source")
+    text, category = F.col("text"), F.col("lang")
     return documents.select(
-        "id",
-        policy.is_valid(F.col("path"), text, F.col("category")).alias("is_valid"),
+        F.col("doc_id").alias("id"),
+        policy.is_valid(F.expr(t.PATH_SQL), text, category).alias("is_valid"),
         policy.has_content(text).alias("has_content"),
-        F.expr("url").isNotNull().alias("has_url"),
+        F.expr(t.URL_SQL).isNotNull().alias("has_url"),
         policy.text_stats(text).alias("stats"),
     ).select("id", "is_valid", "has_content", "has_url", "stats.*")
 

@@ -62,7 +62,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The documents, in enough tasks for work on their texts."""
-    return spread(read_table(spark, sf_dir, "documents").select(*(columns or ("doc_id", "text"))))
+    documents = read_table(spark, sf_dir, "documents").select(*(columns or ("doc_id", "text")))
+    return spread(documents, "doc_id")
 
 
 def noisy_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +104,7 @@ def index_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The crawled pages as ``(path, raw, seq)``."""
-    return pages_from_table(spread(read_table(spark, sf_dir, "pages")), BASE)
+    return pages_from_table(spread(read_table(spark, sf_dir, "pages"), "page_id"), BASE)
 
 
 def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
