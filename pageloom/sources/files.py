@@ -12,18 +12,19 @@ from pageloom.functions.extract import decode_text
 from pageloom.functions.paths import scan_filter
 
 
-def _hidden_entries(spark: SparkSession, directory: str, depth: int) -> list[str]:
-    """Files and directories whose names start with ``_`` or ``.``, by glob patterns.
+def _hidden_directories(spark: SparkSession, directory: str, depth: int) -> list[str]:
+    """Directories whose names start with ``_`` or ``.``, by glob patterns.
 
-    A file source leaves such names out of what it finds below a directory, but
-    takes them when they are named themselves.
+    A file source leaves them out of what it finds below a directory, but takes
+    them when they are named themselves.
     """
     jvm = spark._jvm
     found = []
     for level in range(depth):
         pattern = jvm.org.apache.hadoop.fs.Path(f"{directory.rstrip('/')}{'/*' * level}/[_.]*")
         system = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
-        found += [status.getPath().toString() for status in system.globStatus(pattern) or []]
+        entries = system.globStatus(pattern) or []
+        found += [entry.getPath().toString() for entry in entries if entry.isDirectory()]
     return found
 
 
@@ -33,11 +34,14 @@ def scan_files(
     """``(path, raw)`` of the files below the directories that pass the scan rules.
 
     Paths are tested before any content is read. ``hidden_depth`` is the number
-    of directory levels in which to look for names that start with ``_`` or
-    ``.``, such as ``_modules/``.
+    of directory levels in which to look for directories whose names start with
+    ``_`` or ``.``, such as ``_modules/``. Files with such names are never read;
+    a table of pages has no such limit.
     """
     directories = [str(directory) for directory in directories]
-    hidden = [e for d in directories for e in _hidden_entries(spark, d, hidden_depth)]
+    hidden = [
+        found for d in directories for found in _hidden_directories(spark, d, hidden_depth)
+    ]
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)

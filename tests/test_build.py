@@ -1,0 +1,229 @@
+import sys
+
+import numpy as np
+import pytest
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
+
+from helpers import rows
+from pageloom import config
+from pageloom.config import ScanRules, Thresholds, embed_text_cap
+from pageloom.operators.embed import HashingEncoder, encode_batch
+from pageloom.operators.index import DOCUMENTS_SCHEMA, VECTORS_SCHEMA, Index
+from pageloom.operators.search import search_by_vector
+from pageloom.plans.build import BuildSettings, build_index, extract_pages
+from pageloom.session import spread, with_computed
+from pageloom.streaming.incremental import batch_writer, compact, current_index, index_stream
+
+# The encoder below has to reach the Python workers.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+BASE = "/m/docs/"
+LONG = "".join(f"<p>Sentence number {i} tells something about components.</p>" for i in range(12))
+
+
+def page(path, raw, seq):
+    return (f"{BASE}{path}", raw, seq)
+
+
+PAGES = [
+    page("vue/vuejs.org/guide.html", f"<article><h1>Guide</h1>{LONG}</article>", 1),
+    page("python/docs.python.org/a.html", f"<body>{LONG}python</body>", 2),
+    page("python/docs.python.org/short.html", "<body>short</body>", 3),
+    page("python/docs.python.org/blank.html", "<body> <nav>menu</nav> </body>", 4),
+    page("python/docs.python.org/null.html", None, 5),
+    page("python/docs.python.org/search.html", f"<body>{LONG}</body>", 6),
+    page("python/segment.com/a.html", f"<body>{LONG}</body>", 7),
+    page("vue/vuejs.org/guide.html", f"<article>{LONG}second</article>", 8),
+    page("cdk/docs.aws.amazon.com/cdk/b.html", "<p>" + "</p><p>".join(["one two three four five six"] * 1 + [f"line {i} of a short page today" for i in range(7)]) + "</p>", 9),
+]
+
+
+class CountingEncoder:
+    """Length of the text, in two numbers."""
+
+    def __call__(self, texts):
+        return np.array([[len(text), 1.0] for text in texts], dtype=np.float32)
+
+
+SETTINGS = BuildSettings(scan=ScanRules(base=BASE), encoder=HashingEncoder(16))
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    return spark.createDataFrame(PAGES, "path string, raw string, seq long")
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return Index(spark.createDataFrame([], DOCUMENTS_SCHEMA), spark.createDataFrame([], VECTORS_SCHEMA))
+
+
+@pytest.fixture(scope="module")
+def built(pages, empty):
+    return build_index(pages, empty, SETTINGS)
+
+
+def test_extracted_pages_and_reasons(pages):
+    reasons = {r["path"].removeprefix(BASE): r["skip_reason"] for r in extract_pages(pages, SETTINGS).collect()}
+    assert reasons == {
+        "vue/vuejs.org/guide.html": None,
+        "python/docs.python.org/a.html": None,
+        "python/docs.python.org/short.html": "not_meaningful",
+        "python/docs.python.org/blank.html": "no_text",
+        "python/docs.python.org/null.html": "no_text",
+        "cdk/docs.aws.amazon.com/cdk/b.html": None,
+    }
+
+
+def test_documents(built):
+    found = {r["url"]: r for r in built.index.documents.collect()}
+    assert sorted(found) == [
+        "https://docs.aws.amazon.com/cdk/b", "https://docs.python.org/a", "https://vuejs.org/guide",
+    ]
+    assert found["https://vuejs.org/guide"]["text"].endswith("second")
+    assert {r["category"] for r in found.values()} == {"vue", "python", "cdk"}
+    assert sorted(r["id"] for r in found.values()) == [1, 2, 3]
+
+
+def test_statistics(pages, built):
+    expected = {
+        "new_documents": 3,
+        "updated_documents": 1,  # one page comes twice
+        "skipped_documents": 3,
+        "skipped_no_text": 2,
+        "skipped_not_meaningful": 1,
+        "total_documents": 4,
+        "candidate_files": 7,
+    }
+    assert built.stats.head().asDict() == expected
+    again = build_index(pages, built.index, SETTINGS)
+    assert again.stats.head().asDict() == {**expected, "new_documents": 0, "updated_documents": 4}
+    assert rows(again.index.documents) == rows(built.index.documents)
+    assert rows(again.index.vectors) == rows(built.index.vectors)
+
+
+def test_search_in_a_built_index(built):
+    text = built.index.documents.where("category = 'python'").head()["text"]
+    query = HashingEncoder(16)([text])[0].tolist()
+    first = search_by_vector(built.index.documents, built.index.vectors, query, k=1).head()
+    assert first["category"] == "python" and first["score"] == pytest.approx(0, abs=1e-6)
+
+
+def test_parts_can_be_replaced(pages, empty):
+    settings = BuildSettings(
+        scan=ScanRules(base=BASE, blocked_domains=(), skip_name_parts=()),
+        extract=lambda path, raw: F.upper(F.coalesce(raw, F.lit(""))),
+        to_url=lambda path, base: F.concat(F.lit("mirror:"), path),
+        categories=("docs",),
+        policy=config.ContentPolicy(general=Thresholds(1, 1, 1, 1), relaxed=Thresholds(10**6, 1, 1, 1)),
+        encoder=CountingEncoder(),
+        text_cap=30,
+    )
+    built = build_index(pages, empty, settings)
+    documents = built.index.documents.collect()
+    assert len(documents) == 6
+    assert all(r["text"] == r["text"].upper() and r["url"] == f"mirror:{r['path']}" for r in documents)
+    assert {r["category"] for r in documents} == {"docs"}
+    lengths = {r["id"]: min(30, len(r["text"])) for r in documents}
+    assert {r["doc_id"]: r["embedding"] for r in built.index.vectors.collect()} == {
+        i: [float(n), 1.0] for i, n in lengths.items()
+    }
+
+
+def test_hashing_encoder(spark):
+    texts = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None), (4, "A, b! a"), (5, "a b a c")], "doc_id long, text string")
+    found = {r["doc_id"]: np.array(r["embedding"]) for r in encode_batch(texts, HashingEncoder(32), batch_size=2).collect()}
+    assert not found[2].any() and not found[3].any()
+    assert np.linalg.norm(found[1]) == pytest.approx(1)
+    assert (found[1] == found[4]).all() and (found[1] != found[5]).any()
+
+
+def test_text_cap_setting(spark):
+    assert embed_text_cap(spark) == config.DEFAULT_TEXT_CAP
+    try:
+        for value, cap in (("77", 77), ("many", config.DEFAULT_TEXT_CAP)):
+            spark.conf.set(config.TEXT_CAP_CONF, value)
+            assert embed_text_cap(spark) == cap
+    finally:
+        spark.conf.unset(config.TEXT_CAP_CONF)
+
+
+def test_spread_only_widens_narrow_tables(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "narrow"))
+    spark.range(1000).repartition(64).write.parquet(str(tmp_path / "wide"))
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(spark.read.parquet(str(tmp_path / "narrow")), "id").rdd.getNumPartitions() == cores
+    with_files = spark.read.option("maxPartitionBytes", 1)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 600)
+    try:
+        wide = with_files.parquet(str(tmp_path / "wide"))
+        assert wide.rdd.getNumPartitions() >= cores
+        assert "Exchange" not in spread(wide, "id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_computed_column_is_not_repeated_in_filters(spark):
+    frame = with_computed(spark.createDataFrame([("a",)], "text string"), "text", F.regexp_replace("text", "a", "marker"))
+    optimized = frame.where("length(text) > 2").select("text")._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("marker") == 1
+
+
+# ---------------------------------------------------------------------- stream
+
+
+def write_pages(spark, folder, name, given):
+    frame = spark.createDataFrame(given, "path string, raw string, seq long").coalesce(1)
+    frame.write.parquet(f"{folder}/{name}")
+
+
+def documents_without_ids(index):
+    return rows(index.documents.select("path", "url", "text", "category"))
+
+
+def test_stream_equals_batches(spark, tmp_path, built):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write_pages(spark, source, "1", PAGES[:4])
+    write_pages(spark, source, "2", PAGES[4:])
+
+    def run():
+        stream = (
+            spark.readStream.schema("path string, raw string, seq long")
+            .option("maxFilesPerTrigger", 1)
+            .parquet(f"{source}/*")
+        )
+        index_stream(stream, out, str(tmp_path / "checkpoint"), SETTINGS).awaitTermination()
+
+    run()
+    index = current_index(spark, out)
+    assert documents_without_ids(index) == documents_without_ids(built.index)
+    ids = sorted(r["id"] for r in index.documents.collect())
+    assert ids == [1, 2, 3]
+    assert sorted(r["doc_id"] for r in index.vectors.collect()) == ids
+
+    before = {r["path"]: r["id"] for r in index.documents.collect()}
+    changed = page("vue/vuejs.org/guide.html", f"<article>{LONG}third</article>", 20)
+    write_pages(spark, source, "3", [changed, page("vue/vuejs.org/new.html", f"<p>{LONG}</p>", 21)])
+    run()
+    after = {r["path"]: r for r in current_index(spark, out).documents.collect()}
+    assert {path: row["id"] for path, row in after.items() if path in before} == before
+    assert after[changed[0]]["text"].endswith("third")
+    assert after[f"{BASE}vue/vuejs.org/new.html"]["id"] == 4
+
+    compact(spark, out, str(tmp_path / "compact"))
+    compacted = current_index(spark, str(tmp_path / "compact"))
+    assert rows(compacted.documents) == rows(current_index(spark, out).documents)
+    assert rows(compacted.vectors) == rows(current_index(spark, out).vectors)
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path, pages):
+    out = str(tmp_path / "out")
+    write = batch_writer(out, SETTINGS)
+    write(pages.where("seq < 3"), 0)
+    write(pages, 1)
+    index = current_index(spark, out)
+    documents, vectors = rows(index.documents), rows(index.vectors)
+    write(pages, 1)
+    index = current_index(spark, out)
+    assert rows(index.documents) == documents and rows(index.vectors) == vectors
