@@ -25,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.config import DEFAULT_K, MAX_K
+from pageloom.config import DEFAULT_K, DEFAULT_TEXT_CAP, MAX_K
+from pageloom.operators.embed import Encoder, encode_batch
+from pageloom.session import materialize
 
 HITS_SCHEMA = "query_id long, doc_id long, score double"
 
@@ -363,6 +365,27 @@ def search_batch(
     return with_documents(hits, documents, small_hits=few and k <= MAX_K)
 
 
+def search_texts(
+    documents: DataFrame,
+    vectors: DataFrame,
+    queries: DataFrame,
+    encoder: Encoder,
+    k: int = DEFAULT_K,
+    text_cap: int = DEFAULT_TEXT_CAP,
+) -> DataFrame:
+    """Search results for ``(query_id, query, category)``, texts still to be encoded.
+
+    ``encoder`` is the one the vectors were made with.
+    """
+    texts = queries.select(F.col("query_id").alias("doc_id"), F.col("query").alias("text"))
+    encoded = encode_batch(texts, encoder, text_cap).withColumnRenamed("doc_id", "query_id")
+    # The encoder runs once: what it gives is counted, fetched or shuffled.
+    encoded = materialize(encoded, "queries")
+    return search_batch(
+        documents, vectors, queries.select("query_id", "category").join(encoded, "query_id"), k
+    )
+
+
 def result_counts(results: DataFrame, queries: DataFrame) -> DataFrame:
     """``(query_id, total_results)``, 0 for a query without any result."""
     counts = results.groupBy("query_id").agg(F.count("*").alias("total_results"))

@@ -563,6 +563,24 @@ ORACLES["embed_hashed"] = with_(
     [NOISY, *hash_ctes("noisy")], "SELECT doc_id, position, value::DOUBLE AS value FROM hashed"
 )
 
+ORACLES["text_search"] = with_(
+    [
+        DOCS,
+        WEB,
+        *html_ctes("web"),
+        # Pages have ids below zero here, to be hashed along with the documents.
+        (
+            "texts",
+            "SELECT id AS doc_id, text FROM docs UNION ALL SELECT -1 - seq, text FROM html_text",
+        ),
+        *hash_ctes("texts"),
+        ("all_vectors", "SELECT doc_id, list(value ORDER BY position) AS embedding FROM hashed GROUP BY doc_id"),
+        ("requests", "SELECT -1 - doc_id AS query_id, 'en' AS category, embedding FROM all_vectors WHERE doc_id < 0"),
+        *search_ctes("docs", "all_vectors", "requests", 3),
+    ],
+    f"SELECT {FOUND_SHORT} FROM found",
+)
+
 # Pages to documents; the pages of all kinds but Markdown hold HTML, and those
 # with another suffix never pass the scan.
 PAGES = [

@@ -426,6 +426,22 @@ def embed_hashed(spark, sf_dir):
     )
 
 
+@query
+def text_search(spark, sf_dir):
+    """Every page as a query text: the documents nearest to it, by the default encoder."""
+    encoder = HashingEncoder(DIM)
+    documents = t.index_documents(spark, sf_dir)
+    texts = t.read_documents(spark, sf_dir)
+    pages = t.web_pages(spark, sf_dir)
+    queries = pages.select(
+        F.col("seq").alias("query_id"),
+        extract.html_main_text(F.col("raw")).alias("query"),
+        F.lit("en").alias("category"),
+    )
+    found = search.search_texts(documents, encode_batch(texts, encoder), queries, encoder, 3)
+    return _rounded(found).drop("text")
+
+
 def _extract_pages(path, raw):
     # Most of the given pages have no suffix, and all have dots in their path.
     return extract.extract_text(path, raw, strings.clean_text, sniff_by_name=True)

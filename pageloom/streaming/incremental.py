@@ -1,9 +1,9 @@
 """An index that follows a stream of pages.
 
 Every micro-batch appends one version of the documents and vectors it changes,
-in a directory of its own, and the index is the latest version of each. The cost
-of a batch follows the batch, not the index: of the older versions it reads
-paths and ids only. A batch that runs again writes the same directory again, so
+in a directory of its own, and the index is the latest version of each. A batch
+writes no more than it brings, and of the older versions it reads paths and ids
+only. A batch that runs again writes the same directory again, so
 a failure between two writes leaves nothing behind.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -37,12 +37,19 @@ def _versions(spark: SparkSession, directory: str, table: str, schema: str) -> D
 
 
 def _latest(versions: DataFrame, key: str) -> DataFrame:
-    newest = Window.partitionBy(key).orderBy(F.col(BATCH).desc())
-    return (
-        versions.withColumn("_place", F.row_number().over(newest))
-        .where(F.col("_place") == 1)
-        .drop("_place", BATCH)
+    """The newest version of every key.
+
+    Only keys with several versions are compared, by key and batch alone. They
+    are few between two compactions, and then no text is shuffled.
+    """
+    changed = (
+        versions.groupBy(key)
+        .agg(F.max(BATCH).alias("newest"), F.count("*").alias("versions"))
+        .where(F.col("versions") > 1)
+        .select(key, "newest")
     )
+    newest = F.col("newest").isNull() | (F.col(BATCH) == F.col("newest"))
+    return versions.join(changed, key, "left").where(newest).drop(BATCH, "newest")
 
 
 def current_index(spark: SparkSession, directory: str) -> Index:
