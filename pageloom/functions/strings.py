@@ -110,26 +110,20 @@ def remove_patterns(text: Column, rules: Iterable, flags: str = "i") -> Column:
         [{"regex": java_regex(pattern, flags), "hints": hints} for pattern, hints in rules],
         "array<struct<regex string, hints array<string>>>",
     )
-    all_hints = constant([hint for _, hints in rules for hint in hints], "array<string>")
 
     def state(value: Column) -> Column:
         return bind(value, lambda t: F.struct(t.alias("text"), _fold(t).alias("folded")))
 
-    def contains_any(value: Column, hints: Column) -> Column:
-        return F.exists(hints, lambda hint: F.contains(value, hint))
-
     def step(acc: Column, rule: Column) -> Column:
-        removed = F.regexp_replace(acc["text"], rule["regex"], F.lit(""))
-        return F.when(contains_any(acc["folded"], rule["hints"]), state(removed)).otherwise(acc)
-
-    # Removing text can join up a new hint, so the hints of a text that changes
-    # are looked up again; a text without any hint at all stays as it is.
-    return bind(
-        state(text),
-        lambda start: F.when(
-            contains_any(start["folded"], all_hints), F.aggregate(table, start, step)["text"]
-        ).otherwise(start["text"]),
-    )
+        hit = F.exists(rule["hints"], lambda hint: F.contains(acc["folded"], hint))
+        # Removing text can join up a new hint, so a changed text is folded again.
+        changed = bind(
+            F.regexp_replace(acc["text"], rule["regex"], F.lit("")),
+            lambda text: F.when(text == acc["text"], acc).otherwise(state(text)),
+        )
+        return F.when(hit, changed).otherwise(acc)
+
+    return F.aggregate(table, state(text), step)["text"]
 
 
 def remove_css(text: Column, rules: CleaningRules = CleaningRules()) -> Column:
