@@ -6,6 +6,10 @@ parameter: it has to be spelled as it is in the paths, final slash included.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +28,11 @@ _DOCS_PATH = r"(?d)/docs/[^/]+/([^/]+)/(.*)$"
 _PAGE_SUFFIX = r"(?:\.html|\.md)\z"
 
 
+def _any_of(texts: Iterable[str]) -> str:
+    """Regex for any of the texts, taken literally: one constant pattern tests them all."""
+    return "|".join(rf"\Q{text}\E" for text in texts)
+
+
 def file_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
@@ -75,36 +84,30 @@ def extract_domain(path: Column, base: str) -> Column:
 def allowed_domain(path: Column, base: str, blocked: tuple = BLOCKED_DOMAINS) -> Column:
     """False if the domain ends with a blocked entry; ``*.x`` blocks what ends with ``.x``."""
     endings = [*blocked, *(entry[1:] for entry in blocked if entry.startswith("*."))]
+    domain = extract_domain(path, base)
     if not endings:
         return F.lit(True)
-    table = constant(endings, "array<string>")
-    return bind(
-        extract_domain(path, base),
-        lambda domain: (domain == "") | ~F.exists(table, lambda end: F.endswith(domain, end)),
-    )
+    if "" in endings:
+        return domain == ""
+    return ~F.rlike(domain, F.lit(rf"(?:{_any_of(endings)})\z"))
 
 
 def skipped_file(
     path: Column, name_parts: tuple = SKIP_NAME_PARTS, path_parts: tuple = SKIP_PATH_PARTS
 ) -> Column:
     """True for index, search and error pages, known by parts of their name or path."""
-    return _has_any(F.lower(file_name(path)), name_parts) | _has_any(F.lower(path), path_parts)
-
-
-def _has_any(text: Column, parts: tuple) -> Column:
-    return bind(
-        text,
-        lambda t: F.exists(constant(parts, "array<string>"), lambda part: F.contains(t, part)),
-    )
+    tests = [
+        F.rlike(text, F.lit(_any_of(parts)))
+        for text, parts in ((F.lower(file_name(path)), name_parts), (F.lower(path), path_parts))
+        if parts
+    ]
+    return reduce(or_, tests, F.lit(False))
 
 
 def scanned_file(path: Column, suffixes: tuple) -> Column:
     """True for names with a scanned suffix and for names without any dot."""
-    return bind(
-        F.lower(file_name(path)),
-        lambda name: ~F.contains(name, F.lit("."))
-        | F.exists(constant(suffixes, "array<string>"), lambda end: F.endswith(name, end)),
-    )
+    ends = rf"(?:{_any_of(suffixes)})\z|" if suffixes else ""
+    return F.rlike(F.lower(file_name(path)), F.lit(rf"{ends}\A[^.]*\z"))
 
 
 def scan_filter(path: Column, rules: ScanRules) -> Column:

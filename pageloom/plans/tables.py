@@ -96,7 +96,7 @@ def index_tables(spark: SparkSession, sf_dir: str) -> Index:
 
 def index_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of all kinds, each once."""
-    documents = read_table(spark, sf_dir, "documents")
+    documents = read_documents(spark, sf_dir, "doc_id", "lang", "source")
     forms = F.array(*[F.expr(form) for form in PATH_FORMS_SQL])
     pages = read_table(spark, sf_dir, "pages")
     return documents.select(F.explode(forms).alias("path")).union(pages.select("url"))

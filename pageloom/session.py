@@ -35,7 +35,8 @@ def materialize(frame: DataFrame, name: str = "stage") -> DataFrame:
     """Write the rows to the shared folder and read them back.
 
     For results that are used more than once: what was written survives the
-    loss of executors, and expensive columns are not computed again.
+    loss of executors, and expensive columns are not computed again. The folder
+    can go once everything made from the rows is stored.
     """
     spark = frame.sparkSession
     folder = new_dir(spark, name)
@@ -43,16 +44,16 @@ def materialize(frame: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(frame.schema).parquet(folder)
 
 
-def spread(source: DataFrame, key: str) -> DataFrame:
+def spread(source: DataFrame, *key: str) -> DataFrame:
     """Give a table read from few, small files enough tasks for per-row work.
 
     A large table has more splits than the session has cores and is returned as
     it is, without a shuffle. ``key`` is unique, so the parts are equally large.
-    Only for tables as read: asking for the splits of anything with a shuffle in
-    it would run that shuffle.
+    Only for tables as read and for stream batches: asking for the splits of
+    anything with a shuffle in it would run that shuffle.
     """
     cores = source.sparkSession.sparkContext.defaultParallelism
-    return source.repartition(cores, key) if source.rdd.getNumPartitions() < cores else source
+    return source.repartition(cores, *key) if source.rdd.getNumPartitions() < cores else source
 
 
 def with_computed(frame: DataFrame, name: str, value: Column) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -24,6 +25,7 @@ from pageloom.operators.index import (
     with_ids,
 )
 from pageloom.plans.build import BuildSettings, documents_of, extract_pages
+from pageloom.session import spread
 
 BATCH = "batch_id"
 
@@ -73,9 +75,13 @@ def batch_writer(directory: str, settings: BuildSettings) -> Callable[[DataFrame
             .groupBy("path")
             .agg(F.max("id").alias("id"))
         )
-        incoming = documents_of(extract_pages(pages, settings), settings)
+        # The texts are needed for the ids and for the documents.
+        wide = spread(pages, "path", "seq")
+        extracted = extract_pages(wide, settings).persist(StorageLevel.MEMORY_AND_DISK)
         documents = f"{directory}/documents/{BATCH}={batch_id}"
-        with_ids(incoming, known).select(*DOCUMENT_COLUMNS).write.mode("overwrite").parquet(documents)
+        changed = with_ids(documents_of(extracted, settings), known)
+        changed.select(*DOCUMENT_COLUMNS).write.mode("overwrite").parquet(documents)
+        extracted.unpersist()
         texts = spark.read.schema(DOCUMENTS_SCHEMA).parquet(documents).select(
             F.col("id").alias("doc_id"), "text"
         )
