@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pageloom.config import SNIFF_CHARS
 from pageloom.functions.paths import file_name
-from pageloom.functions.strings import is_blank, pystrip
+from pageloom.functions.strings import bind, is_blank, pystrip
 
 HTML, MARKDOWN, NO_KIND = "html", "markdown", "none"
 
@@ -85,22 +85,20 @@ def html_main_text(html: Column) -> Column:
         html = F.regexp_replace(html, rf"(?is)<{tag}\b.*?</{tag}>", "")
 
     def element(source: Column, tag: str) -> Column:
-        return F.nullif(
-            F.regexp_extract(source, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1), F.lit("")
+        # From the first opening tag to the first closing tag after it; a greedy
+        # match and a split are much faster than a lazy match of the content.
+        opened = F.regexp_extract(source, rf"(?is)<{tag}\b[^>]*>(.*)\z", 1)
+        return bind(
+            F.split(opened, rf"(?i)</{tag}>", 2),
+            lambda parts: F.when((F.size(parts) == 2) & (F.get(parts, F.lit(0)) != ""), F.get(parts, F.lit(0))),
         )
 
-    # One row in, one row out: the cleaned page is looked at up to three times.
-    main = F.get(
-        F.transform(
-            F.array(html), lambda h: F.coalesce(element(h, "article"), element(h, "body"), h)
-        ),
-        F.lit(0),
-    )
+    main = bind(html, lambda h: F.coalesce(element(h, "article"), element(h, "body"), h))
     text = F.regexp_replace(main, _BLOCK_TAG, "\n")
     text = F.regexp_replace(text, r"<[^>]+>", "")
     for entity, char in _ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
-    return F.when(is_blank(text), F.lit("")).otherwise(text)
+    return bind(text, lambda t: F.when(is_blank(t), F.lit("")).otherwise(t))
 
 
 def markdown_text(raw: Column) -> Column:

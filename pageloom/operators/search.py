@@ -40,6 +40,8 @@ QUERY_BLOCK = 20_000
 _MATRIX_CELLS = 4_000_000
 # Results of a single search up to which their ids are fetched.
 _FETCHED_K = 1_000
+# Tasks in which the cells of cut corpora and queries are searched.
+_MOST_TASKS = 20_000
 # Parts in which the hits of one query are merged before the final ranking.
 _MERGE_PARTS = 16
 
@@ -171,6 +173,11 @@ def _block_hits(
     )
     right = cells(queries, "query_id", "query_part", query_parts, "corpus_part", corpus_parts)
 
+    # About one cell per task, whatever the session's number of shuffle partitions.
+    keys = ("corpus_part", "query_part")
+    tasks = min(corpus_parts * query_parts, _MOST_TASKS)
+    left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
+
     def search(docs: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if docs.empty or wanted.empty:
             return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
@@ -180,7 +187,6 @@ def _block_hits(
         )
         return pd.DataFrame(dict(zip(("query_id", "doc_id", "score"), best.hits())))
 
-    keys = ("corpus_part", "query_part")
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, HITS_SCHEMA)
 
 

@@ -142,6 +142,15 @@ def test_plans_have_no_all_pairs_join(data, requests):
     assert "Cartesian" not in text and "NestedLoop" not in text
 
 
+def test_blocks_are_shuffled_once(data, requests):
+    _, vectors, _, _ = data
+    corpus = vectors.withColumn("category", F.lit("a"))
+    hits = search._block_hits(corpus, requests[0], 3, 100, 20)
+    text = hits._jdf.queryExecution().executedPlan().toString()
+    assert text.count("hashpartitioning(corpus_part") == 2
+    assert "ENSURE_REQUIREMENTS" not in text
+
+
 def test_stored_corpus(spark, data, tmp_path):
     documents, vectors, known, _ = data
     write_index(Index(documents, vectors), str(tmp_path / "index"))
