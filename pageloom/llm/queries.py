@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe_tree, feistel, harmonic, signature_tree, syncmers, warc_merge
+from pageloom.llm import bpe_tree, feistel, harmonic, kneser_ney, signature_tree, syncmers, warc_merge
 from pageloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,3 +75,11 @@ def op8_feistel(spark, sf_dir):
 @query
 def op9_signature_tree(spark, sf_dir):
     return signature_tree.similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op10_kneser_ney(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    model = kneser_ney.fit(documents, table(spark, sf_dir, "labels"))
+    done = kneser_ney.with_quality(documents, model)
+    return done.select("doc_id", "lang", F.exp("log_perplexity").alias("perplexity"), "good")
