@@ -15,7 +15,7 @@ SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 _SPACES = re.compile(f"[{SPACE}]+")
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 LEAF = 8192  # characters of unsplit text that are encoded at once
-MEMO = 600_000  # chunks that a worker remembers
+MEMO = 700_000  # chunks, and pieces of chunks, that a worker remembers
 
 
 def split_chunks(text: str) -> list[str]:
@@ -131,56 +131,101 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
+# A word of Latin letters that normalisation only lower-cases, and signs (no apostrophe) behind it: each is a word of its own
+# to the tokenizer, so the word's ids serve all its spellings and all signs.
+_WORD_AND_SIGNS = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@[-`{-~]*)")
+
+
 class ChunkEncoder(dict):
     """Ids of texts. The tokenizer never merges across white space, so equal chunks
-    have equal ids; each is encoded once and remembered, up to ``MEMO`` chunks."""
+    have equal ids; each is looked at once and remembered, up to ``MEMO`` chunks.
+
+    A chunk is one or two pieces (word, signs); a piece is a stretch of one array of ids.
+    """
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
-        self._empty()
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self._forget_chunks()
+        self.pieces: dict[str, int] = {"": 0}
+        self.ids = np.empty(0, np.uint32)
+        self.starts = np.zeros(1, np.int64)
+        self.lengths = np.zeros(1, np.int64)
 
-    def _empty(self) -> None:
+    def _forget_chunks(self) -> None:
         self.clear()
         self.pending: list[str] = []
-        self.ids = np.empty(0, np.uint32)
-        self.starts = np.empty(0, np.int64)
-        self.lengths = np.empty(0, np.int64)
+        self.two = np.empty((0, 2), np.int64)  # the pieces of each chunk
 
     def __missing__(self, chunk: str) -> int:
         self.pending.append(chunk)
         self[chunk] = place = len(self)
         return place
 
-    def _encode_pending(self) -> None:
-        if not self.pending:
-            return
-        short = [chunk if len(chunk) <= LEAF else "" for chunk in self.pending]
+    def _learn(self, names: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, flat.astype(np.uint32)])
+        self.pieces.update(zip(names, range(len(self.pieces), len(self.pieces) + len(names)), strict=True))
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Encode words as one text; each ends with the only token in it that ends a word."""
+        for at in range(0, len(words), 10_000):
+            some = words[at : at + 10_000]
+            found = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
+            ends = np.flatnonzero(self.ends_word[found]) + 1
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer has no word ends")
+            self._learn(some, found, np.diff(ends, prepend=0))
+
+    def _learn_others(self, pieces: list[str]) -> None:
+        short = [piece if len(piece) <= LEAF else "" for piece in pieces]
         found = [e.ids for e in self.tokenizer.encode_batch_fast(short, add_special_tokens=False)]
-        for i, chunk in enumerate(self.pending):
-            if len(chunk) > LEAF:
-                found[i] = tree_encode(self.tokenizer, chunk)[:, 0].tolist()
+        for i, piece in enumerate(pieces):
+            if len(piece) > LEAF:
+                found[i] = tree_encode(self.tokenizer, piece)[:, 0].tolist()
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        starts = len(self.ids) + np.cumsum(lengths) - lengths
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
-        self.ids = np.concatenate([self.ids, flat])
-        self.starts = np.concatenate([self.starts, starts])
-        self.lengths = np.concatenate([self.lengths, lengths])
+        self._learn(pieces, np.fromiter(chain.from_iterable(found), np.int64, int(lengths.sum())), lengths)
+
+    def _look_at_pending(self) -> None:
+        known, words, others, pairs = self.pieces, {}, {}, []
+        for chunk in self.pending:
+            match = _WORD_AND_SIGNS.fullmatch(chunk) if len(chunk) < 200 else None
+            word, signs = (match[1].lower(), match[2]) if match else (chunk, "")
+            if word not in known:
+                (words if match else others)[word] = None
+            if signs not in known:
+                others[signs] = None
+            pairs.append((word, signs))
+        self._learn_words(list(words))
+        self._learn_others(list(others))
+        places = np.array([(known[word], known[signs]) for word, signs in pairs], np.int64).reshape(-1, 2)
+        self.two = np.concatenate([self.two, places])
         self.pending = []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit integers."""
-        if len(self) > MEMO:
-            self._empty()
+        if len(self.pieces) > MEMO:
+            self._forget()
+        elif len(self) > MEMO:
+            self._forget_chunks()
         chunks = [split_chunks(text) for text in texts]
         counts = np.fromiter(map(len, chunks), np.int64, len(chunks))
         places = np.fromiter(map(self.__getitem__, chain.from_iterable(chunks)), np.int64, int(counts.sum()))
-        self._encode_pending()
-        lengths = self.lengths[places]
+        if self.pending:
+            self._look_at_pending()
+        pieces = self.two[places].ravel()
+        lengths = self.lengths[pieces]
         ends = np.cumsum(lengths)
-        shift = np.repeat(self.starts[places] - (ends - lengths), lengths)
+        shift = np.repeat(self.starts[pieces] - (ends - lengths), lengths)
         flat = self.ids[shift + np.arange(len(shift))]
-        text_ends = np.concatenate([[0], ends])[np.cumsum(counts)]
+        text_ends = np.concatenate([[0], ends])[2 * np.cumsum(counts)]
         return np.split(flat, text_ends[:-1]) if len(texts) else []
 
 
@@ -190,7 +235,7 @@ def chunk_encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(load_tokenizer(path))
 
 
-def in_slices(texts: list[str], most: int = 4_000_000):
+def in_slices(texts: list[str], most: int = 1_500_000):
     """Places of consecutive texts with at most about ``most`` characters together."""
     start = size = 0
     for i, text in enumerate(texts):

@@ -13,6 +13,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pageloom.session import materialize
 
 
+SLICE = 1000  # rows that a Python worker holds as objects
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -80,7 +83,8 @@ def add_columns(frame: DataFrame, inputs: list[str], added: str, start: Callable
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        for batch in batches:
+        slices = (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE))
+        for batch in slices:
             values = [batch.column(batch.schema.get_field_index(name)).to_pylist() for name in inputs]
             made = [pa.array(value, kind) for value, kind in zip(work(*values), kinds, strict=True)]
             names = [*batch.schema.names, *[field.name for field in fields]]
