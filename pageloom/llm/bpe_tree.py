@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.llm.common import add_columns
 from pageloom.llm.chunk_encoder import (
     chunk_encoder,
     cut_leaves,
@@ -30,15 +29,25 @@ from pageloom.llm.chunk_encoder import (
     join_leaves,
     load_tokenizer,
 )
+from pageloom.llm.common import add_columns
 
 LONG_CHARS = 65_536
 LEAF_CHARS = 16_384
 
 
+def _decoded(path: str, ids: np.ndarray) -> str:
+    return load_tokenizer(path).decode(ids.tolist(), skip_special_tokens=False)
+
+
 def encode(
-    documents: DataFrame, path: str, text: str = "text", long_chars: int = LONG_CHARS, leaf_chars: int = LEAF_CHARS
+    documents: DataFrame, path: str, text: str = "text", long_chars: int = LONG_CHARS, leaf_chars: int = LEAF_CHARS, decoded: bool = False
 ) -> DataFrame:
-    """Add ``ids``: little-endian unsigned 32-bit integers, as bytes."""
+    """Add ``ids``: little-endian unsigned 32-bit integers, as bytes; ``decoded`` adds also their text, in the same pass."""
+    added = "ids binary, decoded string" if decoded else "ids binary"
+
+    def made(found: list[np.ndarray]) -> list[list]:
+        ids = [x.astype("<u4").tobytes() for x in found]
+        return [ids, [_decoded(path, x) for x in found]] if decoded else [ids]
 
     def start_short():
         encoder = chunk_encoder(path)
@@ -46,7 +55,7 @@ def encode(
         def work(texts):
             texts = [value or "" for value in texts]
             found = [x for a, b in in_slices(texts) for x in encoder.encode(texts[a:b])]
-            return ([x.astype("<u4").tobytes() for x in found],)
+            return made(found)
 
         return work
 
@@ -91,19 +100,20 @@ def encode(
         ]
         whole = "".join(pieces["_part"])
         joined = join_leaves(load_tokenizer(path), whole, starts, leaves)
-        return pd.DataFrame({"__row": [pieces["__row"].iloc[0]], "ids": [joined[:, 0].astype("<u4").tobytes()]})
+        columns = [[pieces["__row"].iloc[0]], *made([joined[:, 0]])]
+        return pd.DataFrame(dict(zip(["__row", "ids", "decoded"], columns, strict=False)))
 
     def start_numbers():
         task, number = TaskContext.get().partitionId(), itertools.count()
         return lambda texts: ([f"{task}-{next(number)}" for _ in texts],)
 
     is_long = F.coalesce(F.char_length(text) > long_chars, F.lit(False))
-    plain = documents.drop("ids")
-    short = add_columns(plain.where(~is_long), [text], "ids binary", start_short)
+    plain = documents.drop("ids", *(["decoded"] if decoded else []))
+    short = add_columns(plain.where(~is_long), [text], added, start_short)
     long = plain.where(is_long)
     pieces = long.select(text).mapInPandas(cut, piece).repartition("__row", "_piece")
     coded = pieces.mapInPandas(encode_pieces, T.StructType([*piece.fields, T.StructField("_rows", T.BinaryType())]))
-    joined = coded.groupBy("__row").applyInPandas(join, "__row string, ids binary")
+    joined = coded.groupBy("__row").applyInPandas(join, f"__row string, {added}")
     named = add_columns(long, [text], "__row string", start_numbers)
     return short.unionByName(named.join(joined, "__row").drop("__row"))
 
@@ -112,8 +122,6 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Add ``decoded``: the text of ``ids``, special tokens included."""
 
     def start():
-        tokenizer = load_tokenizer(path)
-        one = lambda ids: tokenizer.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
-        return lambda column: ([one(ids) for ids in column],)
+        return lambda column: ([_decoded(path, np.frombuffer(ids, "<u4")) for ids in column],)
 
     return add_columns(encoded, ["ids"], "decoded string", start)

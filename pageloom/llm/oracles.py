@@ -5,6 +5,15 @@ reach(id, other) AS (SELECT a, b FROM both_ways UNION SELECT r.id, w.b FROM reac
 components AS (SELECT id, least(id, min(other)) AS component_id FROM reach GROUP BY id)"""
 
 ORACLES: dict[str, str] = {
+    "op3_nn_descent": f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.95){_COMPONENTS}
+SELECT e.vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, e.vec_id) AS component_id,
+  e.vec_id = coalesce(component_id, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) ON a = e.vec_id LEFT JOIN components ON id = e.vec_id""",
     "op9_signature_tree": f"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe_tree, feistel, harmonic, kneser_ney, signature_tree, syncmers, warc_merge
+from pageloom.llm import bpe_tree, feistel, harmonic, kneser_ney, nn_descent, signature_tree, syncmers, warc_merge
 from pageloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,7 +35,7 @@ def op1_warc_merge(spark, sf_dir):
 def op2_bpe_tree(spark, sf_dir):
     path = public_tokenizers.path(TOKENIZER)
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = bpe_tree.decode(bpe_tree.encode(documents, path).drop("text"), path)
+    done = bpe_tree.encode(documents, path, decoded=True)
     return done.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -83,3 +83,8 @@ def op10_kneser_ney(spark, sf_dir):
     model = kneser_ney.fit(documents, table(spark, sf_dir, "labels"))
     done = kneser_ney.with_quality(documents, model)
     return done.select("doc_id", "lang", F.exp("log_perplexity").alias("perplexity"), "good")
+
+
+@query
+def op3_nn_descent(spark, sf_dir):
+    return nn_descent.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))

@@ -41,6 +41,14 @@ def test_hard_documents(spark, long_chars):
 
 def test_no_documents(spark):
     assert bpe_tree.decode(bpe_tree.encode(cases.empty_documents(spark), PATH), PATH).count() == 0
+    assert bpe_tree.encode(cases.empty_documents(spark), PATH, decoded=True).count() == 0
+
+
+def test_decoding_in_the_same_pass(spark):
+    docs = cases.hard_documents(spark)
+    both = bpe_tree.encode(docs, PATH, long_chars=100, decoded=True)
+    again = bpe_tree.decode(both.withColumnRenamed("decoded", "first"), PATH)
+    assert again.where("decoded <> first").count() == 0 and again.count() == docs.count()
 
 
 ALPHABETS = ("ab", "aAbBé", "the quick'sre", "!'st.x1 ", "áöe J̌İ", "漢字かなab", "각가a", "<|endoftext|>ab ", "\x1c\x1d a\x85\xa0b")
