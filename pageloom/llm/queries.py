@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe_tree, feistel, harmonic, kneser_ney, nn_descent, signature_tree, syncmers, warc_merge
+from pageloom.llm import bpe_tree, feistel, harmonic, kneser_ney, licenses, nn_descent, signature_tree, syncmers, warc_merge, wrappers
 from pageloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,3 +88,25 @@ def op10_kneser_ney(spark, sf_dir):
 @query
 def op3_nn_descent(spark, sf_dir):
     return nn_descent.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op6_licenses(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    # The documents as files: a directory per source and language, with subdirectories; some are licence files.
+    path = F.concat_ws(
+        "/",
+        "source",
+        "lang",
+        F.concat(F.lit("d"), (F.col("doc_id") % 100).cast("string")),
+        F.when(F.col("doc_id") % 40 == 0, F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat("doc_id", F.lit(".txt"))),
+    )
+    found = licenses.scan(documents.select(path.alias("path"), "text"))
+    number = F.regexp_extract("path", r"(\d+)(\.txt)?$", 1).cast("long")
+    return found.select(number.alias("doc_id"), "path", "license", F.round("score", 6).alias("score"), "how", "from_dir")
+
+
+@query
+def op7_wrappers(spark, sf_dir):
+    found = wrappers.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
