@@ -51,10 +51,10 @@ def op4_syncmers(spark, sf_dir):
         "doc_id",
         "n_chars",
         _sha256("edited").alias("edited_sha256"),
-        syncmers.fingerprint(F.col("anchors")).alias("fingerprint"),
-        syncmers.fingerprint(F.col("edited_anchors")).alias("edited_fingerprint"),
-        syncmers.likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
-        syncmers.likeness(F.col("anchors"), F.col("next.anchors")).alias("near_next"),
+        syncmers.fingerprint(F.col("hashes")).alias("fingerprint"),
+        syncmers.fingerprint(F.col("edited_hashes")).alias("edited_fingerprint"),
+        syncmers.likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"),
+        syncmers.likeness(F.col("hashes"), F.col("next.hashes")).alias("near_next"),
     )
 
 

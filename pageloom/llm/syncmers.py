@@ -68,16 +68,20 @@ def anchors(text: Column) -> Column:
     )
 
 
+def hashes(found: Column) -> Column:
+    """The hashes of anchors, in the order of the text."""
+    return F.transform(found, lambda a: a["hash"])
+
+
 def fingerprint(found: Column) -> Column:
-    """The anchors' hashes in the order of the text, as text."""
-    return F.array_join(F.transform(found, lambda a: F.hex(a["hash"].cast("long").bitwiseAND(0xFFFFFFFF))), " ")
+    """The hashes as text."""
+    return F.array_join(F.transform(found, lambda a: F.hex(a.cast("long").bitwiseAND(0xFFFFFFFF))), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Shared hashes as a part of all hashes of two lists of anchors, from 0 to 1."""
-    hashes = lambda x: F.transform(x, lambda y: y["hash"])
+    """Shared hashes as a part of all hashes of two lists, from 0 to 1."""
     return let(
-        F.struct(hashes(a).alias("a"), hashes(b).alias("b")),
+        F.struct(a.alias("a"), b.alias("b")),
         lambda h: let(
             F.size(F.array_union(h["a"], h["b"])),
             lambda n: F.when(n == 0, F.lit(1.0)).otherwise(
@@ -149,13 +153,16 @@ def with_next(documents: DataFrame, columns: list[str], name: str = "next") -> D
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """``(doc_id, text)`` with anchors, the edited text and its anchors, and the next document's anchors."""
+    """``(doc_id, text)`` with the hashes of its anchors, the edited text and its hashes, and the next document's hashes.
+
+    Positions stay behind: of what is shuffled they would be the larger part.
+    """
     plain = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = plain.withColumn("anchors", anchors(F.col("text"))).withColumn("n_chars", F.char_length("text").cast("long"))
-    near = with_next(own, ["text", "anchors"])
+    own = plain.withColumn("hashes", hashes(anchors(F.col("text")))).withColumn("n_chars", F.char_length("text").cast("long"))
+    near = with_next(own, ["text", "hashes"])
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(
         F.expr("left(text, cast(n_chars as int) - cast(floor(n_chars / 4) as int))"),
         F.substring(F.col("next.text"), F.lit(1), cut),
     )
-    return near.withColumn("edited", edited).withColumn("edited_anchors", anchors(F.col("edited")))
+    return near.withColumn("edited", edited).withColumn("edited_hashes", hashes(anchors(F.col("edited"))))

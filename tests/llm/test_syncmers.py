@@ -62,7 +62,7 @@ def test_hard_documents(spark):
     docs = cases.hard_documents(spark)
     rows = syncmers.fingerprints(docs).collect()
     assert len(rows) == docs.count()
-    assert {r["doc_id"]: r["anchors"] for r in rows if r["text"] == ""} == {3: [], 4: [], None: []}
+    assert {r["doc_id"]: r["hashes"] for r in rows if r["text"] == ""} == {3: [], 4: [], None: []}
     by_id = {r["doc_id"]: r for r in rows if r["doc_id"] is not None}
     assert by_id[9]["next"]["text"] in ("no id", "") and by_id[8]["next"]["text"].startswith("<|")
     assert by_id[7]["edited"] == "é" * 2250 + by_id[8]["text"][:750]
