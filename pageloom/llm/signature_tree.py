@@ -13,19 +13,21 @@ a 64-bit hash. Two documents link when they share 80 % of the union.
    inner nodes hold the bitwise OR of their token bitmaps and the range of their
    sizes. Two trees are traversed together; pairs of nodes whose largest possible
    overlap is below the smallest necessary one are dropped. First with bitmaps
-   alone, which tells the classes that can have a partner at all; only those get
-   their sets, for the exact count.
+   alone, short ones and then long ones, which tells the classes that can have a
+   partner at all; only those get their sets, for the exact count.
 4. Round 1 uses one meeting per class. Its links give components; round 2 looks at all
    other meetings whose members are not all in one component yet. A tile tests a
    pair only if its classes are not connected already, so groups of copies cost
    about one test per member, and what comes out is a forest and never all pairs.
 
 Null and empty texts and texts of white space have no runs and link with nothing.
-Rows without an id get a null component. Rows that share an id are one document.
+Rows without an id get a null component. If rows share an id but not their words,
+only the set with the smallest digest links for it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -42,6 +44,8 @@ WORDS = 5
 SHARE = (4, 5)  # links share at least this part of their union
 TILE = 1024  # classes of a band in one tile
 FAN_OUT = 16
+LEAF = 64  # a tile with so many members is one leaf of a tree
+BROADCAST_KEYS = 4_000_000  # hashes, of 8 bytes each, that are sent to every executor at most
 BAND = 1.26  # sizes of linked sets differ by at most 1.25
 MEMO = 600_000
 
@@ -80,14 +84,13 @@ def prefix_length(size: int) -> int:
 
 def bitmap(hashes: np.ndarray, bits: int) -> np.ndarray:
     """A bitmap over the lowest bits of the hashes; halves can be combined to a shorter one."""
-    words = np.zeros(bits // 64, np.uint64)
-    places = hashes & np.uint64(bits - 1)
-    np.bitwise_or.at(words, (places >> np.uint64(6)).astype(np.int64), np.uint64(1) << (places & np.uint64(63)))
-    return words
+    seen = np.zeros(bits, bool)
+    seen[(hashes & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(seen, bitorder="little").view(np.uint64)
 
 
-def bits_for(size: int) -> int:
-    return max(256, 1 << int(3 * size - 1).bit_length())
+def bits_for(size: int, most: int = 8192) -> int:
+    return min(max(128, 1 << int(size - 1).bit_length()), most)
 
 
 def fold(words: np.ndarray, bits: int) -> np.ndarray:
@@ -162,28 +165,80 @@ def _children(x, y, nx, open_x, ny, open_y):
     return x, y
 
 
-def _trees(role: np.ndarray, tile_i: int, tile_j: int, bitmaps: np.ndarray, sizes: np.ndarray):
-    """Trees over the two sides of a tile, with the places of their rows."""
-    sides = [np.flatnonzero(role == side) for side in (0, 1)]
-    if tile_i == tile_j:
-        sides[1] = sides[0]
-    if not len(sides[0]) or not len(sides[1]):
-        return None
-    first = SignatureTree(bitmaps[sides[0]], sizes[sides[0]])
-    second = first if tile_i == tile_j else SignatureTree(bitmaps[sides[1]], sizes[sides[1]])
-    return first, second, sides
-
-
-def link_tile(role, tile_i, tile_j, sets: list[np.ndarray], ids: np.ndarray, groups: np.ndarray) -> list[tuple[int, int]]:
-    """Links of a tile as a forest: pairs are tested only if not connected yet."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    bits = min(bits_for(int(sizes.max())), 1 << 14)
-    trees = _trees(role, tile_i, tile_j, np.stack([bitmap(s, bits) for s in sets]), sizes)
-    if trees is None:
-        return []
-    a, b, sides = trees
-    x, y = candidate_pairs(a, b)
-    x, y = sides[0][x], sides[1][y]
+def small_pairs(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places within each of many small runs."""
+    x, y = [], []
+    for m in np.unique(counts[counts > 1]):
+        i, j = np.triu_indices(m, 1)
+        at = starts[counts == m][:, None]
+        x.append((at + i).ravel())
+        y.append((at + j).ravel())
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(x), np.concatenate(y)) if x else (none, none)
+
+
+def tile_candidates(tiles: Tiles, bits: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that the bitmaps allow, of all tiles; those with few members are one leaf."""
+    widths = np.fromiter(map(len, bits), np.int64, len(bits))
+    narrow = np.minimum.reduceat(widths, tiles.starts) if len(bits) else widths
+    leaf = tiles.counts <= LEAF
+    x, y = small_pairs(tiles.starts[leaf], tiles.counts[leaf])
+    meets = tiles.alone[tiles.of[x]] | (tiles.role[x] != tiles.role[y])
+    x, y = x[meets], y[meets]
+    out_x, out_y = [], []
+    for width in np.unique(narrow[leaf]):
+        inside = np.flatnonzero(np.isin(tiles.of, np.flatnonzero(leaf & (narrow == width))))
+        place = np.zeros(len(bits), np.int64)
+        place[inside] = np.arange(len(inside))
+        maps = _folded(bits, widths, inside, width)
+        own = sizes[inside]
+        level = (maps, own, own, own - np.bitwise_count(maps).sum(axis=1).astype(np.int64))
+        chosen = narrow[tiles.of[x]] == width
+        p, q = x[chosen], y[chosen]
+        fits = _possible(level, level, place[p], place[q])
+        out_x.append(p[fits])
+        out_y.append(q[fits])
+    for tile in np.flatnonzero(~leaf):
+        rows = np.arange(tiles.starts[tile], tiles.starts[tile] + tiles.counts[tile])
+        maps = _folded(bits, widths, rows, narrow[tile])
+        sides = [rows, rows] if tiles.alone[tile] else [rows[tiles.role[rows] == side] for side in (0, 1)]
+        if len(sides[0]) and len(sides[1]):
+            first = SignatureTree(maps[sides[0] - rows[0]], sizes[sides[0]])
+            second = first if tiles.alone[tile] else SignatureTree(maps[sides[1] - rows[0]], sizes[sides[1]])
+            p, q = candidate_pairs(first, second)
+            out_x.append(sides[0][p])
+            out_y.append(sides[1][q])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *out_x]), np.concatenate([none, *out_y])
+
+
+def _folded(bits: list[bytes], widths: np.ndarray, rows: np.ndarray, width: int) -> np.ndarray:
+    """The bitmaps of the rows, all folded to ``width`` bytes."""
+    out = np.zeros((len(rows), width // 8), np.uint64)
+    for own in np.unique(widths[rows]):
+        some = np.flatnonzero(widths[rows] == own)
+        maps = np.frombuffer(b"".join(bits[i] for i in rows[some].tolist()), np.uint64).reshape(len(some), -1)
+        out[some] = np.bitwise_or.reduce(maps.reshape(len(some), -1, width // 8), axis=1)
+    return out
+
+
+class Tiles:
+    """Rows sorted by tile: where each tile begins, and whose rows meet."""
+
+    def __init__(self, rows: pd.DataFrame):
+        keys = rows[TILE_KEY].to_numpy(np.int64)
+        new = np.ones(len(rows), bool)
+        new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
+        self.starts = np.flatnonzero(new)
+        self.counts = np.diff(np.append(self.starts, len(rows)))
+        self.of = np.cumsum(new) - 1
+        self.role = rows["role"].to_numpy()
+        first = keys[self.starts]
+        self.alone = (first[:, 2] == 0) & (first[:, 3] == first[:, 4])  # a block with itself
+
+
+def links_of(x: np.ndarray, y: np.ndarray, sets: list[np.ndarray], groups: list) -> list[tuple[int, int]]:
+    """Linked pairs of rows among the candidates, as a forest: pairs are tested only if not connected yet."""
     parent: dict = {}
 
     def root(n):
@@ -199,7 +254,7 @@ def link_tile(role, tile_i, tile_j, sets: list[np.ndarray], ids: np.ndarray, gro
             continue
         shared = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
         if SHARE[1] * shared >= SHARE[0] * (len(sets[p]) + len(sets[q]) - shared):
-            links.append((int(ids[p]), int(ids[q])))
+            links.append((p, q))
             parent[u] = v
     return links
 
@@ -251,33 +306,53 @@ def _tiles(meetings: DataFrame) -> DataFrame:
     return known.withColumn("own", own).select("h", *rest, F.inline(copies))
 
 
-def _tile_args(rows: pd.DataFrame) -> tuple:
-    kind, i, j = (int(rows[c].iloc[0]) for c in ("kind", "ti", "tj"))
-    return rows["role"].to_numpy(), (i if kind == 0 else 0), (j if kind == 0 else 1)
-
-
-def _by_bitmaps(rows: pd.DataFrame) -> pd.DataFrame:
-    """Members of a tile that the bitmaps leave a partner in another component."""
-    role, i, j = _tile_args(rows)
-    sizes, groups = rows["size"].to_numpy(), rows["component"].to_numpy()
-    shortest = min(len(b) for b in rows["bits"])
-    bitmaps = np.stack([fold(np.frombuffer(b, np.uint64), shortest * 8) for b in rows["bits"]])
-    trees = _trees(role, i, j, bitmaps, sizes)
-    keep = np.zeros(len(rows), bool)
-    if trees is not None:
-        a, b, sides = trees
-        x, y = candidate_pairs(a, b)
-        x, y = sides[0][x], sides[1][y]
+def _whole_tiles(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+    """Batches of a partition sorted by tile, dealt anew so that no tile is cut."""
+    held: list[pd.DataFrame] = []
+    rows = 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        rows += len(batch)
+        if rows < least:
+            continue
+        whole = pd.concat(held, ignore_index=True)
+        last = Tiles(whole).starts[-1]
+        if last:
+            yield whole.iloc[:last].reset_index(drop=True)
+        held, rows = [whole.iloc[last:]], len(whole) - last
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _by_bitmaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Members of tiles that the bitmaps leave a partner in another component."""
+    for rows in _whole_tiles(batches, 20_000):
+        x, y = tile_candidates(Tiles(rows), rows["bits"].tolist(), rows["size"].to_numpy(np.int64))
+        groups = rows["component"].to_numpy()
         apart = groups[x] != groups[y]
+        keep = np.zeros(len(rows), bool)
         keep[x[apart]] = keep[y[apart]] = True
-    return rows.loc[keep, [*TILE_KEY, "role", "rep", "component"]]
+        yield rows.loc[keep, [*TILE_KEY, "role", "rep", "component"]]
+
+
+def _by_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in _whole_tiles(batches, 2_000):
+        sets = [np.frombuffer(s, np.uint64) for s in rows["hashes"]]
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        bits = [bitmap(s, bits_for(len(s))).tobytes() for s in sets]
+        tiles = Tiles(rows)
+        x, y = tile_candidates(tiles, bits, sizes)
+        order = np.argsort(tiles.of[x], kind="stable")
+        # Components of the rounds before are connected everywhere, so one forest serves all tiles here.
+        links = links_of(x[order], y[order], sets, rows["component"].tolist())
+        ids = rows["rep"].tolist()
+        yield pd.DataFrame([(ids[p], ids[q]) for p, q in links], columns=["a", "b"], dtype="int64")
 
 
-def _by_sets(rows: pd.DataFrame) -> pd.DataFrame:
-    role, i, j = _tile_args(rows)
-    sets = [np.frombuffer(s, np.uint64) for s in rows["hashes"]]
-    links = link_tile(role, i, j, sets, rows["rep"].to_numpy(), rows["component"].to_numpy())
-    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+def _tile_by_tile(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY)
 
 
 def _sets_start(bits: bool):
@@ -295,12 +370,20 @@ def _sets_start(bits: bool):
     return work
 
 
+def _fine_start():
+    def work(column):
+        sets = [np.frombuffer(x, np.uint64) for x in column]
+        return [len(x) for x in sets], [bitmap(x, bits_for(16 * len(x), 1 << 20)).tobytes() for x in sets]
+
+    return work
+
+
 def _links(documents: DataFrame, meetings: DataFrame, reps: DataFrame, sets: DataFrame | None, name: str):
     """Links among the members of the meetings ``(h, rep, component)``, and the sets that were needed."""
     sized = skew_join(meetings, reps, ["rep"], "inner")
     tiles = _tiles(sized)
     schema = "h long, band int, kind int, ti int, tj int, role int, rep long, component long"
-    survivors = materialize(tiles.groupBy(*TILE_KEY).applyInPandas(_by_bitmaps, schema), f"{name}-survivors")
+    survivors = materialize(_tile_by_tile(tiles).mapInPandas(_by_bitmaps, schema), f"{name}-survivors")
     needed = survivors.select("rep").distinct()
     if sets is not None:
         needed = needed.join(sets.select("rep"), "rep", "left_anti")
@@ -312,8 +395,11 @@ def _links(documents: DataFrame, meetings: DataFrame, reps: DataFrame, sets: Dat
     made = add_columns(found.dropDuplicates(["rep", "digest"]), ["text"], "hashes binary", lambda: _sets_start(False))
     new = materialize(made.select("rep", "hashes"), f"{name}-sets")
     sets = new if sets is None else sets.unionByName(new)
-    full = survivors.join(sets, "rep")
-    links = full.groupBy(*TILE_KEY).applyInPandas(_by_sets, "a long, b long")
+    # Longer bitmaps are nearly exact and still much smaller than the sets.
+    fine = add_columns(sets, ["hashes"], "size int, bits binary", _fine_start).drop("hashes")
+    closer = _tile_by_tile(survivors.join(fine, "rep")).mapInPandas(_by_bitmaps, schema)
+    full = materialize(closer, f"{name}-closer").join(sets, "rep")
+    links = _tile_by_tile(full).mapInPandas(_by_sets, "a long, b long")
     return materialize(links, f"{name}-links"), sets
 
 
@@ -334,17 +420,25 @@ def similar_documents(documents: DataFrame) -> DataFrame:
         known.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")),
         "classes",
     )
-    own = known.where("doc_id is not null").join(classes, "digest")
-    reps = own.where("doc_id = rep").dropDuplicates(["rep", "digest"])
-    reps = materialize(reps.select("rep", "digest", "size", "prefix", "bits"), "representatives")
-    entries = reps.select("rep", F.explode("prefix").alias("h"))
-    groups = entries.groupBy("h").agg(
-        F.count("*").alias("members"), F.bit_xor(F.xxhash64("rep")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("s2")
+    owners = materialize(classes.groupBy("rep").agg(F.min("digest").alias("digest")), "owners")
+    # Copies bring their hashes along until the hashes that nothing else has are gone.
+    entries = known.where("doc_id is not null").select("doc_id", "digest", F.explode("prefix").alias("h"))
+    shared = materialize(entries.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
+    if shared.count() <= BROADCAST_KEYS:
+        entries = entries.join(F.broadcast(shared), "h")
+    else:
+        entries = entries.join(shared, "h")
+    met = materialize(entries.groupBy("h", "digest").agg(F.min("doc_id").alias("doc_id")), "met")
+    groups = met.groupBy("h").agg(
+        F.count("*").alias("members"), F.bit_xor(F.xxhash64("digest")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "digest")).alias("s2")
     )
     # Of hashes with the same members one is enough.
-    shared = groups.where("members > 1").groupBy("members", "s1", "s2").agg(F.min("h").alias("h")).select("h")
-    meetings = materialize(skew_join(entries, shared, ["h"], "inner"), "meetings")
-    small = reps.select("rep", "digest", "size", "bits")
+    several = groups.where("members > 1").groupBy("members", "s1", "s2").agg(F.min("h").alias("h")).select("h")
+    meetings = skew_join(met, several, ["h"], "inner").join(owners, "digest").select("h", "rep")
+    meetings = materialize(meetings, "meetings")
+    touched = materialize(meetings.select("rep").distinct(), "touched")
+    small = known.select(F.col("doc_id").alias("rep"), "digest", "size", "bits").join(owners, ["rep", "digest"], "left_semi")
+    small = materialize(small.join(touched, "rep", "left_semi").dropDuplicates(["rep"]), "representatives")
 
     first = meetings.groupBy("rep").agg(F.min("h").alias("h")).withColumn("component", F.col("rep"))
     links, sets = _links(documents, first, small, None, "first")
