@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -25,6 +26,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def drop_shuffles(frame: DataFrame) -> None:
+    """Let Spark delete the shuffle files of finished jobs now.
+
+    They go when the driver collects the objects of those jobs, which it has no
+    need to do while the executors' disks fill up.
+    """
+    gc.collect()
+    frame.sparkSession.sparkContext._jvm.System.gc()
+
+
 def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join with a table of one row per key that is first written to the shared folder.
 

@@ -15,8 +15,8 @@ a 64-bit hash. Two documents link when they share 80 % of the union.
    overlap is below the smallest necessary one are dropped. First with bitmaps
    alone, short ones and then long ones, which tells the classes that can have a
    partner at all; only those get their sets, for the exact count.
-4. Round 1 uses one meeting per class. Its links give components; round 2 looks at all
-   other meetings whose members are not all in one component yet. A tile tests a
+4. The first rounds use one meeting per class each. Their links give components; the
+   last round looks at all meetings whose members are not all in one component yet. A tile tests a
    pair only if its classes are not connected already, so groups of copies cost
    about one test per member, and what comes out is a forest and never all pairs.
 
@@ -37,15 +37,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.chunk_encoder import in_slices
-from pageloom.llm.common import add_columns, connected_components, skew_join
+from pageloom.llm.common import add_columns, connected_components, drop_shuffles, skew_join
 from pageloom.session import materialize
 
 WORDS = 5
 SHARE = (4, 5)  # links share at least this part of their union
+LIGHT_ROUNDS = 3
 TILE = 1024  # classes of a band in one tile
 FAN_OUT = 16
 LEAF = 64  # a tile with so many members is one leaf of a tree
-BROADCAST_KEYS = 4_000_000  # hashes, of 8 bytes each, that are sent to every executor at most
+BROADCAST_KEYS = 200_000  # hashes, of 8 bytes each, that are sent to every executor at most
 BAND = 1.26  # sizes of linked sets differ by at most 1.25
 MEMO = 600_000
 
@@ -422,34 +423,42 @@ def similar_documents(documents: DataFrame) -> DataFrame:
     )
     owners = materialize(classes.groupBy("rep").agg(F.min("digest").alias("digest")), "owners")
     # Copies bring their hashes along until the hashes that nothing else has are gone.
-    entries = known.where("doc_id is not null").select("doc_id", "digest", F.explode("prefix").alias("h"))
+    entries = known.where("doc_id is not null").select("doc_id", F.explode("prefix").alias("h"))
     shared = materialize(entries.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
-    if shared.count() <= BROADCAST_KEYS:
-        entries = entries.join(F.broadcast(shared), "h")
-    else:
-        entries = entries.join(shared, "h")
-    met = materialize(entries.groupBy("h", "digest").agg(F.min("doc_id").alias("doc_id")), "met")
+    entries = entries.join(F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared, "h")
+    own = known.where("doc_id is not null").join(owners, "digest").select("doc_id", "rep").distinct()
+    own = materialize(own, "class-of")
+    met = materialize(entries.join(own, "doc_id").groupBy("h", "rep").agg(F.lit(1).alias("one")).drop("one"), "met")
+    drop_shuffles(documents)
     groups = met.groupBy("h").agg(
-        F.count("*").alias("members"), F.bit_xor(F.xxhash64("digest")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "digest")).alias("s2")
+        F.count("*").alias("members"), F.bit_xor(F.xxhash64("rep")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("s2")
     )
     # Of hashes with the same members one is enough.
     several = groups.where("members > 1").groupBy("members", "s1", "s2").agg(F.min("h").alias("h")).select("h")
-    meetings = skew_join(met, several, ["h"], "inner").join(owners, "digest").select("h", "rep")
+    meetings = skew_join(met, several, ["h"], "inner")
     meetings = materialize(meetings, "meetings")
     touched = materialize(meetings.select("rep").distinct(), "touched")
     small = known.select(F.col("doc_id").alias("rep"), "digest", "size", "bits").join(owners, ["rep", "digest"], "left_semi")
     small = materialize(small.join(touched, "rep", "left_semi").dropDuplicates(["rep"]), "representatives")
 
-    first = meetings.groupBy("rep").agg(F.min("h").alias("h")).withColumn("component", F.col("rep"))
-    links, sets = _links(documents, first, small, None, "first")
-    components = materialize(connected_components(links, "first"), "first-components")
-
-    placed = skew_join(meetings, components.withColumnRenamed("id", "rep"), ["rep"])
-    placed = placed.withColumn("component", F.coalesce("component", "rep"))
-    open_groups = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    second = skew_join(placed, open_groups.select("h"), ["h"], "inner").select("rep", "h", "component")
-    more, _ = _links(documents, second, small, sets, "second")
-    merged = connected_components(links.unionByName(more), "second")
+    # Some rounds with one meeting per class connect nearly all; the last looks at every meeting that is still open.
+    components = links = sets = None
+    for turn in range(LIGHT_ROUNDS + 1):
+        placed = meetings.withColumn("component", F.col("rep"))
+        if components is not None:
+            placed = skew_join(meetings, components.withColumnRenamed("id", "rep"), ["rep"])
+            placed = placed.withColumn("component", F.coalesce("component", "rep"))
+        if turn < LIGHT_ROUNDS:
+            order = F.struct(F.xxhash64("h", F.lit(turn)), "h")
+            placed = placed.groupBy("rep", "component").agg(F.min_by("h", order).alias("h"))
+        placed = materialize(placed, "open")
+        several = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+        chosen = skew_join(placed, several.select("h"), ["h"], "inner").select("rep", "h", "component")
+        more, sets = _links(documents, chosen, small, sets, f"round-{turn}")
+        links = more if links is None else links.unionByName(more)
+        components = materialize(connected_components(links, f"components-{turn}"), "components")
+        drop_shuffles(documents)
+    merged = components
 
     final = classes.join(merged.withColumnRenamed("id", "rep"), "rep", "left")
     final = final.select("digest", F.coalesce("component", "rep").alias("component_id"))
