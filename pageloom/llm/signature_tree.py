@@ -48,7 +48,7 @@ FAN_OUT = 16
 LEAF = 64  # a tile with so many members is one leaf of a tree
 BROADCAST_KEYS = 200_000  # hashes, of 8 bytes each, that are sent to every executor at most
 BAND = 1.26  # sizes of linked sets differ by at most 1.25
-MEMO = 600_000
+MEMO = 150_000
 
 
 class WordHashes(dict):
@@ -329,7 +329,7 @@ def _whole_tiles(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.Dat
 
 def _by_bitmaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Members of tiles that the bitmaps leave a partner in another component."""
-    for rows in _whole_tiles(batches, 20_000):
+    for rows in _whole_tiles(batches, 10_000):
         x, y = tile_candidates(Tiles(rows), rows["bits"].tolist(), rows["size"].to_numpy(np.int64))
         groups = rows["component"].to_numpy()
         apart = groups[x] != groups[y]
@@ -339,7 +339,7 @@ def _by_bitmaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _by_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in _whole_tiles(batches, 2_000):
+    for rows in _whole_tiles(batches, 1_000):
         sets = [np.frombuffer(s, np.uint64) for s in rows["hashes"]]
         sizes = np.fromiter(map(len, sets), np.int64, len(sets))
         bits = [bitmap(s, bits_for(len(s))).tobytes() for s in sets]
