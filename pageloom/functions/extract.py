@@ -48,9 +48,13 @@ _MARKDOWN_STEPS = (
 
 
 def decode_text(content: Column) -> Column:
-    """UTF-8 bytes as text: invalid bytes are dropped, every line ends with ``\\n``."""
-    text = F.make_valid_utf8(content.cast("string"))
-    text = F.replace(text, F.lit("�"), F.lit(""))
+    """UTF-8 bytes as text: invalid bytes are dropped, every line ends with ``\\n``.
+
+    Valid bytes stay as they are, replacement characters of the source included.
+    """
+    raw = content.cast("string")
+    repaired = F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit(""))
+    text = F.when(F.is_valid_utf8(raw), raw).otherwise(repaired)
     return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 

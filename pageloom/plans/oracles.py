@@ -159,7 +159,7 @@ ORACLES["doc_kind"] = with_(
             "everything",
             """SELECT seq, path, raw FROM web
  UNION ALL SELECT seq, 'page' || seq, raw FROM web
- UNION ALL SELECT seq, 'plain' || seq, substr(raw, 3000, 1000000) FROM web
+ UNION ALL SELECT seq, 'plain' || seq, regexp_replace(raw, '(?i)<(html|!doctype)', '<x', 'g') FROM web
  UNION ALL SELECT seq, path || '.MD', raw FROM web""",
         ),
         (

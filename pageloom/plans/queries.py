@@ -94,7 +94,7 @@ def doc_kind(spark, sf_dir):
     pages = t.web_pages(spark, sf_dir)
     bare = pages.select("seq", F.concat(F.lit("page"), "seq").alias("path"), "raw")
     plain = pages.select(
-        "seq", F.concat(F.lit("plain"), "seq").alias("path"), F.substring("raw", 3000, 10**6).alias("raw")
+        "seq", F.concat(F.lit("plain"), "seq").alias("path"), F.regexp_replace("raw", "(?i)<(html|!doctype)", "<x").alias("raw")
     )
     marked = pages.select("seq", F.concat("path", F.lit(".MD")).alias("path"), "raw")
     everything = pages.select("seq", "path", "raw").union(bare).union(plain).union(marked)

@@ -92,10 +92,22 @@ def batch_writer(directory: str, settings: BuildSettings) -> Callable[[DataFrame
     return write
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def index_stream(
     pages: DataFrame, directory: str, checkpoint: str, settings: BuildSettings
 ) -> StreamingQuery:
-    """Index everything a streaming ``(path, raw, seq)`` source has, then stop."""
+    """Index everything a streaming ``(path, raw, seq)`` source has, then stop.
+
+    A checkpoint counts the batches from 0, so a new one would overwrite what an
+    older one has indexed in the directory; that is refused.
+    """
+    spark = pages.sparkSession
+    if not _exists(spark, f"{checkpoint}/offsets") and _exists(spark, f"{directory}/documents/{BATCH}=0"):
+        raise ValueError(f"{directory} was filled with another checkpoint; go on with that one, or compact() into a new directory")
     return (
         pages.writeStream.foreachBatch(batch_writer(directory, settings))
         .option("checkpointLocation", checkpoint)

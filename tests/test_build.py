@@ -227,3 +227,11 @@ def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path, pages):
     write(pages, 1)
     index = current_index(spark, out)
     assert rows(index.documents) == documents and rows(index.vectors) == vectors
+
+
+def test_a_new_checkpoint_cannot_overwrite_an_index(spark, tmp_path):
+    folder = tmp_path / "index"
+    (folder / "documents" / "batch_id=0").mkdir(parents=True)
+    pages = spark.readStream.schema("path string, raw string, seq long").parquet(str(tmp_path))
+    with pytest.raises(ValueError, match="another checkpoint"):
+        index_stream(pages, str(folder), str(tmp_path / "new-checkpoint"), SETTINGS)

@@ -100,3 +100,8 @@ def test_scan_of_files(spark, tmp_path):
     hidden = [("vue/vuejs.org/_modules/e.html", "e"), ("vue/vuejs.org/_modules/sub/_deep/f.html", "f")]
     seen = rows(scan_files(spark, [base], rules, hidden_depth=8))
     assert seen == sorted((f"{base}/{name}", raw) for name, raw in [*plain, *hidden])
+
+
+def test_decoding_keeps_replacement_characters_of_valid_files(spark):
+    rows = [(bytearray("a\ufffdb\r\nc".encode()),), (bytearray(b"a\xffb\rc"),)]
+    assert values(spark, rows, "content binary", extract.decode_text(F.col("content"))) == ["a\ufffdb\nc", "ab\nc"]

@@ -22,11 +22,13 @@ def in_order(rows):
     return sorted(rows, key=lambda row: [(value is None, str(value)) for value in row])
 
 
-def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+def test_every_query_of_the_index_has_sql():
+    from pageloom.plans.queries import QUERIES as OWN
 
+    assert set(OWN) <= set(SQL) <= set(QUERIES)
 
-@pytest.mark.parametrize("name", QUERIES)
+
+@pytest.mark.parametrize("name", SQL)
 def test_query_equals_sql(spark, sf, database, name):
     frame = QUERIES[name](spark, sf)
     result = database.execute(SQL[name])
