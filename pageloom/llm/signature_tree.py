@@ -31,7 +31,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,10 +45,13 @@ SHARE = (4, 5)  # links share at least this part of their union
 LIGHT_ROUNDS = 3
 TILE = 1024  # classes of a band in one tile
 FAN_OUT = 16
+PIECE = 256  # rows by which a worker's tiles grow
 LEAF = 64  # a tile with so many members is one leaf of a tree
 BROADCAST_KEYS = 200_000  # hashes, of 8 bytes each, that are sent to every executor at most
 BAND = 1.26  # sizes of linked sets differ by at most 1.25
-MEMO = 150_000
+MEMO = 100_000
+STEP_BYTES = 1 << 22  # of bitmaps that are compared at once
+HELD_BYTES = 1 << 24  # of tiles that a worker holds, if one tile has no more
 
 
 class WordHashes(dict):
@@ -126,12 +129,13 @@ def _possible(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which pairs of nodes can hold a link, by their largest overlap and smallest union."""
     keep = np.ones(len(i), bool)
     part, whole = SHARE
-    for at in range(0, len(i), 1 << 14):
-        x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+    step = max(1, STEP_BYTES // max(1, a[0].shape[1] * 8))
+    for at in range(0, len(i), step):
+        x, y = i[at : at + step], j[at : at + step]
         shared = np.bitwise_count(a[0][x] & b[0][y]).sum(axis=1).astype(np.int64) + np.minimum(a[3][x], b[3][y])
         most = np.minimum(shared, np.minimum(a[2][x], b[2][y]))
         fits = (whole * a[2][x] >= part * b[1][y]) & (whole * b[2][y] >= part * a[1][x])
-        keep[at : at + (1 << 14)] = fits & ((part + whole) * most >= part * (a[1][x] + b[1][y]))
+        keep[at : at + step] = fits & ((part + whole) * most >= part * (a[1][x] + b[1][y]))
     return keep
 
 
@@ -226,12 +230,12 @@ def _folded(bits: list[bytes], widths: np.ndarray, rows: np.ndarray, width: int)
 class Tiles:
     """Rows sorted by tile: where each tile begins, and whose rows meet."""
 
-    def __init__(self, rows: pd.DataFrame):
-        keys = rows[TILE_KEY].to_numpy(np.int64)
-        new = np.ones(len(rows), bool)
+    def __init__(self, rows: pa.Table):
+        keys = np.column_stack([rows[name].to_numpy().astype(np.int64) for name in TILE_KEY])
+        new = np.ones(rows.num_rows, bool)
         new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
         self.starts = np.flatnonzero(new)
-        self.counts = np.diff(np.append(self.starts, len(rows)))
+        self.counts = np.diff(np.append(self.starts, rows.num_rows))
         self.of = np.cumsum(new) - 1
         self.role = rows["role"].to_numpy()
         first = keys[self.starts]
@@ -307,49 +311,51 @@ def _tiles(meetings: DataFrame) -> DataFrame:
     return known.withColumn("own", own).select("h", *rest, F.inline(copies))
 
 
-def _whole_tiles(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+def _whole_tiles(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
     """Batches of a partition sorted by tile, dealt anew so that no tile is cut."""
-    held: list[pd.DataFrame] = []
-    rows = 0
+    held: list[pa.RecordBatch] = []
+    rows = size = 0
     for batch in batches:
-        if not len(batch):
-            continue
-        held.append(batch)
-        rows += len(batch)
-        if rows < least:
-            continue
-        whole = pd.concat(held, ignore_index=True)
-        last = Tiles(whole).starts[-1]
-        if last:
-            yield whole.iloc[:last].reset_index(drop=True)
-        held, rows = [whole.iloc[last:]], len(whole) - last
+        for at in range(0, batch.num_rows, PIECE):
+            piece = batch.slice(at, PIECE)
+            held.append(piece)
+            rows, size = rows + piece.num_rows, size + piece.nbytes
+            if rows < least and size < HELD_BYTES:
+                continue
+            whole = pa.Table.from_batches(held).combine_chunks()
+            last = int(Tiles(whole).starts[-1])
+            if last:
+                yield whole.slice(0, last)
+            rest = whole.slice(last)
+            held, rows, size = rest.to_batches(), rest.num_rows, rest.nbytes
     if held:
-        yield pd.concat(held, ignore_index=True)
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _by_bitmaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _by_bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members of tiles that the bitmaps leave a partner in another component."""
     for rows in _whole_tiles(batches, 10_000):
-        x, y = tile_candidates(Tiles(rows), rows["bits"].tolist(), rows["size"].to_numpy(np.int64))
+        x, y = tile_candidates(Tiles(rows), rows["bits"].to_pylist(), rows["size"].to_numpy().astype(np.int64))
         groups = rows["component"].to_numpy()
         apart = groups[x] != groups[y]
-        keep = np.zeros(len(rows), bool)
+        keep = np.zeros(rows.num_rows, bool)
         keep[x[apart]] = keep[y[apart]] = True
-        yield rows.loc[keep, [*TILE_KEY, "role", "rep", "component"]]
+        yield from rows.select([*TILE_KEY, "role", "rep", "component"]).filter(pa.array(keep)).to_batches()
 
 
-def _by_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in _whole_tiles(batches, 1_000):
-        sets = [np.frombuffer(s, np.uint64) for s in rows["hashes"]]
+        sets = [np.frombuffer(s, np.uint64) for s in rows["hashes"].to_pylist()]
         sizes = np.fromiter(map(len, sets), np.int64, len(sets))
         bits = [bitmap(s, bits_for(len(s))).tobytes() for s in sets]
         tiles = Tiles(rows)
         x, y = tile_candidates(tiles, bits, sizes)
         order = np.argsort(tiles.of[x], kind="stable")
         # Components of the rounds before are connected everywhere, so one forest serves all tiles here.
-        links = links_of(x[order], y[order], sets, rows["component"].tolist())
-        ids = rows["rep"].tolist()
-        yield pd.DataFrame([(ids[p], ids[q]) for p, q in links], columns=["a", "b"], dtype="int64")
+        links = links_of(x[order], y[order], sets, rows["component"].to_pylist())
+        ids = rows["rep"].to_numpy()
+        p, q = np.array(links, np.int64).reshape(-1, 2).T
+        yield pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(ids[q])], names=["a", "b"])
 
 
 def _tile_by_tile(rows: DataFrame) -> DataFrame:
@@ -384,7 +390,7 @@ def _links(documents: DataFrame, meetings: DataFrame, reps: DataFrame, sets: Dat
     sized = skew_join(meetings, reps, ["rep"], "inner")
     tiles = _tiles(sized)
     schema = "h long, band int, kind int, ti int, tj int, role int, rep long, component long"
-    survivors = materialize(_tile_by_tile(tiles).mapInPandas(_by_bitmaps, schema), f"{name}-survivors")
+    survivors = materialize(_tile_by_tile(tiles).mapInArrow(_by_bitmaps, schema), f"{name}-survivors")
     needed = survivors.select("rep").distinct()
     if sets is not None:
         needed = needed.join(sets.select("rep"), "rep", "left_anti")
@@ -398,9 +404,9 @@ def _links(documents: DataFrame, meetings: DataFrame, reps: DataFrame, sets: Dat
     sets = new if sets is None else sets.unionByName(new)
     # Longer bitmaps are nearly exact and still much smaller than the sets.
     fine = add_columns(sets, ["hashes"], "size int, bits binary", _fine_start).drop("hashes")
-    closer = _tile_by_tile(survivors.join(fine, "rep")).mapInPandas(_by_bitmaps, schema)
+    closer = _tile_by_tile(survivors.join(fine, "rep")).mapInArrow(_by_bitmaps, schema)
     full = materialize(closer, f"{name}-closer").join(sets, "rep")
-    links = _tile_by_tile(full).mapInPandas(_by_sets, "a long, b long")
+    links = _tile_by_tile(full).mapInArrow(_by_sets, "a long, b long")
     return materialize(links, f"{name}-links"), sets
 
 
