@@ -30,7 +30,7 @@ from pageloom.operators.index import (
 )
 from pageloom.session import materialize, with_computed
 
-NO_TEXT, NOT_MEANINGFUL = "no_text", "not_meaningful"
+NO_TEXT, NOT_MEANINGFUL, EXTRACT_FAILED = "no_text", "not_meaningful", "extract_failed"
 
 
 def default_extract(path: Column, raw: Column) -> Column:
@@ -61,12 +61,14 @@ class BuildResult:
 def extract_pages(pages: DataFrame, settings: BuildSettings) -> DataFrame:
     """``(path, seq, text, skip_reason)`` of the pages that pass the scan rules.
 
-    The reason is null for the pages to be indexed.
+    The reason is null for the pages to be indexed. A page with a ``read_error``,
+    as a scan of files gives it, is counted as failed.
     """
     path, text = F.col("path"), F.col("text")
     scanned = pages.where(scan_filter(path, settings.scan))
     extracted = with_computed(scanned, "text", settings.extract(path, F.col("raw")))
-    reason = F.when(is_blank(text), NO_TEXT).when(
+    failed = F.col("read_error").isNotNull() if "read_error" in pages.columns else F.lit(False)
+    reason = F.when(failed, EXTRACT_FAILED).when(is_blank(text), NO_TEXT).when(
         ~is_meaningful_for(path, text, settings.policy), NOT_MEANINGFUL
     )
     return extracted.select("path", "seq", "text", reason.alias("skip_reason"))
@@ -94,15 +96,17 @@ def build_stats(extracted: DataFrame, changed: DataFrame) -> DataFrame:
         F.count_if(F.col("skip_reason").isNull()).alias("saved"),
         F.count_if(F.col("skip_reason") == NO_TEXT).alias("skipped_no_text"),
         F.count_if(F.col("skip_reason") == NOT_MEANINGFUL).alias("skipped_not_meaningful"),
+        F.count_if(F.col("skip_reason") == EXTRACT_FAILED).alias("skipped_extract_failed"),
         F.count("*").alias("candidate_files"),
     )
     new = changed.agg(F.count_if(F.col("status") == NEW).alias("new_documents"))
     return seen.withColumn("new_documents", new.scalar()).select(
         "new_documents",
         (F.col("saved") - F.col("new_documents")).alias("updated_documents"),
-        (F.col("skipped_no_text") + F.col("skipped_not_meaningful")).alias("skipped_documents"),
+        (F.col("candidate_files") - F.col("saved")).alias("skipped_documents"),
         "skipped_no_text",
         "skipped_not_meaningful",
+        "skipped_extract_failed",
         F.col("saved").alias("total_documents"),
         "candidate_files",
     )
@@ -114,7 +118,7 @@ def build_index(
     settings: BuildSettings,
     keep: Callable[[DataFrame, str], DataFrame] = materialize,
 ) -> BuildResult:
-    """Index ``pages(path, raw, seq)`` into ``current``.
+    """Index ``pages(path, raw, seq)`` into ``current``; ``read_error`` is optional.
 
     ``keep`` stores a table that is needed more than once and returns it as
     stored: the extracted texts (for the statistics and the documents), the

@@ -621,6 +621,7 @@ _STATS = """SELECT {new} AS new_documents,
  count(reason) AS skipped_documents,
  count(*) FILTER (reason = 'no_text') AS skipped_no_text,
  count(*) FILTER (reason = 'not_meaningful') AS skipped_not_meaningful,
+ count(*) FILTER (reason = 'extract_failed') AS skipped_extract_failed,
  count(*) FILTER (reason IS NULL) AS total_documents,
  count(*) AS candidate_files FROM judged"""
 ORACLES["build_stats"] = with_(

@@ -1,55 +1,102 @@
-"""Pages from directories of mirrored files."""
+"""Pages from directories of mirrored files.
+
+Directories are listed in tasks, level by level, so the driver never holds the
+tree; one directory is listed by one task. Paths are tested on the listing, and
+only the files that pass are opened, again in tasks. A file that cannot be read
+is a row with an error, not the end of the job.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.config import ScanRules
 from pageloom.functions.extract import decode_text
 from pageloom.functions.paths import scan_filter
+from pageloom.session import materialize
 
+# Names below a root are kept apart from it, as they may not be valid in a URI.
+_LISTED = "root string, inner string, is_directory boolean, size long"
+_READ = "path string, content binary, read_error string"
+_TASK_BYTES = 128 * 1024 * 1024  # of files that one task reads
+_MOST_BYTES = 2**31 - 2**16  # a row cannot hold more
 
-def _hidden_directories(spark: SparkSession, directory: str, depth: int) -> list[str]:
-    """Directories whose names start with ``_`` or ``.``, by glob patterns.
 
-    A file source leaves them out of what it finds below a directory, but takes
-    them when they are named themselves.
-    """
-    jvm = spark._jvm
-    found = []
-    for level in range(depth):
-        pattern = jvm.org.apache.hadoop.fs.Path(f"{directory.rstrip('/')}{'/*' * level}/[_.]*")
-        system = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
-        entries = system.globStatus(pattern) or []
-        found += [entry.getPath().toString() for entry in entries if entry.isDirectory()]
-    return found
-
-
-def scan_files(
-    spark: SparkSession, directories: Iterable[str], rules: ScanRules, hidden_depth: int = 0
-) -> DataFrame:
-    """``(path, raw)`` of the files below the directories that pass the scan rules.
-
-    Paths are tested before any content is read. ``hidden_depth`` is the number
-    of directory levels in which to look for directories whose names start with
-    ``_`` or ``.``, such as ``_modules/``. Files with such names are never read;
-    a table of pages has no such limit.
+def _list_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What lies directly in the given directories; one that cannot be listed comes as a file."""
+    for batch in batches:
+        for root, inner in zip(batch.column("root").to_pylist(), batch.column("inner").to_pylist()):
+            system = FileSystem.from_uri(root)[0]
+            try:
+                found = system.get_file_info(FileSelector(inner))
+                entries = [(root, e.path, e.type == FileType.Directory, e.size or 0) for e in found]
+            except OSError:
+                entries = [(root, inner, False, 0)]
+            columns = zip(*entries) if entries else ([], [], [], [])
+            types = (pa.string(), pa.string(), pa.bool_(), pa.int64())
+            arrays = [pa.array(list(column), kind) for column, kind in zip(columns, types)]
+            yield pa.RecordBatch.from_arrays(arrays, ["root", "inner", "is_directory", "size"])
+
+
+def list_files(spark: SparkSession, directories: Iterable[str]) -> DataFrame:
+    """``(path, root, inner, size)`` of every file below the directories, whatever its name.
+
+    The tasks reach the directories with ``pyarrow.fs``.
     """
-    directories = [str(directory) for directory in directories]
-    hidden = [
-        found for d in directories for found in _hidden_directories(spark, d, hidden_depth)
-    ]
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load([*directories, *hidden])
+    roots = []
+    for directory in dict.fromkeys(str(d) for d in directories):
+        root = directory.rstrip("/") or "/"
+        if root.startswith("file:"):
+            root = "/" + root.removeprefix("file:").lstrip("/")
+        roots.append((root, FileSystem.from_uri(root)[1], True, 0))
+    level = spark.createDataFrame(roots, _LISTED)
+    files = level.where("not is_directory")
+    while level.where("is_directory").limit(1).count():
+        wide = level.where("is_directory").repartition("inner")
+        level = materialize(wide.mapInArrow(_list_level, _LISTED), "listing")
+        files = files.union(level.where("not is_directory"))
+    prefix = spark.createDataFrame(
+        [(root, root[: len(root) - len(inner)]) for root, inner, _, _ in roots], "root string, prefix string"
     )
-    path = F.regexp_replace("path", r"\Afile:/+", "/")
-    return (
-        files.withColumn("path", path)
-        .where(scan_filter(F.col("path"), rules))
-        .select("path", decode_text(F.col("content")).alias("raw"))
+    named = files.join(F.broadcast(prefix), "root").withColumn("path", F.concat("prefix", "inner"))
+    # Directories may lie in each other; a file is read once.
+    return named.groupBy("path").agg(F.min_by(F.struct("root", "inner", "size"), "root").alias("f")).select("path", "f.*")
+
+
+def _read_file(root: str, inner: str, size: int) -> tuple[bytes | None, str | None]:
+    if size > _MOST_BYTES:
+        return None, f"{size} bytes are too many for a row"
+    try:
+        with FileSystem.from_uri(root)[0].open_input_stream(inner, compression=None) as stream:
+            return stream.read(), None
+    except (OSError, pa.ArrowException) as error:
+        return None, str(error)
+
+
+def _read_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            content, error = _read_file(row["root"], row["inner"], row["size"])
+            arrays = [pa.array([row["path"]]), pa.array([content], pa.binary()), pa.array([error], pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, ["path", "content", "read_error"])
+
+
+def scan_files(spark: SparkSession, directories: Iterable[str], rules: ScanRules) -> DataFrame:
+    """``(path, raw, seq, read_error)`` of the files below the directories that pass the scan rules.
+
+    What the rules leave out is never opened. ``raw`` is null where there is an
+    error. A path occurs once, so ``seq`` is 0.
+    """
+    kept = list_files(spark, directories).where(scan_filter(F.col("path"), rules))
+    kept = materialize(kept, "scan")
+    total = kept.agg(F.sum("size")).head()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // _TASK_BYTES))
+    files = kept.repartition(tasks, "path").mapInArrow(_read_all, _READ)
+    return files.select(
+        "path", decode_text(F.col("content")).alias("raw"), F.lit(0).cast("long").alias("seq"), "read_error"
     )

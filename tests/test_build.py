@@ -93,6 +93,7 @@ def test_statistics(pages, built):
         "skipped_documents": 3,
         "skipped_no_text": 2,
         "skipped_not_meaningful": 1,
+        "skipped_extract_failed": 0,
         "total_documents": 4,
         "candidate_files": 7,
     }

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from helpers import rows, values
 from pageloom.config import ScanRules
 from pageloom.functions import extract
+from pageloom.plans.build import BuildSettings, extract_pages
 from pageloom.sources.files import scan_files
 from pageloom.sources.pages import first_segment, mirror_path
 
@@ -79,27 +80,42 @@ def test_mirror_path(spark):
 def test_scan_of_files(spark, tmp_path):
     base = tmp_path / "docs"
     files = {
-        "vue/vuejs.org/a.html": b"<p>a</p>\r\n",
-        "vue/vuejs.org/deep/er/b.MD": b"b",
-        "vue/vuejs.org/README": b"c\xff",
-        "vue/vuejs.org/search.html": b"no",
-        "vue/vuejs.org/pic.png": b"no",
-        "vue/segment.com/d.html": b"no",
-        "vue/vuejs.org/_modules/e.html": b"e",
-        "vue/vuejs.org/_modules/sub/_deep/f.html": b"f",
-        "vue/vuejs.org/_g.html": b"names of files cannot start with _",
+        "vue/vuejs.org/README": (b"c\xff", "c"),
+        "vue/vuejs.org/_g.html": (b"g", "g"),
+        "vue/vuejs.org/_modules/e.html": (b"e", "e"),
+        "vue/vuejs.org/_modules/sub/_deep/f.html": (b"f", "f"),
+        "vue/vuejs.org/.well-known/_index.md": (b"h", "h"),
+        "vue/vuejs.org/a b%20 #1.html": (b"<p>a</p>\r\n", "<p>a</p>\n"),
+        "vue/vuejs.org/deep/er/b.MD": (b"", ""),
+        "vue/vuejs.org/search.html": (b"no", None),
+        "vue/vuejs.org/pic.png": (b"no", None),
+        "vue/segment.com/d.html": (b"no", None),
     }
-    for name, content in files.items():
+    for name, (content, _) in files.items():
         path = base / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(content)
+    (base / "empty").mkdir()
     rules = ScanRules(base=f"{base}/")
-    seen = rows(scan_files(spark, [base], rules))
-    plain = [("vue/vuejs.org/README", "c"), ("vue/vuejs.org/a.html", "<p>a</p>\n"), ("vue/vuejs.org/deep/er/b.MD", "b")]
-    assert seen == [(f"{base}/{name}", raw) for name, raw in plain]
-    hidden = [("vue/vuejs.org/_modules/e.html", "e"), ("vue/vuejs.org/_modules/sub/_deep/f.html", "f")]
-    seen = rows(scan_files(spark, [base], rules, hidden_depth=8))
-    assert seen == sorted((f"{base}/{name}", raw) for name, raw in [*plain, *hidden])
+    wanted = sorted((f"{base}/{name}", raw, 0, None) for name, (_, raw) in files.items() if raw is not None)
+    assert rows(scan_files(spark, [base], rules)) == wanted
+    # A directory inside another one adds nothing.
+    assert rows(scan_files(spark, [f"file://{base}", base / "vue"], rules)) == wanted
+    assert rows(scan_files(spark, [base / "empty"], rules)) == []
+
+
+def test_unreadable_files_are_counted(spark, tmp_path):
+    base = tmp_path / "docs"
+    (base / "vue/vuejs.org").mkdir(parents=True)
+    (base / "vue/vuejs.org/good.html").write_bytes(b"<p>text</p>")
+    (base / "vue/vuejs.org/gone.html").write_bytes(b"<p>text</p>")
+    seen = scan_files(spark, [base], ScanRules(base=f"{base}/"))
+    (base / "vue/vuejs.org/gone.html").unlink()  # after it was listed
+    got = {row["path"].rsplit("/", 1)[1]: (row["raw"], row["read_error"] is not None) for row in seen.collect()}
+    assert got == {"good.html": ("<p>text</p>", False), "gone.html": (None, True)}
+    settings = BuildSettings(scan=ScanRules(base=f"{base}/"))
+    reasons = {row["path"].rsplit("/", 1)[1]: row["skip_reason"] for row in extract_pages(seen, settings).collect()}
+    assert reasons == {"good.html": "not_meaningful", "gone.html": "extract_failed"}
 
 
 def test_decoding_keeps_replacement_characters_of_valid_files(spark):
