@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.config import DEFAULT_DIM, DEFAULT_TEXT_CAP
+from pageloom.config import DEFAULT_DIM, embed_text_cap
 
 Encoder = Callable[[list], np.ndarray]
 
@@ -56,13 +56,16 @@ class HashingEncoder:
 
 
 def encode_batch(
-    texts: DataFrame, encoder: Encoder, text_cap: int = DEFAULT_TEXT_CAP, batch_size: int = 256
+    texts: DataFrame, encoder: Encoder, text_cap: int | None = None, batch_size: int = 256
 ) -> DataFrame:
     """``(doc_id, embedding)`` from ``(doc_id, text)``.
 
     The encoder sees at most ``text_cap`` characters of a text, which is how it
-    is defined: the index itself keeps the whole text.
+    is defined: the index itself keeps the whole text. Without one, the setting of
+    the session counts.
     """
+    if text_cap is None:
+        text_cap = embed_text_cap(texts.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

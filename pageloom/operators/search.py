@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.config import DEFAULT_K, DEFAULT_TEXT_CAP, MAX_K
+from pageloom.config import DEFAULT_K, MAX_K
 from pageloom.operators.embed import Encoder, encode_batch
 from pageloom.session import materialize
 
@@ -377,7 +377,7 @@ def search_texts(
     queries: DataFrame,
     encoder: Encoder,
     k: int = DEFAULT_K,
-    text_cap: int = DEFAULT_TEXT_CAP,
+    text_cap: int | None = None,
 ) -> DataFrame:
     """Search results for ``(query_id, query, category)``, texts still to be encoded.
 

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.config import (
-    DEFAULT_TEXT_CAP,
     KNOWN_CATEGORIES,
     CleaningRules,
     ContentPolicy,
@@ -47,7 +46,7 @@ class BuildSettings:
     categories: tuple = KNOWN_CATEGORIES
     policy: ContentPolicy = ContentPolicy()
     encoder: Encoder = HashingEncoder()
-    text_cap: int = DEFAULT_TEXT_CAP
+    text_cap: int | None = None  # the setting of the session
 
 
 @dataclass(frozen=True)

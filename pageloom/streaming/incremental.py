@@ -54,10 +54,22 @@ def _latest(versions: DataFrame, key: str) -> DataFrame:
     return versions.join(changed, key, "left").where(newest).drop(BATCH, "newest")
 
 
+def _complete_batches(spark: SparkSession, directory: str) -> list[int]:
+    """The batches whose vectors, which are written last, are all there."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{directory}/vectors/{BATCH}=*/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return [int(entry.getPath().getParent().getName().split("=")[1]) for entry in found]
+
+
 def current_index(spark: SparkSession, directory: str) -> Index:
-    """The index as of the last complete batch."""
-    documents = _versions(spark, directory, "documents", DOCUMENTS_SCHEMA)
-    vectors = _versions(spark, directory, "vectors", VECTORS_SCHEMA)
+    """The index as of the last complete batch.
+
+    A batch counts once Spark has marked its vectors as written. The marks are one
+    small file per batch since the last ``compact``.
+    """
+    complete = F.col(BATCH).isin(_complete_batches(spark, directory))
+    documents = _versions(spark, directory, "documents", DOCUMENTS_SCHEMA).where(complete)
+    vectors = _versions(spark, directory, "vectors", VECTORS_SCHEMA).where(complete)
     return Index(
         _latest(documents, "path").select(*DOCUMENT_COLUMNS),
         _latest(vectors, "doc_id").select("doc_id", "embedding"),

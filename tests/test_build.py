@@ -236,3 +236,29 @@ def test_a_new_checkpoint_cannot_overwrite_an_index(spark, tmp_path):
     pages = spark.readStream.schema("path string, raw string, seq long").parquet(str(tmp_path))
     with pytest.raises(ValueError, match="another checkpoint"):
         index_stream(pages, str(folder), str(tmp_path / "new-checkpoint"), SETTINGS)
+
+
+def test_a_half_written_batch_is_not_shown(spark, tmp_path):
+    folder = str(tmp_path)
+    for batch, text in ((0, "old"), (1, "new")):
+        documents = spark.createDataFrame([(1, "p", "u", text, "c")], DOCUMENTS_SCHEMA)
+        documents.write.parquet(f"{folder}/documents/batch_id={batch}")
+        assert [r["text"] for r in current_index(spark, folder).documents.collect()] == ["old"][:batch]
+        vectors = spark.createDataFrame([(1, [float(batch)])], VECTORS_SCHEMA)
+        vectors.write.parquet(f"{folder}/vectors/batch_id={batch}")
+        index = current_index(spark, folder)
+        assert [r["text"] for r in index.documents.collect()] == [text]
+        assert [r["embedding"] for r in index.vectors.collect()] == [[float(batch)]]
+
+
+def test_the_encoder_sees_texts_up_to_the_setting_of_the_session(spark):
+    texts = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    short = spark.createDataFrame([(1, "one two")], "doc_id long, text string")
+    encoder = HashingEncoder(16)
+    wanted = rows(encode_batch(short, encoder))
+    spark.conf.set(config.TEXT_CAP_CONF, "7")
+    try:
+        assert rows(encode_batch(texts, encoder)) == wanted
+    finally:
+        spark.conf.unset(config.TEXT_CAP_CONF)
+    assert rows(encode_batch(texts, encoder)) != wanted
