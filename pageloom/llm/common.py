@@ -52,7 +52,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
 
     Labels move along the edges and then jump to the label of their label, so
     the number of rounds grows with the logarithm of the longest path. Every
-    round is written to the shared folder; nothing is collected but a count.
+    round is written to the shared folder; nothing is collected but whether a label moved.
     """
     both = materialize(
         edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), f"{name}-edges"
@@ -77,7 +77,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
             ),
             f"{name}-{turn}",
         )
-        if labels.where(F.col("old") != F.col("component")).limit(1).count() == 0:
+        if labels.where(F.col("old") != F.col("component")).isEmpty():
             break
     return labels.select("id", "component")
 

@@ -352,10 +352,10 @@ def _by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, y = tile_candidates(tiles, bits, sizes)
         order = np.argsort(tiles.of[x], kind="stable")
         # Components of the rounds before are connected everywhere, so one forest serves all tiles here.
-        links = links_of(x[order], y[order], sets, rows["component"].to_pylist())
-        ids = rows["rep"].to_numpy()
+        groups = rows["component"].to_numpy()
+        links = links_of(x[order], y[order], sets, groups.tolist())
         p, q = np.array(links, np.int64).reshape(-1, 2).T
-        yield pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(ids[q])], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(groups[p]), pa.array(groups[q])], names=["a", "b"])
 
 
 def _tile_by_tile(rows: DataFrame) -> DataFrame:
@@ -386,8 +386,8 @@ def _fine_start():
 
 
 def _links(documents: DataFrame, meetings: DataFrame, reps: DataFrame, sets: DataFrame | None, name: str):
-    """Links among the members of the meetings ``(h, rep, component)``, and the sets that were needed."""
-    sized = skew_join(meetings, reps, ["rep"], "inner")
+    """Linked components of the members of the meetings ``(h, rep, component)``, and the sets that were needed."""
+    sized = meetings.join(reps, "rep")
     tiles = _tiles(sized)
     schema = "h long, band int, kind int, ti int, tj int, role int, rep long, component long"
     survivors = materialize(_tile_by_tile(tiles).mapInArrow(_by_bitmaps, schema), f"{name}-survivors")
@@ -410,6 +410,13 @@ def _links(documents: DataFrame, meetings: DataFrame, reps: DataFrame, sets: Dat
     return materialize(links, f"{name}-links"), sets
 
 
+def _relabelled(components: DataFrame, joined: DataFrame) -> DataFrame:
+    """``(id, component)`` after components were joined; an id that is in none yet is one of its own."""
+    labels = joined.select(F.col("id").alias("component"), F.col("component").alias("to"))
+    moved = components.join(labels, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    return moved.unionByName(joined.join(components.select("id"), "id", "left_anti"))
+
+
 def shingle_classes(documents: DataFrame) -> DataFrame:
     """``(doc_id, size, digest, prefix, bits)``, stored: what the join needs of each document."""
     made = add_columns(
@@ -448,11 +455,11 @@ def similar_documents(documents: DataFrame) -> DataFrame:
     small = materialize(small.join(touched, "rep", "left_semi").dropDuplicates(["rep"]), "representatives")
 
     # Some rounds with one meeting per class connect nearly all; the last looks at every meeting that is still open.
-    components = links = sets = None
+    components = sets = None
     for turn in range(LIGHT_ROUNDS + 1):
         placed = meetings.withColumn("component", F.col("rep"))
         if components is not None:
-            placed = skew_join(meetings, components.withColumnRenamed("id", "rep"), ["rep"])
+            placed = meetings.join(components.withColumnRenamed("id", "rep"), "rep", "left")
             placed = placed.withColumn("component", F.coalesce("component", "rep"))
         if turn < LIGHT_ROUNDS:
             order = F.struct(F.xxhash64("h", F.lit(turn)), "h")
@@ -460,13 +467,12 @@ def similar_documents(documents: DataFrame) -> DataFrame:
         placed = materialize(placed, "open")
         several = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
         chosen = skew_join(placed, several.select("h"), ["h"], "inner").select("rep", "h", "component")
-        more, sets = _links(documents, chosen, small, sets, f"round-{turn}")
-        links = more if links is None else links.unionByName(more)
-        components = materialize(connected_components(links, f"components-{turn}"), "components")
+        links, sets = _links(documents, chosen, small, sets, f"round-{turn}")
+        joined = connected_components(links, f"components-{turn}")
+        components = joined if components is None else materialize(_relabelled(components, joined), "components")
         drop_shuffles(documents)
-    merged = components
 
-    final = classes.join(merged.withColumnRenamed("id", "rep"), "rep", "left")
+    final = classes.join(components.withColumnRenamed("id", "rep"), "rep", "left")
     final = final.select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = skew_join(known.select("doc_id", "size", "digest"), final, ["digest"])
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
