@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,19 +17,22 @@ _DROPPED_ELEMENTS = ("script", "style", "nav", "footer", "table")
 _BLOCK_TAG = (
     r"(?i)<(?:/?(?:p|div|h[1-6]|li|ul|ol|section|article|pre|blockquote)|br)\b[^>]*>"
 )
-# `&amp;` comes last, so that `&amp;lt;` becomes `&lt;` and not `<`.
-_ENTITIES = (
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&nbsp;", "\xa0"),
-    ("&amp;", "&"),
+_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+_FRONT_MATTER = r"(?s)\A\s*-{3,}[ \t]*\n.*?\n-{3,}[ \t]*(?:\n|\z)"
+# Code in Markdown: spans between equally many back-ticks, those of one not beyond a blank
+# line, and indented lines after a blank one.
+_CODE = (
+    r"(?<!`)(`{3,})(?!`)[\s\S]*?(?<!`)\1(?!`)"
+    r"|(?<!`)``(?!`)[^\n]*?(?<!`)``(?!`)"
+    r"|(?<!`)`(?!`)(?:[^`\n]++|\n(?![ \t]*\n))++`(?!`)"
+    r"|(?:(?<=\n\n)|\A)(?:(?:[ ]{4}|\t)[^\n]*+(?:\n|\z))++"
 )
+# While the marks are taken away, those in code are written as noncharacters.
+_MARKS = "*_<>&[]()#-+!.`"
+_HIDDEN = "".join(chr(0xFDD0 + i) for i in range(len(_MARKS)))
 # Markdown marks and what stays of them, in order. Images go like any tag; a
 # code fence leaves its content, as inline code does.
 _MARKDOWN_STEPS = (
-    (r"(?s)\A\s*-{3,}[ \t]*\n.*?\n-{3,}[ \t]*(?:\n|\z)", ""),  # front matter
     (r"(?m)^[ ]{0,3}\[[^\]\n]+\]:[ \t]*\S.*$", ""),  # link definitions
     (r"!\[[^\]]*\]\([^)]*\)", " "),
     (r"\[([^\]]*)\]\([^)]*\)", "$1"),
@@ -100,16 +105,53 @@ def html_main_text(html: Column) -> Column:
     main = bind(html, lambda h: F.coalesce(element(h, "article"), element(h, "body"), h))
     text = F.regexp_replace(main, _BLOCK_TAG, "\n")
     text = F.regexp_replace(text, r"<[^>]+>", "")
-    for entity, char in _ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return bind(text, lambda t: F.when(is_blank(t), F.lit("")).otherwise(t))
+    return bind(decode_references(text), lambda t: F.when(is_blank(t), F.lit("")).otherwise(t))
+
+
+def _replace_matches(text: Column, pattern: str, change) -> Column:
+    """The text with ``change(match)`` in place of every match."""
+
+    def joined(t: Column) -> Column:
+        matches = F.transform(F.regexp_extract_all(t, F.lit(pattern), 0), change)
+        pairs = F.zip_with(F.split(t, pattern, -1), matches, lambda rest, m: F.concat(rest, F.coalesce(m, F.lit(""))))
+        return F.array_join(pairs, "")
+
+    return bind(text, joined)
+
+
+def decode_references(text: Column) -> Column:
+    """Named (HTML 4) and numeric character references as characters; others stay as they are."""
+    named = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))])
+
+    def char(reference: Column) -> Column:
+        name = F.substring(reference, 2, 12)
+        name = F.replace(name, F.lit(";"), F.lit(""))
+        digits = F.regexp_replace(name, "^#[xX]?", "")
+        code = F.when(name.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("int")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        number = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.coalesce(
+            F.when(F.startswith(name, F.lit("#")), F.when(valid, number)).otherwise(F.try_element_at(named, name)),
+            reference,
+        )
+
+    return _replace_matches(text, _REFERENCE, char)
+
+
+def _hide_code(code: Column) -> Column:
+    ticked = F.startswith(code, F.lit("`"))
+    plain = F.when(ticked, F.regexp_replace(code, r"\A`+|`+\z", "")).otherwise(code)
+    return F.translate(plain, _MARKS, _HIDDEN)
 
 
 def markdown_text(raw: Column) -> Column:
-    """Markdown as a single line of text."""
+    """Markdown as a single line of text; code stays as it is, with ``& < >`` as entities."""
+    raw = _replace_matches(F.regexp_replace(raw, _FRONT_MATTER, ""), _CODE, _hide_code)
     for pattern, kept in _MARKDOWN_STEPS:
         raw = F.regexp_replace(raw, pattern, kept)
-    return F.coalesce(pystrip(raw), F.lit(""))
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        raw = F.replace(raw, F.lit(_HIDDEN[_MARKS.index(mark)]), F.lit(entity))
+    return F.coalesce(pystrip(F.translate(raw, _HIDDEN, _MARKS)), F.lit(""))
 
 
 def extract_text(path: Column, raw: Column, clean, sniff_by_name: bool = False) -> Column:

@@ -136,8 +136,19 @@ def upsert_documents(current: DataFrame, incoming: DataFrame) -> DataFrame:
     return kept.unionByName(with_ids(incoming, current).select(*DOCUMENT_COLUMNS))
 
 
-def save_embeddings(vectors: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The vectors after replacing those with an incoming ``doc_id``, which is unique."""
+def save_embeddings(
+    vectors: DataFrame, incoming: DataFrame, order: str | None = None, unique: bool = False
+) -> DataFrame:
+    """The vectors after replacing those with an incoming ``doc_id``.
+
+    Of an id that comes more than once the row with the highest ``order`` counts,
+    and of those, or without an order, the one with the greatest embedding.
+    ``unique`` says that no id does, and saves a shuffle of the incoming vectors.
+    """
+    if not unique:
+        sorting = [F.col(name).desc() for name in (order, "embedding") if name]
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*sorting))
+        incoming = incoming.withColumn("_place", place).where(F.col("_place") == 1)
     kept = vectors.join(incoming.select("doc_id"), "doc_id", "left_anti")
     return kept.select("doc_id", "embedding").unionByName(incoming.select("doc_id", "embedding"))
 

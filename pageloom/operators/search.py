@@ -53,15 +53,20 @@ def searchable(documents: DataFrame, vectors: DataFrame) -> DataFrame:
     ).select("doc_id", "category", "embedding")
 
 
-def _matrix(embeddings: pa.Array | Sequence) -> np.ndarray:
-    """Rows of equal length as a matrix of doubles."""
+def _matrix(embeddings: pa.Array | Sequence, dim: int | None = None) -> np.ndarray:
+    """Rows of ``dim`` numbers, or as many as the first has, as a matrix of doubles; others are an error."""
     if isinstance(embeddings, pa.Array):
-        flat = embeddings.flatten().to_numpy(zero_copy_only=False)
-        rows = len(embeddings)
+        numbers, lengths = embeddings.flatten(), embeddings.value_lengths().to_numpy()
+        if numbers.null_count:
+            raise ValueError("an embedding holds a null")
+        flat = numbers.to_numpy(zero_copy_only=False)
     else:
-        rows = len(embeddings)
-        flat = np.concatenate([np.asarray(e, dtype=np.float32) for e in embeddings])
-    return flat.reshape(rows, -1).astype(np.float64)
+        rows = [np.asarray(e, dtype=np.float32) for e in embeddings]
+        flat, lengths = np.concatenate(rows), np.array([len(row) for row in rows])
+    dim = int(lengths[0]) if dim is None else dim
+    if (wrong := lengths[lengths != dim]).size:
+        raise ValueError(f"an embedding has {wrong[0]} numbers and not {dim}")
+    return flat.reshape(len(lengths), dim).astype(np.float64)
 
 
 def _best(query: np.ndarray, doc: np.ndarray, score: np.ndarray, k: int):
@@ -147,7 +152,7 @@ def _scan_hits(corpus: DataFrame, ids, categories, vectors: np.ndarray, k: int)
                 best.add(
                     batch.column("doc_id").to_numpy(zero_copy_only=False),
                     batch.column("category").to_pylist(),
-                    _matrix(batch.column("embedding")),
+                    _matrix(batch.column("embedding"), query_vectors.shape[1]),
                 )
         names = ["query_id", "doc_id", "score"]
         yield pa.RecordBatch.from_arrays([pa.array(column) for column in best.hits()], names=names)
@@ -183,7 +188,9 @@ def _block_hits(
             return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
         best = _TopK(wanted["query_id"], wanted["category"], _matrix(list(wanted["embedding"])), k)
         best.add(
-            docs["doc_id"].to_numpy(), docs["category"].to_numpy(), _matrix(list(docs["embedding"]))
+            docs["doc_id"].to_numpy(),
+            docs["category"].to_numpy(),
+            _matrix(list(docs["embedding"]), best.vectors.shape[1]),
         )
         return pd.DataFrame(dict(zip(("query_id", "doc_id", "score"), best.hits())))
 
@@ -220,7 +227,7 @@ def nearest(
 ) -> DataFrame:
     """``(query_id, rank, doc_id, score)``: the k nearest documents of every query.
 
-    ``query_id`` must be unique. Up to ``query_budget`` bytes of query vectors
+    ``query_id`` must be unique, and is checked. Up to ``query_budget`` bytes of query vectors
     are read to decide between the two ways described above.
     """
     return _nearest(corpus, queries, k, query_budget, corpus_block, query_block)[0]
@@ -241,8 +248,12 @@ def _nearest(
     most = max(1, query_budget // (4 * max(1, first[0])))
     some = queries.limit(most + 1).toPandas()
     if len(some) > most:
+        if not queries.groupBy("query_id").count().where("count > 1").isEmpty():
+            raise ValueError("query_id is not unique")
         hits = _block_hits(corpus, queries, k, corpus_block, query_block)
         return rank_hits(hits, k), False
+    if some["query_id"].duplicated().any():
+        raise ValueError("query_id is not unique")
     ids, categories = some["query_id"].to_numpy(), some["category"].to_numpy()
     hits = _scan_hits(corpus, ids, categories, _matrix(list(some["embedding"])), k)
     return rank_hits(hits, k), True
@@ -273,7 +284,7 @@ def score_vectors(vectors: DataFrame, query: Sequence[float]) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                gap = _matrix(batch.column("embedding")) - target
+                gap = _matrix(batch.column("embedding"), len(target)) - target
                 scores = pa.array(np.sqrt((gap * gap).sum(axis=1)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), scores], names=["doc_id", "score"]

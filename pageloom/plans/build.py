@@ -128,6 +128,6 @@ def build_index(
     texts = changed.select(F.col("id").alias("doc_id"), "text")
     encoded = keep(encode_batch(texts, settings.encoder, settings.text_cap), "vectors")
     index = Index(
-        replace_documents(current.documents, changed), save_embeddings(current.vectors, encoded)
+        replace_documents(current.documents, changed), save_embeddings(current.vectors, encoded, unique=True)
     )
     return BuildResult(index, changed, encoded, build_stats(extracted, changed))

@@ -121,3 +121,23 @@ def test_unreadable_files_are_counted(spark, tmp_path):
 def test_decoding_keeps_replacement_characters_of_valid_files(spark):
     rows = [(bytearray("a\ufffdb\r\nc".encode()),), (bytearray(b"a\xffb\rc"),)]
     assert values(spark, rows, "content binary", extract.decode_text(F.col("content"))) == ["a\ufffdb\nc", "ab\nc"]
+
+
+def test_markdown_keeps_code(spark):
+    given = {
+        "Call `List<String>` and `__init__` with `a**b` or **bold**": "Call List&lt;String&gt; and __init__ with a**b or bold",
+        "a\n\n    Map<K,V> m; // *x*\n    - y & z\n\n- *b*": "a Map&lt;K,V&gt; m; // *x* - y &amp; z b",
+        "```py\n# no *head*\n\n- x_1 > [y](z)\n```\n# head": "py # no *head* - x_1 &gt; [y](z) head",
+        "``a`b*c*`` and [`f<T>`](http://a.b)": "a`b*c* and f&lt;T&gt;",
+        "one ` tick\n\n*two* ` tick": "one tick two tick",
+        "`&copy;` &copy;": "&amp;copy; &copy;",
+        "`" + "a*b " * 50_000 + "`": ("a*b " * 50_000).strip(),
+    }
+    got = values(spark, [(g,) for g in given], "raw string", extract.markdown_text(F.col("raw")))
+    assert got == list(given.values())
+
+
+def test_references(spark):
+    given = "&eacute; &#8212; &#x27; &copy;&hellip; &#128512; &amp;lt; &amp;#39; &unknown; &#55296; &#0; & &#x110000; &;"
+    page = f"<article><p>{given}</p></article>"
+    assert html(spark, page) == ["\n\u00e9 \u2014 ' \u00a9\u2026 \U0001f600 &lt; &#39; &unknown; &#55296; &#0; & &#x110000; &;\n"]

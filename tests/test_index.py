@@ -137,3 +137,10 @@ def test_documents_from_before_there_was_a_url(spark, current, tmp_path):
     assert old.columns == list(ix.DOCUMENT_COLUMNS)
     assert {r["url"] for r in old.collect()} == {None}
     assert ix.backfill_urls(old, "/d/")[1].head()[0] == 3
+
+
+def test_save_embeddings_with_repeated_ids(spark, current):
+    new = spark.createDataFrame([(2, [5.0], 2), (2, [7.0], 1), (3, [6.0], 1), (3, [6.0], 1)], "doc_id long, embedding array<float>, seq int")
+    kept = [(1, [1.0]), (3, [6.0]), (9, [9.0])]
+    assert rows(ix.save_embeddings(current.vectors, new, "seq")) == sorted([*kept, (2, [5.0])])
+    assert rows(ix.save_embeddings(current.vectors, new)) == sorted([*kept, (2, [7.0])])

@@ -223,3 +223,16 @@ def test_rendering(spark):
     assert rows(render_with_path(results, queries)) == [(1, "\n".join(paths)), (2, "No results found.")]
     row = structured_results(results).where("rank = 1").head().asDict()
     assert row == {"query_id": 1, "rank": 1, "path": "/docs/vue/v.org/a.html", "category": "vue", "content": "x" * 1500, "score": 0.5}
+
+
+def test_wrong_shapes_and_repeated_ids_are_refused(spark, data, requests):
+    documents, vectors, known, _ = data
+    mixed = spark.createDataFrame([(50, [1.0] * 3), (51, [1.0] * 5), (52, [1.0, None])], VECTORS_SCHEMA).coalesce(1)
+    query = spark.createDataFrame([(1, None, [1.0] * 4)], QUERIES)
+    for limits in ({}, {"query_budget": 1}):
+        with pytest.raises(Exception, match="numbers and not|holds a null"):
+            search.search_batch(documents, mixed, query, **limits).collect()
+        with pytest.raises(ValueError, match="not unique"):
+            search.search_batch(documents, vectors, requests[0].union(requests[0]), **limits)
+    with pytest.raises(Exception, match="numbers and not|holds a null"):
+        search.search_by_vector(documents, mixed, [1.0] * 4)
