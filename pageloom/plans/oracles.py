@@ -206,7 +206,10 @@ def html_ctes(source: str) -> list[tuple[str, str]]:
 
 ORACLES["html_main_text"] = with_([WEB, *html_ctes("web")], "SELECT seq, text FROM html_text")
 
-_marked = t.MARKDOWN_SQL
+# Every second piece between runs of back-ticks is code; its marks are letters of the private use area meanwhile.
+_marks, _private = "*_<>&[]()#-+!.", "".join(chr(0xE000 + i) for i in range(14))
+_marked = f"""array_to_string(list_transform(string_split_regex({t.MARKDOWN_SQL}, '`+'),
+    lambda piece, i: CASE WHEN i % 2 = 0 THEN translate(piece, '{_marks}', '{_private}') ELSE piece END), '')"""
 for _pattern, _kept in (
     (r"(?s)\A\s*-{3,}[ \t]*\n.*?\n-{3,}[ \t]*(?:\n|\z)", "''"),
     (r"(?m)^[ ]{0,3}\[[^\]\n]+\]:[ \t]*\S.*$", "''"),
@@ -215,7 +218,7 @@ for _pattern, _kept in (
     (r"<(https?://[^>\s]+)>", r"'\1'"),
     (r"(?m)^#{1,6}[ \t]*", "''"),
     (r"(?m)^[ \t]*(?:[-*+]|\d+\.|>)[ \t]+", "''"),
-    (r"\*\*|__|`+", "''"),
+    (r"\*\*|__", "''"),
     (r"\*([^*\s][^*\n]*)\*", r"'\1'"),
     (r"(?s)<!--.*?-->", "' '"),
     (r"</?[A-Za-z][^>]*>", "' '"),
@@ -226,6 +229,9 @@ for _pattern, _kept in (
     (r"\s+", "' '"),
 ):
     _marked = replace_all(_marked, _pattern, _kept)
+for _mark, _entity in (("<", "&lt;"), (">", "&gt;"), ("&", "&amp;")):
+    _marked = f"replace({_marked}, '{_private[_marks.index(_mark)]}', '{_entity}')"
+_marked = f"translate({_marked}, '{_private}', '{_marks}')"
 ORACLES["markdown_text"] = f"SELECT doc_id, {strip(_marked)} AS text FROM documents"
 
 # -------------------------------------------------------------------- cleaning
