@@ -77,16 +77,41 @@ def _card(text: str, key: bytes, back: bool) -> str | None:
     return _refill(text, head + other + luhn_digit(head + other))
 
 
+# The lengths of the IBAN registry.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG DJ",
+        25: "LY PT ST", 26: "IS TR", 27: "BI FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
+
 def _iban_check(country: str, body: str) -> str:
     number = "".join(str(int(c, 36)) for c in body + country + "00")
     return f"{98 - int(number) % 97:02d}"
 
 
+def _valid_iban(plain: str) -> bool:
+    return 15 <= len(plain) <= 34 and _iban_check(plain[:2], plain[4:]) == plain[2:4]
+
+
 def _iban(text: str, key: bytes, back: bool) -> str | None:
-    plain = re.sub(r"\s", "", text)
-    country, check, body = plain[:2], plain[2:4], plain[4:]
-    if not 15 <= len(plain) <= 34 or _iban_check(country, body) != check:
+    """The new IBAN at the start of the text, which may go on with words that look like more of its groups.
+
+    It ends where it has its country's length, else at the last group that makes it valid.
+    """
+    ends = [*[m.start() for m in re.finditer(" ", text)], len(text)]
+    length = IBAN_LENGTHS.get(text[:2])
+    ends.sort(key=lambda end: (len(text[:end].replace(" ", "")) == length, end), reverse=True)
+    text = next((text[:end] for end in ends if _valid_iban(text[:end].replace(" ", ""))), "")
+    if not text:
         return None
+    plain = text.replace(" ", "")
+    country, body = plain[:2], plain[4:]
     places = [c for c in body if c.isdigit()]
     if not places:
         return None
@@ -212,7 +237,8 @@ def _email(text: str, key: bytes, back: bool) -> str | None:
 # The forms that are looked at. A candidate must not touch other word characters.
 EMAIL = r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-NUMBER = r"(?<![\w.])(?:\+|\(\+?)?\d[\d ().\-/]{4,}\d(?!\w)"  # a stretch that may hold several values
+TIME = r"(?:(?<=[-/.]\d[-/.]\d)|(?<=[-/.]\d\d[-/.]\d)|(?<=[-/.]\d[-/.]\d\d)|(?<=[-/.]\d\d[-/.]\d\d))(?=[Tt]\d\d)"  # what may stand behind a date
+NUMBER = rf"(?<![\w.])(?:\+|\(\+?)?\d[\d ().\-/]{{4,}}\d(?:(?!\w)|{TIME})"  # a stretch that may hold several values
 FORMS = (
     ("ip", r"\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)"),
     ("date", r"\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4}"),
@@ -255,13 +281,20 @@ def replace_all(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, d
         for m in _EMAIL.finditer(text):
             if (other := put("email", m[0])) is not None:
                 spans.append((m.start(), m.end(), other))
-    for m in _IBAN.finditer(text):
+    at = 0
+    while m := _IBAN.search(text, at):
+        at = m.start() + 1
         if (other := put("iban", m[0])) is not None:
-            spans.append((m.start(), m.end(), other))
-    taken = sorted(spans)
-    for m in _NUMBER.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b, _ in taken):
-            spans.append((m.start(), m.end(), number(m)))
+            at = m.start() + len(other)
+            spans.append((m.start(), at, other))
+    # Numbers are looked for in what these leave.
+    rest, free = [], 0
+    for a, b, _ in sorted(spans):
+        if a >= free:
+            rest += [text[free:a], "_" * (b - a)]
+            free = b
+    for m in _NUMBER.finditer("".join([*rest, text[free:]])):
+        spans.append((m.start(), m.end(), number(m)))
     for a, b, other in sorted(spans):
         if a >= last:
             done += [text[last:a], other]

@@ -44,6 +44,29 @@ def test_values_keep_their_format(kind, value):
         assert again == f"{before}{value}{after}" and more == counts
 
 
+MIXED = [
+    ("DE89 3704 0044 0532 0130 00 4111 1111 1111 1111", "iban card"), ("DE89 3704 0044 0532 0130 00 1987-06-05", "iban date"),
+    ("DE89 3704 0044 0532 0130 00 208-555-3235", "iban phone"), ("call 555-123-4567 12345@x.com", "phone email"),
+    ("BE68 5390 0754 7034 FROM", "iban"), ("BE68 5390 0754 7034 4111 1111 1111 1111", "iban card"), ("BE68 5390 0754 7034 FROM 536-22-8726", "iban ssn"),
+    ("AB12 CDEF GHIJ DE89 3704 0044 0532 0130 00", "iban"), ("2021-03-04T10:15:00Z", "date"), ("at 2021-03-04T10:15:00.123456+01:00 or 2021/3/4t10", "date date"),
+    ("536-22-8726 2021-03-04T10:15", "ssn date"),
+]
+
+
+@pytest.mark.parametrize(("text", "kinds"), MIXED)
+def test_values_beside_others(text, kinds):
+    other, counts = feistel.replace_all(text)
+    assert counts == {k: kinds.split().count(k) for k in feistel.KINDS}
+    assert len(other) == len(text) and feistel.replace_all(other, back=True) == (text, counts)
+    for value in ("4111 1111 1111 1111", "1987-06-05", "208-555-3235", "555-123-4567", "12345@", "536-22-8726", "2021-03-04", "2021/3/4", "0754 7034", "0532 0130"):
+        assert value not in other
+
+
+@pytest.mark.parametrize("text", ["555-123-4567T10", "4111111111111111T10", "2021-03-04Tuesday"])
+def test_only_a_date_goes_on_with_a_time(text):
+    assert feistel.replace_all(text)[0] == text
+
+
 def test_spelling_does_not_break_links():
     plain = feistel.replace_all("4041894974608795")[0]
     assert feistel.replace_all("4041 8949 7460 8795")[0].replace(" ", "") == plain
