@@ -15,6 +15,7 @@ from pageloom.session import materialize
 
 
 SLICE = 1000  # rows that a Python worker holds as objects
+MOST_ROUNDS = 150  # of connected components; twice the bits of an id are enough
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,36 +51,47 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """``(id, component)`` for every id in ``(a, b)``: the smallest id it can reach.
 
-    Labels move along the edges and then jump to the label of their label, so
-    the number of rounds grows with the logarithm of the longest path. Every
-    round is written to the shared folder; nothing is collected but whether a label moved.
+    Every id hooks to its smallest neighbour if that is smaller, the trees made like that are
+    flattened by jumps, and the edges are contracted to pairs of roots, until none is
+    left. A root that nobody hooked to has a smaller neighbour in the next round; so two
+    rounds leave at most half of the ids that still have edges. Every step is written to the
+    shared folder; nothing is collected but whether anything is left to do.
     """
-    both = materialize(
-        edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), f"{name}-edges"
-    )
-    labels = materialize(
-        both.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("component")),
-        f"{name}-0",
-    )
-    for turn in range(1, 64):
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id"))
-        best = near.agg(F.min("component").alias("near"))
-        moved = materialize(
-            labels.join(best, "id").select(
-                "id", F.col("component").alias("old"), F.least("component", "near").alias("component")
-            ),
-            f"{name}-moved-{turn}",
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    left = materialize(edges.select(*pair).distinct(), f"{name}-edges")
+    labels = None
+    for turn in range(MOST_ROUNDS):
+        ends = left.select(F.col("b").alias("id"), "a").union(left.select(F.col("a").alias("id"), "a"))
+        trees = materialize(ends.groupBy("id").agg(F.min("a").alias("component")), f"{name}-{turn}")
+        for jump in range(MOST_ROUNDS):
+            target = trees.select(F.col("id").alias("component"), F.col("component").alias("jump"))
+            trees = materialize(
+                trees.select("id", "component").join(target, "component").select(
+                    "id", F.col("component").alias("old"), F.col("jump").alias("component")
+                ),
+                f"{name}-{turn}-{jump}",
+            )
+            if trees.where(F.col("old") != F.col("component")).isEmpty():
+                break
+        else:
+            raise RuntimeError(f"trees of {name} are not flat after {MOST_ROUNDS} jumps")
+        trees = trees.select("id", "component")
+        if labels is None:
+            labels = trees
+        else:
+            higher = trees.select(F.col("id").alias("component"), F.col("component").alias("higher"))
+            labels = materialize(
+                labels.join(higher, "component", "left").select("id", F.coalesce("higher", "component").alias("component")),
+                f"{name}-labels-{turn}",
+            )
+        roots = left.join(trees.select(F.col("id").alias("a"), F.col("component").alias("ra")), "a")
+        roots = roots.join(trees.select(F.col("id").alias("b"), F.col("component").alias("rb")), "b").where("ra <> rb")
+        left = materialize(
+            roots.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), f"{name}-pairs-{turn}"
         )
-        target = moved.select(F.col("id").alias("component"), F.col("component").alias("jump"))
-        labels = materialize(
-            moved.join(target, "component", "left").select(
-                "id", "old", F.least("component", "jump").alias("component")
-            ),
-            f"{name}-{turn}",
-        )
-        if labels.where(F.col("old") != F.col("component")).isEmpty():
-            break
-    return labels.select("id", "component")
+        if left.isEmpty():
+            return labels
+    raise RuntimeError(f"{name} still has edges after {MOST_ROUNDS} rounds")
 
 
 def add_columns(frame: DataFrame, inputs: list[str], added: str, start: Callable) -> DataFrame:
