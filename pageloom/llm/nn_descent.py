@@ -8,11 +8,14 @@
    a common neighbour is compared, and every list keeps its best. Rounds end when
    few lists change.
 4. A list full of neighbours above the threshold is saturated; there may be more of
-   them. The components of the links so far that hold such a list are compared
+   them. Classes with such a list are compared with those of other components: cells of
+   members whose centres and radii leave room for a link meet block by block, and
+   links found join the components. The components that hold a saturated list are then compared
    within themselves, block by block, which is the list enlarged to the whole
    component; only counts and one link per class and block leave a block.
-5. A stated set of audit vectors is compared with all vectors; if the graph has found
-   less than ``RECALL`` of their links, the lists grow and rounds go on.
+5. Audit vectors, one part of them with links, are compared with all vectors; if the graph
+   has found less than ``RECALL`` of their links, the lists grow and rounds go on. After
+   ``TRIES`` all blocks are compared.
 
 Rows that share an id are kept apart as rows, and one vector for linking.
 Null ids get null components.
@@ -20,6 +23,7 @@ Null ids get null components.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +42,10 @@ ROUNDS = 6
 SETTLED = 0.01  # rounds end when a smaller part of the lists changes
 MEETING = 96  # neighbours that meet in one group; more are dealt to several
 BLOCK = 1024
-AUDIT = 512  # audit vectors, those with the smallest hashes of the id
+AUDIT = 512  # audit vectors at least, of all and of those with links: those with the smallest hashes of the id
+AUDIT_ROOT = 4  # so many times the root of the number of classes, if that is more
 RECALL = 0.98
+TRIES = 3
 
 UNIT = "id long, size long, v binary"
 
@@ -155,9 +161,24 @@ def refine(units: DataFrame, lists: DataFrame, k: int, rounds: int) -> DataFrame
     return lists.drop("fresh")
 
 
-def _block_links(threshold: float):
+def _spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the rows and columns of a block, the first row that links reach (the number of rows: none)."""
+    none = len(linked)
+    rows = np.arange(none)
+    while True:
+        columns = np.where(linked, rows[:, None], none).min(axis=0)
+        new = np.minimum(rows, np.where(linked, columns[None, :], none).min(axis=1))
+        if (new == rows).all():
+            return rows, columns
+        rows = new
+
+
+def _block_links(threshold: float, spanning: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """For each class of one block, the rows of linked classes of the other, and one linked class."""
+        """For each class of one block, the rows of linked classes of the other, and one linked class.
+
+        If ``spanning``, a class that links reach, for classes of both blocks, so that all that is linked stays together.
+        """
         left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
         if not len(left) or not len(right):
             return pd.DataFrame({"id": [], "n": [], "other": []}).astype("int64")
@@ -165,12 +186,18 @@ def _block_links(threshold: float):
         x, y = _matrix(left["v"]), _matrix(right["v"])
         linked = (x @ y.T >= threshold) & (ids[:, None] != others[None, :])
         some = linked.any(axis=1)
-        return pd.DataFrame({"id": ids[some], "n": (linked @ sizes)[some], "other": others[linked.argmax(axis=1)[some]]})
+        n = (linked @ sizes)[some]
+        if not spanning:
+            return pd.DataFrame({"id": ids[some], "n": n, "other": others[linked.argmax(axis=1)[some]]})
+        first, second = _spanning(linked)
+        met = second < len(ids)
+        own = pd.DataFrame({"id": ids[some], "n": n, "other": ids[first[some]]})
+        return pd.concat([own, pd.DataFrame({"id": others[met], "n": 0, "other": ids[second[met]]})])
 
     return run
 
 
-def within_components(units: DataFrame, components: DataFrame, threshold: float) -> DataFrame:
+def within_components(units: DataFrame, components: DataFrame, threshold: float, spanning: bool = False) -> DataFrame:
     """``(id, n, other)`` for classes linked within their component, from pairs of blocks."""
     placed = units.join(components, "id")
     counts = placed.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -180,7 +207,7 @@ def within_components(units: DataFrame, components: DataFrame, threshold: float)
     left = known.select("component", F.col("own").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), "id", "size", "v")
     right = known.select("component", F.col("block").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "id", "size", "v")
     blocks = left.union(right).groupBy("component", "i", "j")
-    return blocks.applyInPandas(_block_links(threshold), "id long, n long, other long")
+    return blocks.applyInPandas(_block_links(threshold, spanning), "id long, n long, other long")
 
 
 def _exact_links(units: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -189,31 +216,82 @@ def _exact_links(units: DataFrame, pairs: DataFrame, threshold: float) -> DataFr
     return sure.union(sure.select("b", "a")).distinct()
 
 
-def _audit(units: DataFrame, links: DataFrame, inside: DataFrame, threshold: float) -> tuple[int, int]:
-    """True and found links of the audit vectors; those within one enlarged component count as found."""
-    member = inside.select("id", "component")
-    extra = member.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-    chosen = units.orderBy(F.xxhash64("id")).limit(AUDIT).select("id", "v").toPandas()
+def _cells(rows: pd.DataFrame) -> pd.DataFrame:
+    """The centre of a cell and the angle to its farthest member."""
+    x = _matrix(rows["v"])
+    centre = x.sum(axis=0)
+    centre = centre / length if (length := np.sqrt((centre * centre).sum())) else x[0]
+    radius = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
+    return pd.DataFrame({"component": [rows["component"].iloc[0]], "cell": [rows["cell"].iloc[0]], "centre": [centre.tobytes()], "radius": [radius]})
+
+
+def _near_cells(threshold: float):
+    room = float(np.arccos(threshold)) + 1e-6
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """Cells of different components that are near enough for a link."""
+        left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"ca": [], "ka": [], "cb": [], "kb": []}).astype("int64")
+        angle = np.arccos(np.clip(_matrix(left["centre"]) @ _matrix(right["centre"]).T, -1, 1))
+        near = angle <= left["radius"].to_numpy()[:, None] + right["radius"].to_numpy()[None, :] + room
+        ca, cb = left["component"].to_numpy(), right["component"].to_numpy()
+        i, j = np.nonzero(near & (ca[:, None] < cb[None, :]))
+        return pd.DataFrame({"ca": ca[i], "ka": left["cell"].to_numpy()[i], "cb": cb[j], "kb": right["cell"].to_numpy()[j]})
+
+    return run
+
+
+def across_components(units: DataFrame, components: DataFrame, full: DataFrame, threshold: float) -> DataFrame:
+    """Links ``(a, b)`` between classes of ``full`` in different components: for each class and cell one, if there is any."""
+    placed = units.join(full, "id").join(components, "id")
+    counts = placed.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cells"))
+    known = skew_join(placed, counts, ["component"], "inner")
+    cell = F.pmod(F.xxhash64("id"), F.col("cells")).cast("long")
+    members = materialize(known.select("component", cell.alias("cell"), "id", "size", "v"), "saturated")
+    made = members.groupBy("component", "cell").applyInPandas(_cells, "component long, cell long, centre binary, radius double")
+    cells = materialize(made.withColumn("dims", F.octet_length("centre")), "cells")
+    blocks = F.greatest(F.ceil(F.lit(cells.count()) / BLOCK), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64("component", "cell"), blocks).cast("int")
+    dealt = cells.withColumn("own", own).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    kept = ["dims", "component", "cell", "centre", "radius"]
+    left = dealt.select(F.col("own").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), *kept)
+    right = dealt.select(F.col("block").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), *kept)
+    near = left.union(right).groupBy("dims", "i", "j").applyInPandas(_near_cells(threshold), "ca long, ka long, cb long, kb long")
+    near = materialize(near, "near-cells")
+    pair = ["ca", "ka", "cb", "kb"]
+    sides = [
+        near.join(members.withColumnsRenamed({"component": c, "cell": k}), [c, k]).select(*pair, F.lit(side).alias("side"), "id", "size", "v")
+        for side, (c, k) in enumerate((("ca", "ka"), ("cb", "kb")))
+    ]
+    met = sides[0].union(sides[1]).groupBy(*pair).applyInPandas(_block_links(threshold, False), "id long, n long, other long")
+    return met.select(F.col("id").alias("a"), F.col("other").alias("b"))
+
+
+def _audit(units: DataFrame, counts: DataFrame, links: DataFrame, threshold: float) -> tuple[int, int]:
+    """True and found links of the audit vectors."""
+    number = max(AUDIT, math.ceil(AUDIT_ROOT * math.sqrt(units.count())))
+    linked = units.join(links.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
+    parts = [x.orderBy(F.xxhash64("id")).limit(number).select("id", "v") for x in (units, linked)]
+    chosen = parts[0].union(parts[1]).dropDuplicates(["id"]).toPandas()
     if not len(chosen):
         return 0, 0
     by_length = {n: (own["id"].to_numpy(), _matrix(own["v"])) for n, own in chosen.groupby(chosen["v"].map(len))}
-    sent = units.sparkSession.sparkContext.broadcast(by_length)  # at most AUDIT vectors
+    sent = units.sparkSession.sparkContext.broadcast(by_length)  # a number that grows with the root of the table's
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (whole[at : at + 2 * BLOCK] for whole in batches for at in range(0, len(whole), 2 * BLOCK)):
             for length, own in batch.groupby(batch["v"].map(len)):
                 if length in sent.value:
                     ids, x = sent.value[length]
-                    i, j = np.nonzero(x @ _matrix(own["v"]).T >= threshold)
-                    others = own["id"].to_numpy()[j]
-                    yield pd.DataFrame({"a": ids[i], "b": others})[ids[i] != others]
+                    near = (x @ _matrix(own["v"]).T >= threshold) & (ids[:, None] != own["id"].to_numpy()[None, :])
+                    some = near.any(axis=1)
+                    yield pd.DataFrame({"id": ids[some], "true": (near @ own["size"].to_numpy())[some]})
 
-    true = materialize(units.mapInPandas(run, "a long, b long"), "audit")
-    placed = true.join(extra, "a", "left").join(member.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-    listed = placed.join(links.withColumn("listed", F.lit(True)), ["a", "b"], "left")
-    hit = F.coalesce("listed", F.col("ca") == F.col("cb"), F.lit(False))
-    row = listed.agg(F.count("*").alias("true"), F.sum(hit.cast("int")).alias("found")).head()
-    return row["true"], row["found"] or 0
+    true = units.mapInPandas(run, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
+    found = F.least("true", F.coalesce("n", F.lit(0)))
+    row = true.join(counts, "id", "left").agg(F.sum("true").alias("true"), F.sum(found).alias("found")).head()
+    return row["true"] or 0, row["found"] or 0
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = LIST) -> DataFrame:
@@ -229,28 +307,38 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = LIST
     chunks = codes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     first = chunks.mapInPandas(_chunk_lists(k), "a long, b long, s double")
     lists = materialize(_top(first, k), "first-lists")
-    for _ in range(3):
+    for _ in range(TRIES):
         lists = refine(units, lists, k, ROUNDS)
         links = materialize(_exact_links(units, lists, threshold), "links")
         components = connected_components(links, "near")
         full = lists.where(F.col("s") >= threshold).groupBy("a").count().where(F.col("count") >= k)
-        wide = components.join(full.select(F.col("a").alias("id")), "id").select("component").distinct()
+        full = materialize(full.select(F.col("a").alias("id")), "full")
+        across = materialize(across_components(units, components, full, threshold), "across")
+        if not across.isEmpty():
+            links = materialize(links.union(across).union(across.select("b", "a")).distinct(), "links")
+            components = connected_components(links, "near")
+        wide = components.join(full, "id").select("component").distinct()
         inside = materialize(
             within_components(units, skew_join(components, wide, ["component"], "inner"), threshold), "inside"
         )
-        # Every link inside an enlarged component is known; so the audit asks for the others.
+        # Every link inside an enlarged component is known.
         same = skew_join(components, wide.withColumn("wide", F.lit(True)), ["component"]).where("wide")
         pairs = links.union(
             inside.select(F.col("id").alias("a"), F.col("other").alias("b"))
         ).distinct()
-        true, found = _audit(units, links, same, threshold)
+        counts = inside.groupBy("id").agg(F.sum("n").alias("n"))
+        narrow = links.join(same.select(F.col("id").alias("a")), "a", "left_anti")
+        sized = skew_join(narrow.withColumnRenamed("b", "id"), units.select("id", "size"), ["id"], "inner")
+        counts = materialize(counts.union(sized.groupBy(F.col("a").alias("id")).agg(F.sum("size").alias("n"))), "counts")
+        true, found = _audit(units, counts, links, threshold)
         if found >= RECALL * true:
             break
         k *= 2
-    counts = inside.groupBy("id").agg(F.sum("n").alias("n"))
-    narrow = links.join(same.select(F.col("id").alias("a")), "a", "left_anti")
-    sized = skew_join(narrow.withColumnRenamed("b", "id"), units.select("id", "size"), ["id"], "inner")
-    counts = counts.union(sized.groupBy(F.col("a").alias("id")).agg(F.sum("size").alias("n")))
+    else:
+        everyone = units.select("id", F.octet_length("v").cast("long").alias("component"))
+        inside = materialize(within_components(units, everyone, threshold, spanning=True), "all-blocks")
+        pairs = inside.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+        counts = inside.groupBy("id").agg(F.sum("n").alias("n"))
     final = connected_components(pairs, "vectors")
     out = units.join(counts, "id", "left").join(final, "id", "left")
     out = out.select("v", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n"), F.coalesce("component", "id").alias("c"))

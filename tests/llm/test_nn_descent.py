@@ -35,6 +35,32 @@ def test_clusters_and_copies(spark):
     assert found(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == expected(rows)
 
 
+def test_groups_that_touch_only_through_full_lists(spark):
+    choose = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x)
+    rows = []
+    for _ in range(6):
+        a = unit(choose.standard_normal(32))
+        side = unit((b := choose.standard_normal(32)) - (b @ a) * a)
+        for centre in (a, 0.948 * a + np.sqrt(1 - 0.948**2) * side):
+            rows += [centre + 0.012 * choose.standard_normal(32) for _ in range(40)]
+    rows = [(i, v.tolist()) for i, v in enumerate(rows)]
+    want = expected(rows)
+    assert len({component for _, _, component, _ in want}) == 6
+    assert found(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == want
+
+
+def test_a_missed_target_leads_to_an_exact_search(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "RECALL", 2.0)
+    monkeypatch.setattr(nn_descent, "TRIES", 1)
+    monkeypatch.setattr(nn_descent, "refine", lambda units, lists, k, rounds: lists.where("a % 7 = 0"))
+    monkeypatch.setattr(nn_descent, "BLOCK", 40)
+    choose = np.random.default_rng(9)
+    base = choose.standard_normal((60, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate([*base, *base[:40] + 0.1 * choose.standard_normal((40, 16)), *base[:20] + 0.15 * choose.standard_normal((20, 16))])]
+    assert found(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == expected(rows)
+
+
 def test_hard_vectors(spark):
     ones = [1.0, 0.0]
     rows = [(1, ones), (2, [2e300, 0.0]), (2, [2e300, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [1.0]), (8, []), (None, ones)]
