@@ -34,6 +34,7 @@ from pageloom.session import materialize
 PART = 64  # wrappers that one group merges
 BROADCAST_BYTES = 32 << 20  # wrappers of all hosts up to this size go to every executor
 LONGEST_GROUP = 4
+MARKS = "!^~"
 
 # Elements of HTML by what they do to the text.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -74,18 +75,27 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 @lru_cache(maxsize=20_000)
 def _label(name: str, attributes: str) -> str:
-    """The element with the marks that tell furniture: ``div``, ``div!`` (furniture), ``div^`` (article)."""
+    """The element with the marks that tell furniture: ``div``, ``div!`` (furniture), ``div~`` (outside articles), ``div^`` (article).
+
+    A role or a whole class or id tells furniture everywhere, a part of a name only outside
+    articles. Ids of headings and paragraphs are often made from their text and tell nothing.
+    """
     if not attributes.strip():
         return name
     found = {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(attributes)}
-    classes = f"{found.get('class', '')} {found.get('id', '')}"
-    names = [n for c in classes.split() for n in re.split(r"[-_]+", _CAMEL.sub("-", c).lower())]
+    classes = found.get("class", "")
+    if name not in HEADINGS | {"p"}:
+        classes = f"{classes} {found.get('id', '')}"
+    names = [{n for n in re.split(r"[-_]+", _CAMEL.sub("-", c).lower()) if n} for c in classes.split()]
     role = found.get("role", "").lower()
     whole = {c.lower() for c in classes.split()}
-    if role in FURNITURE_ROLES or FURNITURE_NAMES & set(names) or HEADER_NAMES & whole:
+    # A name of furniture names only, such as ad-banner, is one as a whole.
+    if role in FURNITURE_ROLES or any(n and n <= FURNITURE_NAMES for n in names) or HEADER_NAMES & whole:
         return name if name in ARTICLE | {"body", "html"} else f"{name}!"
     if role == "main" or found.get("itemprop", "").lower() == "articlebody":
         return f"{name}^"
+    if any(n & FURNITURE_NAMES for n in names) and name not in ARTICLE | {"body", "html"}:
+        return f"{name}~"
     return name
 
 
@@ -151,7 +161,7 @@ def read_page(page: str) -> tuple[list, list[tuple[tuple[str, ...], str]]]:
         label = name if end else _label(name, attributes)
         if end:
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0].rstrip("!^") == name:
+                if stack[i][0].rstrip(MARKS) == name:
                     close(i)
                     break
             else:
@@ -159,11 +169,11 @@ def read_page(page: str) -> tuple[list, list[tuple[tuple[str, ...], str]]]:
             continue
         flush()
         inline = 0
-        if stack[-1][0].rstrip("!^") in ("p", *HEADINGS) and (name not in HEADINGS or stack[-1][0].rstrip("!^") in ("p", *HEADINGS)):
+        if stack[-1][0].rstrip(MARKS) in ("p", *HEADINGS) and (name not in HEADINGS or stack[-1][0].rstrip(MARKS) in ("p", *HEADINGS)):
             stack.pop()  # these hold no blocks
         if name in CLOSES or name in ("dt", "dd"):
             for i in range(len(stack) - 1, 0, -1):
-                inner = stack[i][0].rstrip("!^")
+                inner = stack[i][0].rstrip(MARKS)
                 if inner in LISTS:
                     break
                 if name in CLOSES.get(inner, ()):
@@ -258,10 +268,10 @@ def slot_kind(path: tuple[str, ...]) -> int:
     """2: in an article; 1: other content; 0: furniture."""
     inside = False
     for label in path:
-        name = label.rstrip("!^")
-        if label.endswith("!"):
+        name = label.rstrip(MARKS)
+        if label.endswith("!") or label.endswith("~") and not inside:
             return 0
-        if name in FURNITURE and not (name == "header" and inside and path[-2].rstrip("!^") in HEADINGS):
+        if name in FURNITURE and not (name == "header" and inside and path[-2].rstrip(MARKS) in HEADINGS):
             return 0
         inside = inside or name in ARTICLE or label.endswith("^")
     if inside:

@@ -32,6 +32,22 @@ CASES = [
 ]
 
 
+NAMES = [
+    ("<article><h2 id='social-history'>h</h2><section id='related-work'>r</section><div class='share-price'>s</div><p class='ad-hoc'>p</p></article>", "h\nr\ns\np"),
+    ("<main><h3 id=comments>c</h3><p id=notice>n</p><div id=comments>x</div><div class='ad-banner'>x</div><div role=navigation>x</div></main>", "c\nn"),
+    ("<h2 id='social-history'>h</h2><p id=related>r</p><div class='share-buttons'>s</div>", "h\nr"),
+    ("<div class='menu-bar'>m</div><div itemprop=articleBody><div class='social-contract'>a</div></div>", "a"),
+    ("<article><div class='social'>x</div><div class='old relatedWork'>w</div></article>", "w"),
+    ("<section class='related-posts' itemprop=articleBody>s</section>", "s"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), NAMES)
+def test_parts_of_names_inside_articles(page, text):
+    whole = wrappers._dump(wrappers.as_wrapper(wrappers.read_page(page)[0]))
+    assert wrappers.main_text(page, whole) == text
+
+
 @pytest.mark.parametrize(("page", "text"), CASES)
 def test_cases(page, text):
     whole = wrappers._dump(wrappers.as_wrapper(wrappers.read_page(page)[0]))
