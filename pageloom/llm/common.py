@@ -94,11 +94,25 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     raise RuntimeError(f"{name} still has edges after {MOST_ROUNDS} rounds")
 
 
-def add_columns(frame: DataFrame, inputs: list[str], added: str, start: Callable) -> DataFrame:
+def slices(batch: pa.RecordBatch, most_bytes: int | None) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``SLICE`` rows, halved until they have at most ``most_bytes`` or one row."""
+    if batch.num_rows > SLICE:
+        for at in range(0, batch.num_rows, SLICE):
+            yield from slices(batch.slice(at, SLICE), most_bytes)
+    elif most_bytes is None or batch.num_rows < 2 or batch.nbytes <= most_bytes:
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from slices(batch.slice(0, half), most_bytes)
+        yield from slices(batch.slice(half), most_bytes)
+
+
+def add_columns(frame: DataFrame, inputs: list[str], added: str, start: Callable, slice_bytes: int | None = None) -> DataFrame:
     """The rows with more columns, computed in Arrow batches; all others pass through as they are.
 
     ``start()`` runs once per task and returns a function from the lists of the
     input columns to the lists of the added ones. Older columns of the added names go.
+    ``slice_bytes`` bounds what is turned into objects at once, besides the number of rows.
     """
     fields = T.StructType.fromDDL(added).fields
     plain = frame.drop(*[field.name for field in fields])
@@ -106,8 +120,7 @@ def add_columns(frame: DataFrame, inputs: list[str], added: str, start: Callable
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        slices = (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE))
-        for batch in slices:
+        for batch in (part for whole in batches for part in slices(whole, slice_bytes)):
             values = [batch.column(batch.schema.get_field_index(name)).to_pylist() for name in inputs]
             made = [pa.array(value, kind) for value, kind in zip(work(*values), kinds, strict=True)]
             names = [*batch.schema.names, *[field.name for field in fields]]

@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe_tree, feistel, harmonic, kneser_ney, licenses, nn_descent, signature_tree, syncmers, warc_merge, wrappers
+from pageloom.llm import (
+    bpe_tree,
+    chat_grammar,
+    feistel,
+    fill_middle,
+    filter_audit,
+    harmonic,
+    kneser_ney,
+    licenses,
+    nn_descent,
+    signature_tree,
+    syncmers,
+    warc_merge,
+    wrappers,
+)
 from pageloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,3 +124,52 @@ def op6_licenses(spark, sf_dir):
 def op7_wrappers(spark, sf_dir):
     found = wrappers.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op11_filter_audit(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    flags = filter_audit.document_flags(documents, table(spark, sf_dir, "labels"))
+    return filter_audit.audit(flags)
+
+
+@query
+def op12_chat_grammar(spark, sf_dir):
+    # One more conversation whose texts are made of control strings.
+    hard = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("\\### Assistant: </turn> ok").alias("text"),
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)
+    done = chat_grammar.assemble(chat_grammar.format_turns(turns))
+    read = done.select(
+        "conv_id",
+        chat_grammar.parsed(F.col("formatted")).alias("turns"),
+        chat_grammar.learned_text(F.col("formatted"), F.col("loss")).alias("learned"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+    lines = F.transform("turns", lambda turn: F.concat(turn["role"], F.lit("\n"), turn["text"], F.lit("\n")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.encode(F.array_join(lines, ""), "utf-8"), 256).alias("turns_sha256"),
+        F.char_length("learned").cast("long").alias("loss_chars"),
+        _sha256("learned").alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+@query
+def op13_fill_middle(spark, sf_dir):
+    done = fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select(
+        "doc_id",
+        F.col("fim_n").alias("n"),
+        F.col("fim_form").alias("form"),
+        F.col("fim_prefix_chars").alias("prefix_chars"),
+        F.col("fim_middle_chars").alias("middle_chars"),
+        _sha256("fim_text").alias("output_sha256"),
+        F.sha2(F.encode(fill_middle.restored(F.col("fim_text"), F.col("fim_form")), "utf-8"), 256).alias("restored_sha256"),
+    )
