@@ -10,9 +10,11 @@ most k rows per query and task. Two ways bring queries and corpus together:
 
 * a batch within a byte budget is sent to every task, and the corpus is scanned
   in place, without a shuffle;
-* a larger batch is cut into blocks, and so is the corpus; every pair of blocks
-  is one cell of bounded size. The cut is by hash of the unique ids, so no cell
-  is larger than the others whatever the categories or vectors look like.
+* a larger batch is stored in blocks, which every task reads past the rows it holds
+  (``operators/streamed.py``); the corpus is not shuffled either.
+
+A corpus that is stored (``write_index``, ``write_pruned``) serves all kinds of search:
+single, category-bound, batch and text.
 """
 
 from __future__ import annotations
@@ -20,28 +22,22 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.config import DEFAULT_K, MAX_K
 from pageloom.operators.embed import Encoder, encode_batch
+from pageloom.operators.streamed import QUERY_BLOCK, SAMPLE_ROWS, streamed_hits
+from pageloom.operators.topk import TopK, matrix
 from pageloom.session import materialize
 
 HITS_SCHEMA = "query_id long, doc_id long, score double"
 
 # Bytes of query vectors that may be sent to every task.
 QUERY_BUDGET = 32 * 1024 * 1024
-# Rows per block where both sides are cut.
-CORPUS_BLOCK = 20_000
-QUERY_BLOCK = 20_000
-# Entries of the distance matrix that is in memory at a time.
-_MATRIX_CELLS = 4_000_000
 # Results of a single search up to which their ids are fetched.
 _FETCHED_K = 1_000
-# Tasks in which the cells of cut corpora and queries are searched.
-_MOST_TASKS = 20_000
 # Parts in which the hits of one query are merged before the final ranking.
 _MERGE_PARTS = 16
 
@@ -53,89 +49,6 @@ def searchable(documents: DataFrame, vectors: DataFrame) -> DataFrame:
     ).select("doc_id", "category", "embedding")
 
 
-def _matrix(embeddings: pa.Array | Sequence, dim: int | None = None) -> np.ndarray:
-    """Rows of ``dim`` numbers, or as many as the first has, as a matrix of doubles; others are an error."""
-    if isinstance(embeddings, pa.Array):
-        numbers, lengths = embeddings.flatten(), embeddings.value_lengths().to_numpy()
-        if numbers.null_count:
-            raise ValueError("an embedding holds a null")
-        flat = numbers.to_numpy(zero_copy_only=False)
-    else:
-        rows = [np.asarray(e, dtype=np.float32) for e in embeddings]
-        flat, lengths = np.concatenate(rows), np.array([len(row) for row in rows])
-    dim = int(lengths[0]) if dim is None else dim
-    if (wrong := lengths[lengths != dim]).size:
-        raise ValueError(f"an embedding has {wrong[0]} numbers and not {dim}")
-    return flat.reshape(len(lengths), dim).astype(np.float64)
-
-
-def _best(query: np.ndarray, doc: np.ndarray, score: np.ndarray, k: int):
-    """The k nearest rows of each query, ties by document, and the place of each row."""
-    order = np.lexsort((doc, score, query))
-    query, doc, score = query[order], doc[order], score[order]
-    first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else order
-    place = np.arange(len(query)) - np.repeat(first, np.diff(np.r_[first, len(query)]))
-    kept = place < k
-    return query[kept], doc[kept], score[kept], place[kept]
-
-
-class _TopK:
-    """The k best documents of each query among the rows seen so far."""
-
-    def __init__(self, query_ids, query_categories, query_vectors: np.ndarray, k: int):
-        self.ids = np.asarray(query_ids, dtype=np.int64)
-        self.vectors = query_vectors
-        self.k = k
-        self.norms = (query_vectors * query_vectors).sum(axis=1)
-        wanted = pd.Series(query_categories, dtype=object).fillna("").to_numpy()
-        self.by_category = {c: np.flatnonzero(wanted == c) for c in pd.unique(wanted)}
-        self.worst = np.full(len(self.ids), np.inf)  # squared distance of the k-th hit
-        empty = np.empty(0, dtype=np.int64)
-        self.found = (empty, empty, np.empty(0))  # query position, document, distance
-
-    def add(self, doc_ids: np.ndarray, categories, corpus: np.ndarray) -> None:
-        categories = np.asarray(categories, dtype=object)
-        pieces = [self.found]
-        for category, queries in self.by_category.items():
-            rows = np.arange(len(doc_ids)) if category == "" else np.flatnonzero(categories == category)
-            if len(rows) == 0:
-                continue
-            vectors, docs = corpus[rows], doc_ids[rows]
-            norms = (vectors * vectors).sum(axis=1)
-            step = max(1, _MATRIX_CELLS // len(rows))
-            for start in range(0, len(queries), step):
-                pieces.append(self._block(queries[start : start + step], docs, vectors, norms))
-        query, doc, score, place = _best(*map(np.concatenate, zip(*pieces)), self.k)
-        full = place == self.k - 1
-        self.worst[query[full]] = score[full] ** 2
-        self.found = (query, doc, score)
-
-    def _block(self, queries, docs, vectors, norms):
-        # The matrix product only preselects, with a margin far above its
-        # rounding error; the hits are then measured one by one, so that a
-        # distance never depends on what else is in the batch.
-        left = self.vectors[queries]
-        squared = self.norms[queries][:, None] + norms[None, :] - 2.0 * (left @ vectors.T)
-        if len(docs) > self.k:
-            bound = np.partition(squared, self.k - 1, axis=1)[:, self.k - 1]
-        else:
-            bound = np.full(len(queries), np.inf)
-        margin = 1e-10 * (self.norms[queries] + norms.max() + 1.0)
-        bound = np.minimum(bound, self.worst[queries]) + margin
-        q, d = np.nonzero(squared <= bound[:, None])
-        score = np.empty(len(q))
-        step = max(1, _MATRIX_CELLS // self.vectors.shape[1])
-        for start in range(0, len(q), step):
-            part = slice(start, start + step)
-            gap = vectors[d[part]] - left[q[part]]
-            score[part] = np.sqrt((gap * gap).sum(axis=1))
-        return _best(queries[q], docs[d], score, self.k)[:3]
-
-    def hits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        query, doc, score = self.found
-        return self.ids[query], doc, score
-
-
 def _check_k(k: int) -> None:
     if k < 1:
         raise ValueError(f"k must be at least 1, not {k}")
@@ -146,13 +59,13 @@ def _scan_hits(corpus: DataFrame, ids, categories, vectors: np.ndarray, k: int)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, query_categories, query_vectors = shared.value
-        best = _TopK(query_ids, query_categories, query_vectors, k)
+        best = TopK(query_ids, query_categories, query_vectors, k)
         for batch in batches:
             if batch.num_rows:
                 best.add(
                     batch.column("doc_id").to_numpy(zero_copy_only=False),
                     batch.column("category").to_pylist(),
-                    _matrix(batch.column("embedding"), query_vectors.shape[1]),
+                    matrix(batch.column("embedding"), query_vectors.shape[1]),
                 )
         names = ["query_id", "doc_id", "score"]
         yield pa.RecordBatch.from_arrays([pa.array(column) for column in best.hits()], names=names)
@@ -161,42 +74,6 @@ def _scan_hits(corpus: DataFrame, ids, categories, vectors: np.ndarray, k: int)
     return rows.mapInArrow(scan, HITS_SCHEMA)
 
 
-def _block_hits(
-    corpus: DataFrame, queries: DataFrame, k: int, corpus_block: int, query_block: int
-) -> DataFrame:
-    corpus_parts = max(1, -(-corpus.count() // corpus_block))
-    query_parts = max(1, -(-queries.count() // query_block))
-
-    def cells(frame: DataFrame, key: str, own: str, parts: int, other: str, others: int) -> DataFrame:
-        return frame.withColumn(own, F.pmod(F.xxhash64(key), F.lit(parts))).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)).cast("array<long>"))
-        )
-
-    left = cells(
-        corpus.where(F.col("embedding").isNotNull()).select("doc_id", "category", "embedding"),
-        "doc_id", "corpus_part", corpus_parts, "query_part", query_parts,
-    )
-    right = cells(queries, "query_id", "query_part", query_parts, "corpus_part", corpus_parts)
-
-    # About one cell per task, whatever the session's number of shuffle partitions.
-    keys = ("corpus_part", "query_part")
-    tasks = min(corpus_parts * query_parts, _MOST_TASKS)
-    left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
-
-    def search(docs: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        if docs.empty or wanted.empty:
-            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
-        best = _TopK(wanted["query_id"], wanted["category"], _matrix(list(wanted["embedding"])), k)
-        best.add(
-            docs["doc_id"].to_numpy(),
-            docs["category"].to_numpy(),
-            _matrix(list(docs["embedding"]), best.vectors.shape[1]),
-        )
-        return pd.DataFrame(dict(zip(("query_id", "doc_id", "score"), best.hits())))
-
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, HITS_SCHEMA)
-
-
 def rank_hits(hits: DataFrame, k: int) -> DataFrame:
     """``(query_id, rank, doc_id, score)`` of the k best hits of each query.
 
@@ -222,25 +99,36 @@ def nearest(
     queries: DataFrame,
     k: int = DEFAULT_K,
     query_budget: int = QUERY_BUDGET,
-    corpus_block: int = CORPUS_BLOCK,
     query_block: int = QUERY_BLOCK,
+    sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
     """``(query_id, rank, doc_id, score)``: the k nearest documents of every query.
 
     ``query_id`` must be unique, and is checked. Up to ``query_budget`` bytes of query vectors
-    are read to decide between the two ways described above.
+    are read to decide between the two ways described above. ``corpus`` is read
+    several times if there are more: give it as stored.
     """
-    return _nearest(corpus, queries, k, query_budget, corpus_block, query_block)[0]
+    return _nearest(corpus, queries, k, query_budget, query_block, sample_rows)[0]
+
+
+def checked_queries(queries: DataFrame) -> DataFrame:
+    """``(query_id, category, embedding)`` of the queries that have a vector."""
+    return queries.select("query_id", F.col("category").cast("string"), "embedding").where(
+        F.col("embedding").isNotNull()
+    )
+
+
+def require_unique(queries: DataFrame) -> None:
+    if not queries.groupBy("query_id").count().where("count > 1").isEmpty():
+        raise ValueError("query_id is not unique")
 
 
 def _nearest(
-    corpus: DataFrame, queries: DataFrame, k: int, query_budget: int, corpus_block: int, query_block: int
+    corpus: DataFrame, queries: DataFrame, k: int, query_budget: int, query_block: int, sample_rows: int, stored: bool = True
 ) -> tuple[DataFrame, bool]:
     """The hits, and whether the batch of queries was within the budget."""
     _check_k(k)
-    queries = queries.select("query_id", F.col("category").cast("string"), "embedding").where(
-        F.col("embedding").isNotNull()
-    )
+    queries = checked_queries(queries)
     first = queries.select(F.size("embedding")).head()
     if first is None:
         spark = corpus.sparkSession
@@ -248,14 +136,13 @@ def _nearest(
     most = max(1, query_budget // (4 * max(1, first[0])))
     some = queries.limit(most + 1).toPandas()
     if len(some) > most:
-        if not queries.groupBy("query_id").count().where("count > 1").isEmpty():
-            raise ValueError("query_id is not unique")
-        hits = _block_hits(corpus, queries, k, corpus_block, query_block)
-        return rank_hits(hits, k), False
+        require_unique(queries)
+        corpus = corpus if stored else materialize(corpus, "corpus")
+        return rank_hits(streamed_hits(corpus, queries, k, query_block, sample_rows), k), False
     if some["query_id"].duplicated().any():
         raise ValueError("query_id is not unique")
     ids, categories = some["query_id"].to_numpy(), some["category"].to_numpy()
-    hits = _scan_hits(corpus, ids, categories, _matrix(list(some["embedding"])), k)
+    hits = _scan_hits(corpus, ids, categories, matrix(list(some["embedding"])), k)
     return rank_hits(hits, k), True
 
 
@@ -284,7 +171,7 @@ def score_vectors(vectors: DataFrame, query: Sequence[float]) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                gap = _matrix(batch.column("embedding"), len(target)) - target
+                gap = matrix(batch.column("embedding"), len(target)) - target
                 scores = pa.array(np.sqrt((gap * gap).sum(axis=1)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), scores], names=["doc_id", "score"]
@@ -326,31 +213,64 @@ def search_corpus(
 def _first_documents(scores: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     """The documents with the k lowest of ``(doc_id, score)``, in order."""
     _check_k(k)
-    first = scores.orderBy("score", "doc_id").limit(k)
     if k <= _FETCHED_K:
         # k pairs of numbers are fetched, so that the ids reach the scan of the
         # documents as a filter and only the parts with one of them are read.
-        found = first.collect()
+        found = scores.orderBy("score", "doc_id").limit(k).collect()
         documents = documents.where(F.col("id").isin([row["doc_id"] for row in found]))
-        first = scores.sparkSession.createDataFrame(found, scores.schema)
-    ranked = first.withColumn(
-        "rank", F.row_number().over(Window.orderBy("score", "doc_id"))
-    ).withColumn("query_id", F.lit(0).cast("long"))
+        ranked = scores.sparkSession.createDataFrame(
+            [(0, place, row["doc_id"], row["score"]) for place, row in enumerate(found, 1)],
+            "query_id long, rank int, doc_id long, score double",
+        )
+    else:
+        ranked = _ranked_in_parts(scores, k)
     return with_documents(ranked, documents, small_hits=k <= _FETCHED_K).orderBy("rank")
 
 
+def _ranked_in_parts(scores: DataFrame, k: int) -> DataFrame:
+    """``(query_id, rank, doc_id, score)`` of the k lowest scores, with no task that holds them all.
+
+    The scores are cut into ranges, each range is numbered, and shifted by the sizes of those before it.
+    """
+    ranges = scores.repartitionByRange("score", "doc_id").withColumn("part", F.spark_partition_id())
+    ranges = materialize(ranges, "ranges")
+    # One row per task from here on.
+    sizes = ranges.groupBy("part").agg(F.count("*").alias("size"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset")).where(F.col("offset") < k)
+    place = F.row_number().over(Window.partitionBy("part").orderBy("score", "doc_id"))
+    ranked = ranges.join(F.broadcast(offsets), "part").withColumn("rank", (F.col("offset") + place).cast("int"))
+    return ranked.where(F.col("rank") <= k).select(F.lit(0).cast("long").alias("query_id"), "rank", "doc_id", "score")
+
+
 def search_category(
-    documents: DataFrame, vectors: DataFrame, query: Sequence[float], category: str, k: int = DEFAULT_K
+    documents: DataFrame,
+    vectors: DataFrame,
+    query: Sequence[float],
+    category: str,
+    k: int = DEFAULT_K,
+    corpus: DataFrame | None = None,
 ) -> DataFrame:
-    """The category-bound search: a category is required, and k is at most 10."""
+    """The category-bound search: a category is required, and k is at most 10.
+
+    With a stored ``corpus``, one scan of its part; the vectors are not read then.
+    """
     if not category:
         raise ValueError("a category is required")
+    if corpus is not None:
+        return search_corpus(corpus, documents, query, category, min(k, MAX_K))
     return search_by_vector(documents, vectors, query, category, min(k, MAX_K))
 
 
 def _preset(category: str):
-    def search(documents: DataFrame, vectors: DataFrame, query: Sequence[float], k: int = DEFAULT_K) -> DataFrame:
-        return search_category(documents, vectors, query, category, k)
+    def search(
+        documents: DataFrame,
+        vectors: DataFrame,
+        query: Sequence[float],
+        k: int = DEFAULT_K,
+        corpus: DataFrame | None = None,
+    ) -> DataFrame:
+        return search_category(documents, vectors, query, category, k, corpus)
 
     search.__name__ = search.__qualname__ = f"search_{category}"
     search.__doc__ = f"Category-bound search of the {category} documents."
@@ -365,23 +285,55 @@ vuetool = _preset("vue")
 awstool = _preset("aws_design")
 
 
-def search_batch(
+def search_corpus_batch(
+    corpus: DataFrame,
     documents: DataFrame,
-    vectors: DataFrame,
     queries: DataFrame,
     k: int = DEFAULT_K,
     query_budget: int = QUERY_BUDGET,
-    corpus_block: int = CORPUS_BLOCK,
     query_block: int = QUERY_BLOCK,
+    sample_rows: int = SAMPLE_ROWS,
+    stored: bool = True,
 ) -> DataFrame:
-    """Search results of a batch of queries, each with its own optional category."""
-    corpus = searchable(documents, vectors)
-    hits, few = _nearest(corpus, queries, k, query_budget, corpus_block, query_block)
-    # A batch within the budget has at most k hits per query, fewer bytes than
-    # the query vectors themselves.
+    """Search results of a batch of queries, each with its own optional category.
+
+    ``stored`` says that the corpus is a plain scan. If it is not, and the batch is large, it is stored first.
+    """
+    hits, few = _nearest(corpus, queries, k, query_budget, query_block, sample_rows, stored)
+    # Within the budget, k hits of 24 bytes a query are as much as the query vectors for
+    # k = 10 and 64 numbers, and less for longer vectors.
     return with_documents(hits, documents, small_hits=few and k <= MAX_K)
 
 
+def search_batch(
+    documents: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, **limits: int
+) -> DataFrame:
+    """``search_corpus_batch`` on the join of documents and vectors."""
+    return search_corpus_batch(searchable(documents, vectors), documents, queries, k, stored=False, **limits)
+
+
+def encode_queries(queries: DataFrame, encoder: Encoder, text_cap: int | None = None) -> DataFrame:
+    """``(query_id, category, embedding)`` for ``(query_id, query, category)``, stored.
+
+    The encoder runs once: what it gives is counted, fetched or shuffled.
+    """
+    texts = queries.select(F.col("query_id").alias("doc_id"), F.col("query").alias("text"))
+    encoded = materialize(encode_batch(texts, encoder, text_cap).withColumnRenamed("doc_id", "query_id"), "queries")
+    return queries.select("query_id", "category").join(encoded, "query_id")
+
+
+def search_corpus_texts(
+    corpus: DataFrame,
+    documents: DataFrame,
+    queries: DataFrame,
+    encoder: Encoder,
+    k: int = DEFAULT_K,
+    text_cap: int | None = None,
+) -> DataFrame:
+    """Search results for texts on a stored corpus; ``encoder`` is the one its vectors were made with."""
+    return search_corpus_batch(corpus, documents, encode_queries(queries, encoder, text_cap), k)
+
+
 def search_texts(
     documents: DataFrame,
     vectors: DataFrame,
@@ -394,13 +346,7 @@ def search_texts(
 
     ``encoder`` is the one the vectors were made with.
     """
-    texts = queries.select(F.col("query_id").alias("doc_id"), F.col("query").alias("text"))
-    encoded = encode_batch(texts, encoder, text_cap).withColumnRenamed("doc_id", "query_id")
-    # The encoder runs once: what it gives is counted, fetched or shuffled.
-    encoded = materialize(encoded, "queries")
-    return search_batch(
-        documents, vectors, queries.select("query_id", "category").join(encoded, "query_id"), k
-    )
+    return search_batch(documents, vectors, encode_queries(queries, encoder, text_cap), k)
 
 
 def result_counts(results: DataFrame, queries: DataFrame) -> DataFrame:

@@ -436,8 +436,11 @@ ORACLES["vector_search"] = _single(None, 5)
 ORACLES["vector_search_category"] = _single("en", 7)
 ORACLES["snapshot_search"] = _single("en", 7)
 ORACLES["capped_topk"] = _single("de", 10)
+ORACLES["pruned_search"] = _single(None, 5)
+ORACLES["pruned_search_category"] = _single("en", 7)
 ORACLES["batch_topk"] = _many(5, f"SELECT {FOUND_SHORT} FROM found")
 ORACLES["batch_topk_blocks"] = _many(10, f"SELECT {FOUND_SHORT} FROM found")
+ORACLES["pruned_search_batch"] = _many(10, f"SELECT {FOUND_SHORT} FROM found")
 ORACLES["structured_search"] = _many(
     3, "SELECT query_id, rank, path, category, text AS content, round(score, 6) AS score FROM found"
 )

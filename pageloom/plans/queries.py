@@ -14,6 +14,7 @@ from pageloom.functions.vectors import l2_distance, split_by_dim, vector_literal
 from pageloom.operators import index as ix
 from pageloom.operators import search
 from pageloom.operators.embed import HashingEncoder, encode_batch
+from pageloom.operators.pruned import read_pruned, search_pruned, search_pruned_batch, write_pruned
 from pageloom.plans import tables as t
 from pageloom.plans.build import BuildSettings, build_index
 from pageloom.session import new_dir, with_computed
@@ -269,9 +270,39 @@ def batch_topk(spark, sf_dir):
 
 @query
 def batch_topk_blocks(spark, sf_dir):
-    # The way taken by batches beyond the budget, here with a budget of one vector.
-    limits = {"query_budget": 1, "corpus_block": 250, "query_block": 250}
-    return _rounded(_batch(spark, sf_dir, 10, **limits)[0]).drop("text")
+    # The way taken by batches beyond the budget, here with a budget of one vector, on a stored corpus.
+    directory = new_dir(spark, "index")
+    write_index(t.index_tables(spark, sf_dir), directory)
+    documents, corpus = read_index(spark, directory).documents, read_corpus(spark, directory)
+    limits = {"query_budget": 1, "query_block": 500, "sample_rows": 50}
+    found = search.search_corpus_batch(corpus, documents, t.search_requests(spark, sf_dir), 10, **limits)
+    return _rounded(found).drop("text")
+
+
+def _pruned(spark: SparkSession, sf_dir: str):
+    """A corpus stored by nearest pivot, with parts small enough for the given tables, and its documents."""
+    index, directory = t.index_tables(spark, sf_dir), new_dir(spark, "pruned")
+    write_pruned(search.searchable(index.documents, index.vectors), directory, part_rows=25, sample_rows=50)
+    return read_pruned(spark, directory), index.documents
+
+
+@query
+def pruned_search(spark, sf_dir):
+    store, documents = _pruned(spark, sf_dir)
+    return _rounded(search_pruned(store, documents, _query_vector(spark, sf_dir)))
+
+
+@query
+def pruned_search_category(spark, sf_dir):
+    store, documents = _pruned(spark, sf_dir)
+    return _rounded(search_pruned(store, documents, _query_vector(spark, sf_dir), "en", 7))
+
+
+@query
+def pruned_search_batch(spark, sf_dir):
+    store, documents = _pruned(spark, sf_dir)
+    found = search_pruned_batch(store, documents, t.search_requests(spark, sf_dir), 10, query_block=500)
+    return _rounded(found).drop("text")
 
 
 @query

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from helpers import plan, rows
 from pageloom.functions.render import render_with_path, render_with_url, structured_results
 from pageloom.functions.vectors import l2_distance, require_dim, split_by_dim, vector_literal
-from pageloom.operators import search
+from pageloom.operators import pruned, search, streamed, topk
 from pageloom.operators.index import DOCUMENTS_SCHEMA, VECTORS_SCHEMA, Index
 from pageloom.sources.snapshots import read_corpus, read_index, save_bucketed, write_index
 
@@ -94,7 +94,7 @@ def requests(spark, data):
     return spark.createDataFrame(made, QUERIES), made
 
 
-@pytest.mark.parametrize("limits", [{}, {"query_budget": 1, "corpus_block": 100, "query_block": 20}])
+@pytest.mark.parametrize("limits", [{}, {"query_budget": 1, "query_block": 20}, {"query_budget": 1, "query_block": 7, "sample_rows": 5}])
 @pytest.mark.parametrize("k", [1, 6])
 def test_batch_search(data, requests, limits, k):
     documents, vectors, _, _ = data
@@ -110,10 +110,10 @@ def test_batch_search(data, requests, limits, k):
 def test_batch_search_in_small_matrices(data, requests, monkeypatch):
     documents, vectors, _, _ = data
     frame, made = requests
-    monkeypatch.setattr(search, "_MATRIX_CELLS", 50)
+    monkeypatch.setattr(topk, "_MATRIX_CELLS", 50)
     ids = np.array([row[0] for row in made])
     wanted = np.array([row[2] for row in made], dtype=float)
-    best = search._TopK(ids, [row[1] for row in made], wanted, 4)
+    best = topk.TopK(ids, [row[1] for row in made], wanted, 4)
     corpus = sorted(search.searchable(documents, vectors).collect())
     for start in range(0, len(corpus), 77):
         part = corpus[start : start + 77]
@@ -142,13 +142,163 @@ def test_plans_have_no_all_pairs_join(data, requests):
     assert "Cartesian" not in text and "NestedLoop" not in text
 
 
-def test_blocks_are_shuffled_once(data, requests):
-    _, vectors, _, _ = data
-    corpus = vectors.withColumn("category", F.lit("a"))
-    hits = search._block_hits(corpus, requests[0], 3, 100, 20)
-    text = hits._jdf.queryExecution().executedPlan().toString()
-    assert text.count("hashpartitioning(corpus_part") == 2
-    assert "ENSURE_REQUIREMENTS" not in text
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """20,000 vectors around 40 centres, a fifth of them equal, stored in 12 files, and 60 queries."""
+    chance = np.random.default_rng(8)
+    centres = 10 * chance.normal(size=(40, DIM))
+    vectors = (centres[chance.integers(40, size=20_000)] + chance.normal(size=(20_000, DIM))).astype(np.float32)
+    vectors[::5] = vectors[0]
+    folder = str(tmp_path_factory.mktemp("many") / "corpus")
+    rows_ = [(i, "ab"[i % 2] if i % 100 else "rare", v.tolist()) for i, v in enumerate(vectors)]
+    frame = spark.createDataFrame(rows_, "doc_id long, category string, embedding array<float>")
+    frame.repartition(12).write.parquet(folder)
+    wanted = [(i, [None, "a", "rare", "none"][i % 4], vectors[i * 3].tolist()) for i in range(60)]
+    return spark.read.parquet(folder), spark.createDataFrame(wanted, QUERIES), vectors
+
+
+def brute_force(many, k):
+    _, queries, vectors = many
+    kinds = np.array(["ab"[i % 2] if i % 100 else "rare" for i in range(len(vectors))])
+    found = set()
+    for row in queries.collect():
+        scores = np.sqrt(((vectors.astype(float) - np.asarray(row["embedding"], np.float32)) ** 2).sum(axis=1))
+        ids = np.arange(len(vectors)) if not row["category"] else np.flatnonzero(kinds == row["category"])
+        best = ids[np.lexsort((ids, scores[ids]))][:k]
+        found |= {(row["query_id"], rank, int(i), round(float(scores[i]), 9)) for rank, i in enumerate(best, 1)}
+    return found
+
+
+def ranked(frame):
+    return {(r["query_id"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in frame.collect()}
+
+
+@pytest.mark.parametrize("k", [1, 8])
+def test_large_batches_on_a_stored_corpus(many, k):
+    corpus, queries, _ = many
+    got = search.nearest(corpus, queries, k, query_budget=1, query_block=16, sample_rows=50)
+    assert ranked(got) == brute_force(many, k)
+
+
+def test_the_corpus_of_a_large_batch_is_not_shuffled(many):
+    corpus, queries, _ = many
+    hits = streamed.streamed_hits(corpus, queries, 3, 16, 50)
+    text = plan(hits)
+    assert "Exchange" not in text and "PythonMapInArrow" in text.replace("MapInArrow", "PythonMapInArrow")
+
+
+def test_hits_follow_the_queries_and_not_the_tasks(many, monkeypatch):
+    corpus, queries, _ = many
+    k = 4
+    monkeypatch.setattr(streamed, "THIN", 4)
+    everywhere = queries.withColumn("category", F.lit(None).cast("string"))
+    blocks = streamed.store_queries(everywhere, 16)
+    assert len(blocks.files) >= 4
+    samples = streamed.thinned(corpus, corpus.count(), 6000)
+    assert len(samples) == 1
+    bounds = streamed.sampled_bounds(samples, blocks, k)
+    for tasks in (3, 80):
+        cut = corpus.repartition(tasks)
+        # Every task and query gives k rows without bounds, and about THIN * k in all with them.
+        assert streamed.stream_blocks(cut, blocks, k).count() == 60 * k * tasks
+        assert 60 * k <= streamed.stream_blocks(cut, blocks, k, bounds).count() <= 60 * k * 4 * 2
+
+
+def test_samples_lie_in_each_other(many):
+    corpus, _, _ = many
+    samples = streamed.thinned(corpus, corpus.count(), 2)
+    ids = [{r["doc_id"] for r in s.select("doc_id").collect()} for s in [corpus, *samples]]
+    assert len(ids) >= 3 and all(b < a for a, b in zip(ids, ids[1:]))
+
+
+@pytest.fixture(scope="module")
+def pruned_store(spark, many, tmp_path_factory):
+    corpus, _, _ = many
+    folder = str(tmp_path_factory.mktemp("pruned") / "corpus")
+    pruned.write_pruned(corpus, folder, part_rows=400, sample_rows=500)
+    return pruned.read_pruned(spark, folder)
+
+
+def documents_of(corpus):
+    return corpus.select(F.col("doc_id").alias("id"), F.lit("p").alias("path"), F.lit("u").alias("url"), F.lit("t").alias("text"), "category")
+
+
+@pytest.mark.parametrize("category", [None, "", "a", "rare", "none"])
+@pytest.mark.parametrize("k", [1, 20])
+def test_pruned_search(many, pruned_store, category, k):
+    corpus, _, vectors = many
+    for query in (vectors[0], vectors[7], vectors[7] * 3 + 1):
+        got = search.search_corpus(corpus, documents_of(corpus), query.tolist(), category, k)
+        mine = pruned.search_pruned(pruned_store, documents_of(corpus), query.tolist(), category, k)
+        assert rows(mine) == rows(got)
+
+
+def test_pruned_search_reads_few_parts(many, pruned_store):
+    parts = pruned_store.parts.select("part").distinct().count()
+    assert parts >= 40
+    query = many[2][7].tolist()
+    reading = pruned.read_parts(pruned_store, query, None, 10)
+    assert np.isfinite(reading.limit) and len(reading.first) == 1
+    assert len(reading.rest) < parts / 3
+    read = pruned._of_parts(pruned_store, None, reading.first + reading.rest)
+    assert 0 < read.select(F.input_file_name()).distinct().count() < len(pruned_store.corpus.inputFiles()) / 2
+    scan = plan(pruned._of_parts(pruned_store, "a", reading.first))
+    assert "PartitionFilters: [isnotnull(category_key" in scan and "part" in scan.split("PartitionFilters")[1][:200]
+
+
+def test_equal_vectors_fill_many_parts(pruned_store):
+    shells = pruned_store.parts.collect()
+    assert max(r["rows"] for r in shells) <= 1200
+    thin = [r for r in shells if r["high"] - r["low"] < 1e-12 and r["rows"] > 50]
+    assert len(thin) >= 5  # 4,000 equal vectors at one distance from their pivot
+
+
+@pytest.mark.parametrize("k", [1, 8])
+def test_pruned_batch(many, pruned_store, k):
+    assert ranked(pruned.nearest_pruned(pruned_store, many[1], k, query_block=16)) == brute_force(many, k)
+
+
+def test_pruned_batch_leaves_parts_out(many, pruned_store):
+    _, queries, _ = many
+    few = queries.where("query_id in (1, 5)")
+    blocks = streamed.store_queries(few, 16)
+    bounds = streamed.sampled_bounds(pruned_store.samples, blocks, 1)
+    needed = pruned.needed_parts(pruned_store, blocks, bounds).count()
+    assert 0 < needed < pruned_store.parts.select("part").distinct().count()
+
+
+def test_pruned_corpora_of_odd_rows(spark, tmp_path):
+    nan = float("nan")
+    given = [(1, "", [0.0, 1.0]), (2, None, [1.0, 1.0]), (3, "c", [nan, 0.0]), (4, "c", None), (5, "c", [5.0, 5.0]), (6, "", [0.0, 1.0])]
+    corpus = spark.createDataFrame(given, "doc_id long, category string, embedding array<float>")
+    pruned.write_pruned(corpus, str(tmp_path / "odd"), part_rows=1, sample_rows=2)
+    store = pruned.read_pruned(spark, str(tmp_path / "odd"))
+    assert store.corpus.where("category is null").count() == 1 and store.corpus.where("category = ''").count() == 2
+    got = pruned.search_pruned(store, documents_of(corpus), [0.0, 1.0], None, 4)
+    assert [(r["doc_id"], round(r["score"], 6)) for r in got.collect()] == [(1, 0.0), (6, 0.0), (2, 1.0), (5, 6.403124)]
+    pruned.write_pruned(corpus.where("false"), str(tmp_path / "none"))
+    empty = pruned.read_pruned(spark, str(tmp_path / "none"))
+    assert pruned.search_pruned(empty, documents_of(corpus), [0.0, 1.0]).count() == 0
+    queries = spark.createDataFrame([(1, None, [0.0, 1.0])], QUERIES)
+    assert pruned.search_pruned_batch(empty, documents_of(corpus), queries).count() == 0
+    with pytest.raises(ValueError, match="numbers and not"):
+        pruned.search_pruned(store, documents_of(corpus), [0.0] * 3)
+
+
+def test_one_stored_corpus_serves_all_searches(spark, data, requests, tmp_path):
+    documents, vectors, known, _ = data
+    names = {"a": "python", "b": "vue", "c": "aws_design", "d": "cdk"}
+    renamed = documents.replace(names, subset="category")
+    write_index(Index(renamed, vectors), str(tmp_path / "index"))
+    corpus = read_corpus(spark, str(tmp_path / "index"))
+    for preset, category in ((search.pytool, "a"), (search.awstool, "c"), (search.cdktool, "d")):
+        got = preset(renamed, None, known[2].tolist(), 30, corpus=corpus)
+        assert found(got) == expected(data, known[2], category, 10)
+    frame, made = requests
+    plain = frame.replace(names, subset="category")
+    got = search.search_corpus_batch(corpus, renamed, plain, 3)
+    assert "Join" not in plan(search.nearest(corpus, plain, 3))
+    assert rows(got) == rows(search.search_batch(renamed, vectors, plain, 3))
 
 
 def test_stored_corpus(spark, data, tmp_path):
