@@ -179,6 +179,10 @@ ORACLES["doc_kind"] = with_(
 )
 
 
+def _one_line_end(text: str) -> str:
+    return f"replace(replace({text}, chr(13) || {NL}, {NL}), chr(13), {NL})"
+
+
 def html_ctes(source: str) -> list[tuple[str, str]]:
     """CTEs that replace ``raw`` in the rows of ``source`` by ``text`` (in ``html_text``)."""
     dropped = replace_all("raw", "(?s)<!--.*?-->")
@@ -590,26 +594,32 @@ ORACLES["text_search"] = with_(
     f"SELECT {FOUND_SHORT} FROM found",
 )
 
-# Pages to documents; the pages of all kinds but Markdown hold HTML, and those
-# with another suffix never pass the scan.
-PAGES = [
-    DOCS,
-    WEB,
-    ("candidates", f"SELECT * FROM web WHERE {scanned('path')}"),
-    *html_ctes("candidates"),
-    *clean_ctes("html_text"),
-    *stats_ctes("cleaned"),
-    (
-        "judged",
-        f"""SELECT *, CASE WHEN {strip('text')} = '' THEN 'no_text' WHEN NOT {reaches(GENERAL)} THEN 'not_meaningful' END AS reason
+
+
+def page_ctes(candidates: str) -> list[tuple[str, str]]:
+    """CTEs from candidates to ``judged`` and ``saved`` pages.
+
+    The pages of all kinds but Markdown hold HTML, and those with another suffix never pass the scan.
+    """
+    return [
+        ("candidates", candidates),
+        *html_ctes("candidates"),
+        *clean_ctes("html_text"),
+        *stats_ctes("cleaned"),
+        (
+            "judged",
+            f"""SELECT *, CASE WHEN {strip('text')} = '' THEN 'no_text' WHEN NOT {reaches(GENERAL)} THEN 'not_meaningful' END AS reason
  FROM measured""",
-    ),
-    (
-        "saved",
-        f"""SELECT path, {url_from_base('path')} AS url, text, {category_of('path')} AS category FROM judged
+        ),
+        (
+            "saved",
+            f"""SELECT path, {url_from_base('path')} AS url, text, {category_of('path')} AS category FROM judged
  WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq DESC) = 1""",
-    ),
-]
+        ),
+    ]
+
+
+PAGES = [DOCS, WEB, *page_ctes(f"SELECT * FROM web WHERE {scanned('path')}")]
 BUILT = [
     *PAGES,
     _numbered("saved", "docs"),
@@ -638,6 +648,25 @@ ORACLES["build_stats"] = with_(
 )
 ORACLES["rebuild_stats"] = with_(PAGES, _STATS.replace("{new}", "0::BIGINT"))
 
+# Pages as files: a linked file counts as a file, a broken link as one that cannot be read.
+FILES = [
+    WEB,
+    (
+        "files",
+        f"""SELECT {t.PAGE_FILE_SQL} AS path, {_one_line_end('raw')} AS raw, 0 AS seq, false AS failed FROM web
+ UNION ALL SELECT '{t.BASE}{t.LINKED}', {_one_line_end('raw')}, 0, false FROM (FROM web ORDER BY seq LIMIT 1)
+ UNION ALL SELECT '{t.BASE}{t.BROKEN}', NULL, 0, true FROM (FROM web LIMIT 1)""",
+    ),
+]
+ORACLES["scan_directory"] = with_(FILES, f"SELECT path, md5(raw) AS digest, failed FROM files WHERE {scanned('path')}")
+_read = page_ctes(f"SELECT * EXCLUDE (failed) FROM files WHERE NOT failed AND {scanned('path')}")
+ORACLES["files_build"] = with_([*FILES, *_read], "SELECT path, url, text, category FROM saved")
+ORACLES["files_build_stats"] = with_(
+    [*FILES, *_read, ("broken", f"SELECT count(*) AS n FROM files WHERE failed AND {scanned('path')}")],
+    f"""SELECT * EXCLUDE (n) REPLACE (skipped_documents + n AS skipped_documents, n AS skipped_extract_failed, candidate_files + n AS candidate_files)
+ FROM ({_STATS.replace('{new}', '(SELECT count(*) FROM saved)')}), broken""",
+)
+
 ORACLES["build_and_search"] = with_(
     [
         *BUILT,

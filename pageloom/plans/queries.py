@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from pageloom.operators.pruned import read_pruned, search_pruned, search_pruned_
 from pageloom.plans import tables as t
 from pageloom.plans.build import BuildSettings, build_index
 from pageloom.session import new_dir, with_computed
+from pageloom.sources.files import scan_files
 from pageloom.sources.pages import pages_from_table, select_category
 from pageloom.sources.snapshots import read_corpus, read_index, write_index
 from pageloom.streaming.incremental import current_index, index_stream
@@ -514,6 +516,35 @@ def build_and_search(spark, sf_dir):
     return _rounded(search.search_batch(built.index.documents, built.index.vectors, requests))
 
 
+def _from_files(spark: SparkSession, sf_dir: str):
+    """An index of the pages as files of a directory, and the directory."""
+    folder = t.mirror_of_pages(spark, sf_dir)
+    rules = replace(t.RULES, base=f"{folder}/")
+    empty = ix.Index(spark.createDataFrame([], ix.DOCUMENTS_SCHEMA), spark.createDataFrame([], ix.VECTORS_SCHEMA))
+    return build_index(scan_files(spark, [folder], rules), empty, replace(SETTINGS, scan=rules)), folder
+
+
+@query
+def scan_directory(spark, sf_dir):
+    """What a scan of the directory gives."""
+    folder = t.mirror_of_pages(spark, sf_dir)
+    found = scan_files(spark, [folder], replace(t.RULES, base=f"{folder}/"))
+    path = F.concat(F.lit(t.BASE), F.substring("path", len(folder) + 2, 10**6))
+    return found.select(path.alias("path"), F.md5("raw").alias("digest"), F.col("read_error").isNotNull().alias("failed"))
+
+
+@query
+def files_build(spark, sf_dir):
+    built, folder = _from_files(spark, sf_dir)
+    path = F.concat(F.lit(t.BASE), F.substring("path", len(folder) + 2, 10**6))
+    return built.index.documents.select(path.alias("path"), "url", "text", "category")
+
+
+@query
+def files_build_stats(spark, sf_dir):
+    return _from_files(spark, sf_dir)[0].stats
+
+
 @query
 def stream_index(spark, sf_dir):
     """The same pages as a stream, into an index of its own."""

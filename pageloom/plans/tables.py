@@ -6,12 +6,17 @@ check in another engine can start from the same inputs.
 
 from __future__ import annotations
 
+import os
+
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.config import ScanRules
 from pageloom.operators.index import Index
-from pageloom.session import spread
+from pageloom.session import new_dir, spread
+from pageloom.sources.files import write_files
+from pageloom.sources.listing import as_root
 from pageloom.sources.pages import pages_from_table
 
 BASE = "../docs/"
@@ -50,6 +55,11 @@ PATH_FORMS_SQL = (
     "'../docs/' || lang || CAST(doc_id AS VARCHAR(20)) || '.html'",
     "'/other/docs/' || lang || '/' || source || '/research/' || CAST(doc_id AS VARCHAR(20)) || '.txt'",
 )
+# Files of the pages: with and without suffixes, with odd names, hidden, in further directories, an image.
+PAGE_FILE_SQL = """regexp_replace(path, '/+$', '') || '-' || CAST(seq AS VARCHAR(20)) || CASE seq % 7
+ WHEN 0 THEN '.html' WHEN 1 THEN ' a b%20 #é.HTML' WHEN 2 THEN '.png' WHEN 3 THEN '' WHEN 4 THEN '/index.html'
+ WHEN 5 THEN '/.hidden/_x.html' ELSE '.htm' END"""
+LINKED, BROKEN = "en/links.example.org/linked.html", "en/links.example.org/broken.html"
 MARKDOWN_SQL = """'---' || chr(10) || 'title: ' || source || chr(10) || '---' || chr(10)
  || '# Heading of **' || lang || '**' || chr(10) || chr(10) || '> quoted [link](https://example.org/a) & `code`' || chr(10)
  || chr(10) || '- item *one*' || chr(10) || '1. item <b>two</b> ![image](a.png)' || chr(10)
@@ -115,3 +125,24 @@ def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.join(languages, vectors["vec_id"] == languages["doc_id"], "left").select(
         F.col("vec_id").alias("query_id"), own.alias("category"), "embedding"
     )
+
+
+def mirror_of_pages(spark: SparkSession, sf_dir: str) -> str:
+    """The pages written as files, in a directory of their own.
+
+    Where links can be made there are three: to the directory's own parent, to the file of the first page, and
+    to nothing.
+    """
+    folder = as_root(new_dir(spark, "mirror")) + "/docs"
+    files = web_pages(spark, sf_dir).select(
+        "seq", F.substring(F.expr(PAGE_FILE_SQL), len(BASE) + 1, 10**6).alias("name"), F.encode("raw", "UTF-8").alias("content")
+    )
+    write_files(files, folder)
+    system, inner = FileSystem.from_uri(folder)
+    first = files.orderBy("seq").select("name").head()
+    if isinstance(system, LocalFileSystem) and first:
+        os.makedirs(os.path.dirname(f"{inner}/{LINKED}"), exist_ok=True)
+        os.symlink(f"{inner}/{first['name']}", f"{inner}/{LINKED}")
+        os.symlink(f"{inner}/nothing", f"{inner}/{BROKEN}")
+        os.symlink(inner, f"{inner}/en/up")
+    return folder

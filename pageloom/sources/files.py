@@ -1,17 +1,18 @@
 """Pages from directories of mirrored files.
 
-Directories are listed in tasks, level by level, so the driver never holds the
-tree; one directory is listed by one task. Paths are tested on the listing, and
-only the files that pass are opened, again in tasks. A file that cannot be read
-is a row with an error, not the end of the job.
+The files are listed by a data source of their own (``sources/listing.py``), so the driver never
+holds the tree. Paths are tested on the listing, and only the files that pass are
+opened, in tasks. A file that cannot be read is a row with an error, not the end of
+the job.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyarrow.fs import FileSelector, FileSystem, FileType
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,53 +20,44 @@ from pageloom.config import ScanRules
 from pageloom.functions.extract import decode_text
 from pageloom.functions.paths import scan_filter
 from pageloom.session import materialize
+from pageloom.sources.listing import FORMAT, PARTITIONS, as_root, register
 
-# Names below a root are kept apart from it, as they may not be valid in a URI.
-_LISTED = "root string, inner string, is_directory boolean, size long"
 _READ = "path string, content binary, read_error string"
 _TASK_BYTES = 128 * 1024 * 1024  # of files that one task reads
 _MOST_BYTES = 2**31 - 2**16  # a row cannot hold more
 
 
-def _list_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What lies directly in the given directories; one that cannot be listed comes as a file."""
-    for batch in batches:
-        for root, inner in zip(batch.column("root").to_pylist(), batch.column("inner").to_pylist()):
-            system = FileSystem.from_uri(root)[0]
-            try:
-                found = system.get_file_info(FileSelector(inner))
-                entries = [(root, e.path, e.type == FileType.Directory, e.size or 0) for e in found]
-            except OSError:
-                entries = [(root, inner, False, 0)]
-            columns = zip(*entries) if entries else ([], [], [], [])
-            types = (pa.string(), pa.string(), pa.bool_(), pa.int64())
-            arrays = [pa.array(list(column), kind) for column, kind in zip(columns, types)]
-            yield pa.RecordBatch.from_arrays(arrays, ["root", "inner", "is_directory", "size"])
-
-
 def list_files(spark: SparkSession, directories: Iterable[str]) -> DataFrame:
     """``(path, root, inner, size)`` of every file below the directories, whatever its name.
 
     The tasks reach the directories with ``pyarrow.fs``.
     """
-    roots = []
-    for directory in dict.fromkeys(str(d) for d in directories):
-        root = directory.rstrip("/") or "/"
-        if root.startswith("file:"):
-            root = "/" + root.removeprefix("file:").lstrip("/")
-        roots.append((root, FileSystem.from_uri(root)[1], True, 0))
-    level = spark.createDataFrame(roots, _LISTED)
-    files = level.where("not is_directory")
-    while level.where("is_directory").limit(1).count():
-        wide = level.where("is_directory").repartition("inner")
-        level = materialize(wide.mapInArrow(_list_level, _LISTED), "listing")
-        files = files.union(level.where("not is_directory"))
-    prefix = spark.createDataFrame(
-        [(root, root[: len(root) - len(inner)]) for root, inner, _, _ in roots], "root string, prefix string"
-    )
-    named = files.join(F.broadcast(prefix), "root").withColumn("path", F.concat("prefix", "inner"))
-    # Directories may lie in each other; a file is read once.
-    return named.groupBy("path").agg(F.min_by(F.struct("root", "inner", "size"), "root").alias("f")).select("path", "f.*")
+    register(spark)
+    roots = sorted({as_root(directory) for directory in directories})
+    # A directory inside another one would give its files twice.
+    apart = [root for root in roots if not any(root.startswith(other.rstrip("/") + "/") for other in roots if other != root)]
+    wanted = max(PARTITIONS, 4 * spark.sparkContext.defaultParallelism)
+    return spark.read.format(FORMAT).option("directories", json.dumps(apart)).option("partitions", wanted).load()
+
+
+def _write_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            system = FileSystem.from_uri(row["root"])[0]
+            inner = FileSystem.from_uri(row["root"])[1].rstrip("/") + "/" + row["name"]
+            system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+            with system.open_output_stream(inner, compression=None) as stream:
+                stream.write(row["content"] or b"")
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["files"])
+
+
+def write_files(files: DataFrame, directory: str) -> int:
+    """Write ``(name, content)`` as files below a directory, in tasks; how many there are.
+
+    A task that runs again writes the same files again.
+    """
+    rows = files.select(F.lit(as_root(directory)).alias("root"), "name", "content")
+    return rows.mapInArrow(_write_all, "files long").agg(F.sum("files")).head()[0] or 0
 
 
 def _read_file(root: str, inner: str, size: int) -> tuple[bytes | None, str | None]:

@@ -1,11 +1,13 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import StringEndsWith, StringStartsWith
 
-from helpers import rows, values
+from helpers import plan, rows, values
 from pageloom.config import ScanRules
 from pageloom.functions import extract
 from pageloom.plans.build import BuildSettings, extract_pages
-from pageloom.sources.files import scan_files
+from pageloom.sources import listing
+from pageloom.sources.files import list_files, scan_files
 from pageloom.sources.pages import first_segment, mirror_path
 
 
@@ -118,6 +120,66 @@ def test_unreadable_files_are_counted(spark, tmp_path):
     assert reasons == {"good.html": "not_meaningful", "gone.html": "extract_failed"}
 
 
+def tree(tmp_path):
+    """A mirror with links to its parent, to a file and to nothing, and a directory that cannot be listed."""
+    base = tmp_path / "docs"
+    for name in ("vue/v.org/a.html", "vue/v.org/deep/b.html", "cdk/c.org/c.html", "cdk/c.org/pic.png"):
+        (base / name).parent.mkdir(parents=True, exist_ok=True)
+        (base / name).write_bytes(b"<p>x</p>")
+    (base / "vue/v.org/up").symlink_to(tmp_path)
+    (base / "vue/v.org/again").symlink_to(base / "cdk")
+    (base / "vue/v.org/linked.html").symlink_to(base / "cdk/c.org/c.html")
+    (base / "vue/v.org/broken.html").symlink_to(base / "nowhere")
+    return base
+
+
+def test_links_to_directories_are_not_followed(spark, tmp_path):
+    base = tree(tmp_path)
+    got = rows(scan_files(spark, [tmp_path], ScanRules(base=f"{base}/")).select("path", "raw", F.col("read_error").isNotNull()))
+    names = [(path.removeprefix(f"{base}/"), raw, failed) for path, raw, failed in got]
+    assert names == [
+        ("cdk/c.org/c.html", "<p>x</p>", False), ("vue/v.org/a.html", "<p>x</p>", False), ("vue/v.org/broken.html", None, True),
+        ("vue/v.org/deep/b.html", "<p>x</p>", False), ("vue/v.org/linked.html", "<p>x</p>", False),
+    ]
+
+
+@pytest.mark.parametrize("wanted", [1, 3, 100])
+def test_a_listing_does_not_depend_on_its_partitions(tmp_path, wanted):
+    base = tree(tmp_path)
+    reader = listing.ListingReader([str(base)], wanted)
+    parts = reader.partitions()
+    assert (len(parts) > 1) == (wanted > 1)
+    found = [path for part in parts for batch in reader.read(part) for path in batch["path"].to_pylist()]
+    assert sorted(found) == sorted(str(base / name) for name in (
+        "cdk/c.org/c.html", "cdk/c.org/pic.png", "vue/v.org/a.html", "vue/v.org/broken.html", "vue/v.org/deep/b.html", "vue/v.org/linked.html",
+    ))
+
+
+def test_filters_reach_the_listing(spark, tmp_path, monkeypatch):
+    base = tree(tmp_path)
+    listed = list_files(spark, [base])
+    for kept, names in (
+        (F.col("path").startswith(f"{base}/vue/v.org/deep"), ["b.html"]),
+        (F.col("path") == f"{base}/cdk/c.org/c.html", ["c.html"]),
+        (F.col("path").isin(f"{base}/cdk/c.org/c.html", f"{base}/vue/v.org/a.html", "x"), ["a.html", "c.html"]),
+        (F.col("path").endswith(".png") & F.col("path").contains("c.org") & (F.col("size") > 1), ["pic.png"]),
+    ):
+        found = listed.where(kept)
+        assert sorted(r["path"].rsplit("/", 1)[1] for r in found.collect()) == names
+    assert "Filter" not in plan(listed.where(F.col("path").startswith("x"))).replace("PushedFilters", "")
+    opened = []
+    monkeypatch.setattr(listing, "entries", lambda system, inner, own=listing.entries: opened.append(inner) or own(system, inner))
+    reader = listing.ListingReader([str(base)], 1)
+    assert list(reader.pushFilters([StringStartsWith(("path",), f"{base}/cdk/"), StringEndsWith(("size",), "x")])) == [StringEndsWith(("size",), "x")]
+    assert sum(batch.num_rows for part in reader.partitions() for batch in reader.read(part)) == 2
+    assert set(opened) == {str(base), str(base / "cdk"), str(base / "cdk/c.org")}
+
+
+def test_directories_that_cannot_be_listed_are_errors(spark, tmp_path, monkeypatch):
+    got = scan_files(spark, [tmp_path / "missing"], ScanRules(base=f"{tmp_path}/")).collect()
+    assert [(r["path"], r["raw"], bool(r["read_error"])) for r in got] == [(f"{tmp_path}/missing", None, True)]
+
+
 def test_decoding_keeps_replacement_characters_of_valid_files(spark):
     rows = [(bytearray("a\ufffdb\r\nc".encode()),), (bytearray(b"a\xffb\rc"),)]
     assert values(spark, rows, "content binary", extract.decode_text(F.col("content"))) == ["a\ufffdb\nc", "ab\nc"]
