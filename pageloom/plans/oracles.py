@@ -686,8 +686,52 @@ ORACLES["build_and_search"] = with_(
     ],
     f"SELECT {FOUND} FROM found",
 )
-# The stream starts from an empty index.
+# Every wave of a stream keeps the last good version of a page; ids are given by part of the paths, wave by wave.
+WAVES = [
+    WEB,
+    *page_ctes(
+        " UNION ALL ".join(
+            f"SELECT w.* REPLACE ({html} AS raw), {wave} AS wave FROM web w JOIN pages ON seq = page_id WHERE {which} AND {scanned('path')}"
+            for wave, (which, html) in enumerate(t.WAVES_SQL)
+        )
+    )[:-1],
+    (
+        "versions",
+        f"""SELECT path, {url_from_base('path')} AS url, text, {category_of('path')} AS category, wave FROM judged
+ WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY path, wave ORDER BY seq DESC) = 1""",
+    ),
+    ("first_waves", "SELECT path, min(wave) AS first, ('0x' || substr(md5(path), 1, 3))::BIGINT AS part FROM versions GROUP BY path"),
+    (
+        "given",
+        "SELECT path, first, (row_number() OVER (PARTITION BY part ORDER BY first, path) - 1) * 4096 + part + 1 AS id FROM first_waves",
+    ),
+]
 ORACLES["stream_index"] = with_(
-    PAGES,
-    """SELECT row_number() OVER (ORDER BY substr(md5(path), 1, 3), path) AS id, path, url, text, category FROM saved""",
+    WAVES,
+    """SELECT id, path, url, text, category FROM versions JOIN given USING (path)
+ QUALIFY row_number() OVER (PARTITION BY path ORDER BY wave DESC) = 1""",
+)
+_BOTH = """SELECT DISTINCT unnest(['documents', 'vectors']) AS kept_in, id, unnest([path, NULL]) AS path FROM ({rows})"""
+_IN_HOST = f"contains(path, '{t.DELETED_HOST}')"
+ORACLES["stream_delete"] = with_(
+    WAVES, _BOTH.replace("{rows}", f"SELECT id, path FROM given WHERE first = 0 AND NOT {_IN_HOST}")
+)
+ORACLES["stream_reinsert"] = with_(
+    WAVES, _BOTH.replace("{rows}", f"SELECT id, path FROM versions JOIN given USING (path) WHERE NOT {_IN_HOST} OR wave > 0")
+)
+# Paths that were gone when the index was compacted are new to the stream that follows it.
+ORACLES["stream_compact"] = with_(
+    [
+        *WAVES,
+        ("kept", f"SELECT DISTINCT id, path FROM versions JOIN given USING (path) WHERE wave < 2 AND (NOT {_IN_HOST} OR wave = 1)"),
+        ("late", "SELECT DISTINCT path, ('0x' || substr(md5(path), 1, 3))::BIGINT AS part FROM versions WHERE wave = 2 AND path NOT IN (SELECT path FROM kept)"),
+        ("highest", "SELECT (id - 1) % 4096 AS part, max((id - 1) // 4096 + 1) AS n FROM kept GROUP BY ALL"),
+        (
+            "after",
+            """SELECT id, path FROM kept UNION ALL
+ SELECT (coalesce(n, 0) + row_number() OVER (PARTITION BY late.part ORDER BY path) - 1) * 4096 + late.part + 1, path
+ FROM late LEFT JOIN highest USING (part)""",
+        ),
+    ],
+    _BOTH.replace("{rows}", "FROM after"),
 )

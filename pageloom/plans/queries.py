@@ -22,7 +22,8 @@ from pageloom.session import new_dir, with_computed
 from pageloom.sources.files import scan_files
 from pageloom.sources.pages import pages_from_table, select_category
 from pageloom.sources.snapshots import read_corpus, read_index, write_index
-from pageloom.streaming.incremental import current_index, index_stream
+from pageloom.streaming.incremental import compact, current_index, index_stream
+from pageloom.streaming.incremental import delete_where as delete_stream_where
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -545,11 +546,59 @@ def files_build_stats(spark, sf_dir):
     return _from_files(spark, sf_dir)[0].stats
 
 
+def _streamed(spark: SparkSession, sf_dir: str, directory: str, checkpoint: str, folder: str, waves: range) -> None:
+    """Follow the pages wave by wave: in the first most pages, then the changed and the others."""
+    pages = t.read_table(spark, sf_dir, "pages")
+    for wave in waves:
+        given = pages.where(t.WAVES_SQL[wave][0]).withColumn("html", F.expr(t.WAVES_SQL[wave][1]))
+        given.write.parquet(f"{folder}/wave-{wave}")
+        stream = spark.readStream.schema(pages.schema).parquet(f"{folder}/*")
+        tasks = spark.sparkContext.defaultParallelism
+        index_stream(pages_from_table(stream, t.BASE), directory, checkpoint, SETTINGS, tasks).awaitTermination()
+
+
+def _places(spark: SparkSession) -> tuple[str, str, str]:
+    return new_dir(spark, "stream"), new_dir(spark, "stream-checkpoint"), new_dir(spark, "stream-pages")
+
+
 @query
 def stream_index(spark, sf_dir):
-    """The same pages as a stream, into an index of its own."""
-    schema = t.read_table(spark, sf_dir, "pages").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(sf_dir)
-    directory, checkpoint = new_dir(spark, "stream"), new_dir(spark, "stream-checkpoint")
-    index_stream(pages_from_table(stream, t.BASE), directory, checkpoint, SETTINGS).awaitTermination()
+    """The pages as a stream in three waves, into an index of its own."""
+    directory, checkpoint, folder = _places(spark)
+    _streamed(spark, sf_dir, directory, checkpoint, folder, range(3))
     return current_index(spark, directory).documents
+
+
+def _deleted(spark: SparkSession, sf_dir: str, waves: int) -> str:
+    """A streamed index with a host deleted behind its first wave, followed for further waves."""
+    directory, checkpoint, folder = _places(spark)
+    _streamed(spark, sf_dir, directory, checkpoint, folder, range(1))
+    delete_stream_where(spark, directory, F.contains(F.col("path"), F.lit(t.DELETED_HOST)))
+    _streamed(spark, sf_dir, directory, checkpoint, folder, range(1, waves))
+    return directory
+
+
+def _both_tables(index: ix.Index) -> DataFrame:
+    return index.documents.select(F.lit("documents").alias("kept_in"), "id", "path").unionByName(
+        index.vectors.select(F.lit("vectors").alias("kept_in"), F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("path"))
+    )
+
+
+@query
+def stream_delete(spark, sf_dir):
+    return _both_tables(current_index(spark, _deleted(spark, sf_dir, 1)))
+
+
+@query
+def stream_reinsert(spark, sf_dir):
+    """Pages of the deleted host that come again are there again, under the ids they had."""
+    return _both_tables(current_index(spark, _deleted(spark, sf_dir, 3)))
+
+
+@query
+def stream_compact(spark, sf_dir):
+    """The same index compacted, and followed with a new checkpoint by the pages that came last."""
+    directory, target = _deleted(spark, sf_dir, 2), new_dir(spark, "stream-compact")
+    compact(spark, directory, target)
+    _streamed(spark, sf_dir, target, *_places(spark)[1:], range(2, 3))
+    return _both_tables(current_index(spark, target))

@@ -59,6 +59,13 @@ PATH_FORMS_SQL = (
 PAGE_FILE_SQL = """regexp_replace(path, '/+$', '') || '-' || CAST(seq AS VARCHAR(20)) || CASE seq % 7
  WHEN 0 THEN '.html' WHEN 1 THEN ' a b%20 #é.HTML' WHEN 2 THEN '.png' WHEN 3 THEN '' WHEN 4 THEN '/index.html'
  WHEN 5 THEN '/.hidden/_x.html' ELSE '.htm' END"""
+# Waves of a stream of pages: which of them come, and what their html is then.
+WAVES_SQL = (
+    ("page_id % 5 <> 0", "html"),
+    ("page_id % 2 = 0", "replace(html, '</p>', ' once more.</p>')"),
+    ("page_id % 3 = 0", "replace(html, '</p>', ' and again.</p><p>End</p>')"),
+)
+DELETED_HOST = ".example.org/"
 LINKED, BROKEN = "en/links.example.org/linked.html", "en/links.example.org/broken.html"
 MARKDOWN_SQL = """'---' || chr(10) || 'title: ' || source || chr(10) || '---' || chr(10)
  || '# Heading of **' || lang || '**' || chr(10) || chr(10) || '> quoted [link](https://example.org/a) & `code`' || chr(10)

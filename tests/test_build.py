@@ -1,4 +1,5 @@
 import sys
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from pageloom.operators.index import DOCUMENTS_SCHEMA, VECTORS_SCHEMA, Index
 from pageloom.operators.search import search_by_vector
 from pageloom.plans.build import BuildSettings, build_index, extract_pages
 from pageloom.session import spread, with_computed
-from pageloom.streaming.incremental import batch_writer, compact, current_index, index_stream
+from pageloom.streaming import incremental
 
 # The encoder below has to reach the Python workers.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -183,72 +184,123 @@ def documents_without_ids(index):
     return rows(index.documents.select("path", "url", "text", "category"))
 
 
+def follow(spark, source, out, checkpoint, settings=SETTINGS):
+    stream = spark.readStream.schema("path string, raw string, seq long").option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
+    query = incremental.index_stream(stream, out, checkpoint, settings)
+    query.awaitTermination()
+    return query
+
+
 def test_stream_equals_batches(spark, tmp_path, built):
-    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    source, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "checkpoint")
     write_pages(spark, source, "1", PAGES[:4])
     write_pages(spark, source, "2", PAGES[4:])
-
-    def run():
-        stream = (
-            spark.readStream.schema("path string, raw string, seq long")
-            .option("maxFilesPerTrigger", 1)
-            .parquet(f"{source}/*")
-        )
-        index_stream(stream, out, str(tmp_path / "checkpoint"), SETTINGS).awaitTermination()
-
-    run()
-    index = current_index(spark, out)
+    assert [p["batchId"] for p in follow(spark, source, out, checkpoint).recentProgress if p["numInputRows"]] == [0, 1]
+    index = incremental.current_index(spark, out)
     assert documents_without_ids(index) == documents_without_ids(built.index)
-    ids = sorted(r["id"] for r in index.documents.collect())
-    assert ids == [1, 2, 3]
-    assert sorted(r["doc_id"] for r in index.vectors.collect()) == ids
-
     before = {r["path"]: r["id"] for r in index.documents.collect()}
+    assert len(set(before.values())) == 3
+    assert sorted(r["doc_id"] for r in index.vectors.collect()) == sorted(before.values())
+
     changed = page("vue/vuejs.org/guide.html", f"<article>{LONG}third</article>", 20)
     write_pages(spark, source, "3", [changed, page("vue/vuejs.org/new.html", f"<p>{LONG}</p>", 21)])
-    run()
-    after = {r["path"]: r for r in current_index(spark, out).documents.collect()}
+    follow(spark, source, out, checkpoint)
+    after = {r["path"]: r for r in incremental.current_index(spark, out).documents.collect()}
     assert {path: row["id"] for path, row in after.items() if path in before} == before
     assert after[changed[0]]["text"].endswith("third")
-    assert after[f"{BASE}vue/vuejs.org/new.html"]["id"] == 4
-
-    compact(spark, out, str(tmp_path / "compact"))
-    compacted = current_index(spark, str(tmp_path / "compact"))
-    assert rows(compacted.documents) == rows(current_index(spark, out).documents)
-    assert rows(compacted.vectors) == rows(current_index(spark, out).vectors)
-
-
-def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path, pages):
-    out = str(tmp_path / "out")
-    write = batch_writer(out, SETTINGS)
-    write(pages.where("seq < 3"), 0)
-    write(pages, 1)
-    index = current_index(spark, out)
-    documents, vectors = rows(index.documents), rows(index.vectors)
-    write(pages, 1)
-    index = current_index(spark, out)
-    assert rows(index.documents) == documents and rows(index.vectors) == vectors
-
-
-def test_a_new_checkpoint_cannot_overwrite_an_index(spark, tmp_path):
-    folder = tmp_path / "index"
-    (folder / "documents" / "batch_id=0").mkdir(parents=True)
-    pages = spark.readStream.schema("path string, raw string, seq long").parquet(str(tmp_path))
+    assert len({row["id"] for row in after.values()}) == 4
+
+    # Deletions, and what was indexed before by a stream with another checkpoint.
+    gone = F.contains(F.col("path"), F.lit("vuejs.org"))
+    assert incremental.delete_where(spark, out, gone) == 2
+    left = incremental.current_index(spark, out)
+    assert {r["path"] for r in left.documents.collect()} == set(after) - {changed[0], f"{BASE}vue/vuejs.org/new.html"}
+    assert left.vectors.count() == 2
+    assert incremental.delete_where(spark, out, gone) == 0
+    write_pages(spark, source, "4", [changed])
+    follow(spark, source, out, checkpoint)
+    again = {r["path"]: r["id"] for r in incremental.current_index(spark, out).documents.collect()}
+    assert again[changed[0]] == before[changed[0]] and len(again) == 3
+
+    target = str(tmp_path / "compact")
+    incremental.compact(spark, out, target)
+    compacted = incremental.current_index(spark, target)
+    current = incremental.current_index(spark, out)
+    assert rows(compacted.documents) == rows(current.documents) and rows(compacted.vectors) == rows(current.vectors)
     with pytest.raises(ValueError, match="another checkpoint"):
-        index_stream(pages, str(folder), str(tmp_path / "new-checkpoint"), SETTINGS)
-
-
-def test_a_half_written_batch_is_not_shown(spark, tmp_path):
-    folder = str(tmp_path)
-    for batch, text in ((0, "old"), (1, "new")):
-        documents = spark.createDataFrame([(1, "p", "u", text, "c")], DOCUMENTS_SCHEMA)
-        documents.write.parquet(f"{folder}/documents/batch_id={batch}")
-        assert [r["text"] for r in current_index(spark, folder).documents.collect()] == ["old"][:batch]
-        vectors = spark.createDataFrame([(1, [float(batch)])], VECTORS_SCHEMA)
-        vectors.write.parquet(f"{folder}/vectors/batch_id={batch}")
-        index = current_index(spark, folder)
-        assert [r["text"] for r in index.documents.collect()] == [text]
-        assert [r["embedding"] for r in index.vectors.collect()] == [[float(batch)]]
+        incremental.index_stream(spark.readStream.schema("path string, raw string, seq long").parquet(source), out, str(tmp_path / "other"), SETTINGS)
+    later = str(tmp_path / "later")
+    write_pages(spark, later, "1", [page("vue/vuejs.org/guide.html", f"<article>{LONG}fourth</article>", 1), page("vue/vuejs.org/last.html", f"<p>{LONG}</p>", 2)])
+    follow(spark, later, target, str(tmp_path / "other"))
+    final = {r["path"]: r for r in incremental.current_index(spark, target).documents.collect()}
+    assert {path: row["id"] for path, row in final.items() if path in again} == again
+    assert final[changed[0]]["text"].endswith("fourth") and len({row["id"] for row in final.values()}) == 4
+
+
+class Failing(HashingEncoder):
+    def __call__(self, texts):
+        raise RuntimeError("no model")
+
+
+def test_a_batch_that_fails_half_way_is_not_shown_and_runs_again(spark, tmp_path, built):
+    source, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    write_pages(spark, source, "1", PAGES[:2])
+    follow(spark, source, out, checkpoint)
+    first = incremental.current_index(spark, out)
+    documents, vectors = rows(first.documents), rows(first.vectors)
+    write_pages(spark, source, "2", PAGES[2:])
+    with pytest.raises(Exception, match="no model"):
+        follow(spark, source, out, checkpoint, replace(SETTINGS, encoder=Failing(16)))
+    shown = incremental.current_index(spark, out)
+    assert rows(shown.documents) == documents and rows(shown.vectors) == vectors
+    follow(spark, source, out, checkpoint)
+    index = incremental.current_index(spark, out)
+    assert documents_without_ids(index) == documents_without_ids(built.index)
+    ids = {r["id"] for r in index.documents.collect()}
+    assert len(ids) == 3 and {r["doc_id"] for r in index.vectors.collect()} == ids and {row[0] for row in documents} <= ids
+
+
+def test_a_batch_that_runs_again_replaces_its_first_attempt(spark, tmp_path):
+    out = str(tmp_path)
+    write = incremental.batch_writer(out, SETTINGS)
+    for text in ("first", "first", "other"):
+        write(spark.createDataFrame([(5, "p", "u", text, "c", 1), (6, "q", "u", text, "c", 1)], incremental.CHANGED_SCHEMA), 0)
+        index = incremental.current_index(spark, out)
+        assert rows(index.documents) == [(5, "p", "u", text, "c"), (6, "q", "u", text, "c")]
+        assert index.vectors.count() == 2
+    write(spark.createDataFrame([(5, "p", "u", "newer", "c", 2)], incremental.CHANGED_SCHEMA), 1)
+    assert [r[3] for r in rows(incremental.current_index(spark, out).documents)] == ["newer", "other"]
+    assert incremental.delete_ids(spark, out, spark.createDataFrame([(5,), (5,), (9,)], "id long")) == 1
+    assert [r[0] for r in rows(incremental.current_index(spark, out).documents)] == [6]
+
+
+def test_deletions_write_ids_only(spark, tmp_path):
+    out = str(tmp_path)
+    many = spark.range(3000).select("id", F.concat(F.lit("p"), "id").alias("path"), F.lit("u").alias("url"), F.repeat(F.md5(F.col("id").cast("string")), 30).alias("text"), F.lit("c").alias("category"), F.lit(1).cast("long").alias("version"))
+    incremental.batch_writer(out, SETTINGS)(many, 0)
+    assert incremental.delete_where(spark, out, F.col("id") % 100 == 0) == 30
+    size = lambda name: sum(f.stat().st_size for f in (tmp_path / name).rglob("*.parquet"))
+    assert size("deletes") < size("documents") / 20
+    assert incremental.current_index(spark, out).documents.count() == 2970
+
+
+def test_marks_of_the_committer_are_not_needed(spark, tmp_path):
+    setting = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
+    hadoop = spark._jsc.hadoopConfiguration()
+    hadoop.set(setting, "false")
+    try:
+        incremental.batch_writer(str(tmp_path), SETTINGS)(spark.createDataFrame([(5, "p", "u", "t", "c", 1)], incremental.CHANGED_SCHEMA), 0)
+        assert incremental.current_index(spark, str(tmp_path)).documents.count() == 1
+    finally:
+        hadoop.unset(setting)
+
+
+def test_rows_of_a_hot_path_are_thinned_out(spark):
+    hot = [("hot", None, f"t{i % 7}", "c", i if i % 5 else None) for i in range(3000)]
+    frame = spark.createDataFrame([*hot, ("a", "u", None, None, 1), ("a", "v", "x", None, 1)], "path string, url string, text string, category string, seq long")
+    thin = incremental.latest_of_batch(frame.coalesce(1)).collect()
+    assert len(thin) == 2
+    assert {(r["path"], r["text"], r["seq"]) for r in thin} == {("hot", "t3", 2999), ("a", "x", 1)}
 
 
 def test_the_encoder_sees_texts_up_to_the_setting_of_the_session(spark):
