@@ -13,10 +13,14 @@ from pageloom.functions.strings import bind, is_blank, pystrip
 
 HTML, MARKDOWN, NO_KIND = "html", "markdown", "none"
 
-_DROPPED_ELEMENTS = ("script", "style", "nav", "footer", "table")
+_RAW_ELEMENTS = ("script", "style")  # what they hold is no markup, so they do not nest
+_DROPPED_ELEMENTS = ("nav", "footer", "table")
 _BLOCK_TAG = (
-    r"(?i)<(?:/?(?:p|div|h[1-6]|li|ul|ol|section|article|pre|blockquote)|br)\b[^>]*>"
+    r"(?i)<(?:/?(?:p|div|h[1-6]|li|ul|ol|dl|dt|dd|section|article|main|header|aside|pre|blockquote"
+    r"|figure|figcaption|address|details|summary|tr|td|th)|br|hr)(?![\w-])[^>]*>"
 )
+# Noncharacters that stand for the tags of an article.
+_OPENED, _CLOSED = "\ufdd0", "\ufdd1"
 _REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 _FRONT_MATTER = r"(?s)\A\s*-{3,}[ \t]*\n.*?\n-{3,}[ \t]*(?:\n|\z)"
 # Code in Markdown: spans between equally many back-ticks, those of one not beyond a blank
@@ -87,22 +91,69 @@ def doc_kind(path: Column, raw: Column, sniff_by_name: bool = False) -> Column:
     )
 
 
+def _opening(tag: str) -> str:
+    return rf"<{tag}(?![\w-])[^>]*>"
+
+
+def _innermost(tag: str) -> str:
+    """An element without another one of its kind in it; the content is the first group."""
+    # The possessive loop has no way back, so it needs no stack however long the content is.
+    return rf"(?is){_opening(tag)}((?:[^<]++|<(?!/?{tag}(?![\w-])))*+)</{tag}\s*>"
+
+
+def _repeated(text: Column, times: Column, pattern: str, kept: str) -> Column:
+    """``regexp_replace`` over and over, ``times`` times at most; a pass without a match is cheap."""
+
+    def once(t: Column) -> Column:
+        return F.when(t.rlike(pattern), F.regexp_replace(t, pattern, kept)).otherwise(t)
+
+    return F.when(times > 0, F.aggregate(F.sequence(F.lit(1), times), text, lambda t, _: once(t))).otherwise(text)
+
+
+def _without(html: Column, tag: str) -> Column:
+    """Without the elements of a kind, whatever their depth: the innermost go first."""
+    return bind(html, lambda h: _repeated(h, F.regexp_count(h, F.lit(f"(?i){_opening(tag)}")), _innermost(tag), ""))
+
+
+def _articles(html: Column) -> Column:
+    """What all outermost articles hold, in their order, nested ones in their place; null if there is none."""
+
+    def marked(h: Column, count: Column) -> Column:
+        h = _repeated(h, count, _innermost("article"), f"{_OPENED}$1{_CLOSED}")
+        # An article right after the beginning of another one gives up its marks, until none is inside.
+        inner = f"{_OPENED}([^{_OPENED}{_CLOSED}]*){_OPENED}([^{_OPENED}{_CLOSED}]*){_CLOSED}"
+        return bind(h, lambda m: _repeated(m, count, inner, f"{_OPENED}$1\n$2\n"))
+
+    def joined(h: Column) -> Column:
+        whole = marked(F.translate(h, _OPENED + _CLOSED, ""), F.regexp_count(h, F.lit(f"(?i){_opening('article')}")))
+        found = F.regexp_extract_all(whole, F.lit(f"{_OPENED}([^{_CLOSED}]*){_CLOSED}"), 1)
+        return bind(F.array_join(found, "\n"), lambda text: F.when(text != "", text))
+
+    return F.when(html.rlike(f"(?i){_opening('article')}"), bind(html, joined))
+
+
 def html_main_text(html: Column) -> Column:
-    """Main content of a page as text, without comments, tables and page furniture."""
+    """Main content of a page as text, without comments, tables and page furniture.
+
+    All articles of a page, or else its body. Elements may lie in others of their kind. A tag without its other
+    half leaves its content.
+    """
     html = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    for tag in _RAW_ELEMENTS:
+        html = F.regexp_replace(html, rf"(?is){_opening(tag)}.*?</{tag}\s*>", "")
     for tag in _DROPPED_ELEMENTS:
-        html = F.regexp_replace(html, rf"(?is)<{tag}\b.*?</{tag}>", "")
+        html = _without(html, tag)
 
-    def element(source: Column, tag: str) -> Column:
+    def body(source: Column) -> Column:
         # From the first opening tag to the first closing tag after it; a greedy
         # match and a split are much faster than a lazy match of the content.
-        opened = F.regexp_extract(source, rf"(?is)<{tag}\b[^>]*>(.*)\z", 1)
+        opened = F.regexp_extract(source, rf"(?is){_opening('body')}(.*)\z", 1)
         return bind(
-            F.split(opened, rf"(?i)</{tag}>", 2),
+            F.split(opened, r"(?i)</body\s*>", 2),
             lambda parts: F.when((F.size(parts) == 2) & (F.get(parts, F.lit(0)) != ""), F.get(parts, F.lit(0))),
         )
 
-    main = bind(html, lambda h: F.coalesce(element(h, "article"), element(h, "body"), h))
+    main = bind(html, lambda h: F.coalesce(_articles(h), body(h), h))
     text = F.regexp_replace(main, _BLOCK_TAG, "\n")
     text = F.regexp_replace(text, r"<[^>]+>", "")
     return bind(decode_references(text), lambda t: F.when(is_blank(t), F.lit("")).otherwise(t))

@@ -183,32 +183,67 @@ def _one_line_end(text: str) -> str:
     return f"replace(replace({text}, chr(13) || {NL}, {NL}), chr(13), {NL})"
 
 
+_BLOCKS = """p|div|h[1-6]|li|ul|ol|dl|dt|dd|section|article|main|header|aside|pre|blockquote
+|figure|figcaption|address|details|summary|tr|td|th""".replace(chr(10), "")
+
+
+def _is_tag(token: str, names: str) -> str:
+    return f"regexp_matches({token}, '(?i)^<(?:{names})(?:[^0-9A-Za-z_-][^>]*)?>$')"
+
+
 def html_ctes(source: str) -> list[tuple[str, str]]:
-    """CTEs that replace ``raw`` in the rows of ``source`` by ``text`` (in ``html_text``)."""
-    dropped = replace_all("raw", "(?s)<!--.*?-->")
-    for tag in ("script", "style", "nav", "footer", "table"):
-        dropped = replace_all(dropped, rf"(?is)<{tag}\b.*?</{tag}>")
-    article = r"regexp_extract(raw, '(?is)<article\b[^>]*>(.*?)</article>', 1)"
-    body = r"regexp_extract(raw, '(?is)<body\b[^>]*>(.*?)</body>', 1)"
-    block = r"(?i)<(?:/?(?:p|div|h[1-6]|li|ul|ol|section|article|pre|blockquote)|br)\b[^>]*>"
-    text = replace_all(replace_all("main", block, NL), "<[^>]+>")
+    """CTEs that replace ``raw`` in the rows of ``source`` by ``text`` (in ``html_text``).
+
+    Tags and texts are rows; how many elements of a kind are open is a running sum.
+    """
+    bare = replace_all(replace_all("raw", "(?s)<!--.*?-->"), r"(?is)<(?:script|style)\b.*?</(?:script|style)\s*>")
+
+    def open_elements(names: str, rows: str) -> str:
+        step = f"CASE WHEN {_is_tag('tok', names)} THEN 1 WHEN {_is_tag('tok', f'/(?:{names})')} THEN -1 ELSE 0 END"
+        return f"""SELECT *, sum(step) OVER (PARTITION BY rid ORDER BY pos) AS after, after - step AS before
+ FROM (SELECT *, {step} AS step FROM {rows})"""
+
+    body = r"regexp_extract(kept, '(?is)<body\b[^>]*>(.*?)</body>', 1)"
+    text = f"""CASE WHEN {_is_tag('tok', f'/?(?:{_BLOCKS})|br|hr')} THEN {NL} WHEN starts_with(tok, '<') AND len(tok) > 1 THEN '' ELSE tok END"""
+    # The marks around an outermost article give one line end between it and the next.
+    inside = f"""CASE WHEN before = 0 THEN (CASE WHEN row_number() OVER (PARTITION BY rid, before = 0 ORDER BY pos) = 1 THEN '' ELSE {NL} END)
+ WHEN after = 0 THEN '' ELSE {text} END"""
+    decoded = "text"
     for entity, char in (("lt", "'<'"), ("gt", "'>'"), ("quot", "chr(34)"), ("#39", "chr(39)"), ("nbsp", "chr(160)"), ("amp", "'&'")):
-        text = f"replace({text}, '&{entity};', {char})"
+        decoded = f"replace({decoded}, '&{entity};', {char})"
     return [
-        ("html_dropped", f"SELECT * REPLACE ({dropped} AS raw) FROM {source}"),
+        ("html_rows", f"SELECT *, row_number() OVER () AS rid FROM {source}"),
+        ("html_lists", f"SELECT rid, regexp_extract_all({bare}, '<[^>]*>|[^<]+|<') AS toks FROM html_rows"),
+        ("html_tokens", "SELECT rid, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM html_lists"),
+        ("html_outside", open_elements("nav|footer|table", "html_tokens")),
+        ("html_kept", "SELECT rid, pos, tok FROM html_outside WHERE before = 0 AND after = 0"),
+        ("html_articles", open_elements("article", "html_kept")),
+        ("html_inside", f"SELECT rid, pos, {inside} AS piece FROM html_articles WHERE before > 0 OR after > 0"),
+        ("html_main", "SELECT rid, string_agg(piece, '' ORDER BY pos) AS main FROM html_inside GROUP BY rid"),
+        ("html_whole", "SELECT rid, string_agg(tok, '' ORDER BY pos) AS kept FROM html_kept GROUP BY rid"),
+        ("html_bodies", f"SELECT rid, CASE WHEN {body} <> '' THEN {body} ELSE kept END AS kept FROM html_whole"),
+        (
+            "html_plain",
+            f"""SELECT rid, string_agg({text}, '' ORDER BY pos) AS text
+ FROM (SELECT rid, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos
+  FROM (SELECT rid, regexp_extract_all(kept, '<[^>]*>|[^<]+|<') AS toks FROM html_bodies)) GROUP BY rid""",
+        ),
         (
-            "html_main",
-            f"SELECT * EXCLUDE (raw), CASE WHEN {article} <> '' THEN {article} WHEN {body} <> '' THEN {body} ELSE raw END AS main FROM html_dropped",
+            "html_joined",
+            f"""SELECT r.* EXCLUDE (raw, rid), {decoded.replace('text', "coalesce(nullif(m.main, ''), p.text, '')")} AS text
+ FROM html_rows r LEFT JOIN html_main m USING (rid) LEFT JOIN html_plain p USING (rid)""",
         ),
-        ("html_plain", f"SELECT * EXCLUDE (main), {text} AS text FROM html_main"),
         (
             "html_text",
-            f"SELECT * REPLACE (CASE WHEN {strip('text')} = '' THEN '' ELSE text END AS text) FROM html_plain",
+            f"SELECT * REPLACE (CASE WHEN {strip('text')} = '' THEN '' ELSE text END AS text) FROM html_joined",
         ),
     ]
 
 
 ORACLES["html_main_text"] = with_([WEB, *html_ctes("web")], "SELECT seq, text FROM html_text")
+ORACLES["html_nested_text"] = with_(
+    [WEB, ("nested", f"SELECT * REPLACE ({t.NESTED_SQL} AS raw) FROM web"), *html_ctes("nested")], "SELECT seq, text FROM html_text"
+)
 
 # Every second piece between runs of back-ticks is code; its marks are letters of the private use area meanwhile.
 _marks, _private = "*_<>&[]()#-+!.", "".join(chr(0xE000 + i) for i in range(14))

@@ -118,6 +118,12 @@ def html_main_text(spark, sf_dir):
     return pages.select("seq", extract.html_main_text(F.col("raw")).alias("text"))
 
 
+@query
+def html_nested_text(spark, sf_dir):
+    pages = t.web_pages(spark, sf_dir)
+    return pages.select("seq", extract.html_main_text(F.expr(t.NESTED_SQL)).alias("text"))
+
+
 @query
 def markdown_text(spark, sf_dir):
     documents = t.read_documents(spark, sf_dir, "doc_id", "text", "lang", "source")

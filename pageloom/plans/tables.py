@@ -59,6 +59,10 @@ PATH_FORMS_SQL = (
 PAGE_FILE_SQL = """regexp_replace(path, '/+$', '') || '-' || CAST(seq AS VARCHAR(20)) || CASE seq % 7
  WHEN 0 THEN '.html' WHEN 1 THEN ' a b%20 #é.HTML' WHEN 2 THEN '.png' WHEN 3 THEN '' WHEN 4 THEN '/index.html'
  WHEN 5 THEN '/.hidden/_x.html' ELSE '.htm' END"""
+# Every page within articles, tables and menus that lie in each other.
+NESTED_SQL = """'<p>before</p><nav><ul><nav>' || raw || '</nav>menu</ul></nav><article><section>' || raw || '</section><article>inner '
+ || CAST(seq AS VARCHAR(20)) || '<table><tr><td><table><tr><td>cell</td></tr></table>rest</td></tr></table><article>innermost</article>'
+ || '<dl><dt>term<dd>meaning</dl></article>after it</article><p>between</p><article>second<main>' || raw || '</main></article>'"""
 # Waves of a stream of pages: which of them come, and what their html is then.
 WAVES_SQL = (
     ("page_id % 5 <> 0", "html"),

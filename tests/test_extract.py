@@ -50,8 +50,30 @@ def test_html(spark):
 
 
 def test_articles_beyond_one_line_and_nested_names(spark):
-    assert html(spark, "<article>\na\n</article><article>b</article>") == ["\na\n"]
-    assert html(spark, "<navigation>kept</navigation>") == ["kept"]
+    assert html(spark, "<article>\na\n</article><article>b</article>") == ["\na\n\nb"]
+    assert html(spark, "<navigation>kept</navigation>", "<article-card>x</article-card>") == ["kept", "x"]
+
+
+NESTED = {
+    "<body>o<article>a<article>b</article>c</article>x<article>d</article></body>": "a\nb\nc\nd",
+    "<article>1<table><tr><td><table><tr><td>in</td></tr></table>out</td></tr></table>2<nav><ul><nav>n</nav>m</ul></nav>3</article>": "123",
+    "<nav><article>menu</article></nav><body>main<footer>a<footer>b</footer>c</footer></body>": "main",
+    "<article>a<article>b<article>c</article><article>d</article>e</article><article>f</article>g</article>": "a\nb\nc\n\nd\ne\n\nf\ng",
+    "<body><table>unclosed<p>kept</p></body>": "unclosed\nkept\n",
+    "<dl><dt>t<dd>d</dl><main>m<header>h</header></main>": "\n\nt\nd\n\nm\nh\n\n",
+    "<ARTICLE class=x>up</ARTICLE >": "up",
+    "<article></article><body>b</body>": "b",
+    "<article>a\ufdd0b\ufdd1</article>": "ab",
+    "<article>" + "<div>" * 5000 + "deep" + "</div>" * 5000 + "</article>": "\n" * 5000 + "deep" + "\n" * 5000,
+    "<table>" * 200 + "in" + "</table>" * 200 + "after": "after",
+    "<article>" * 200 + "in" + "</article>" * 200: "\n" * 199 + "in" + "\n" * 199,
+    "<article>" + "<table><tr><td>x</td></tr></table>y" * 2000 + "</article>": "y" * 2000,
+    "<article>" + "<i>z</i>" * 100_000 + "</article>": "z" * 100_000,
+}
+
+
+def test_elements_in_elements_of_their_kind(spark):
+    assert html(spark, *NESTED) == list(NESTED.values())
 
 
 def test_markdown(spark):
