@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pageloom.config import DEFAULT_DIM, embed_text_cap
 
 Encoder = Callable[[list], np.ndarray]
+_WORD = re.compile("[a-z0-9]+")
 
 
 class HashingEncoder:
@@ -33,24 +35,27 @@ class HashingEncoder:
 
     def __init__(self, dim: int = DEFAULT_DIM):
         self.dim = dim
-        self.places: dict[str, tuple[int, int]] = {}
+        self.places: dict[str, int] = {}  # the bucket, or its complement for words that count negative
 
-    def _place(self, word: str) -> tuple[int, int]:
+    def _place(self, word: str) -> int:
         place = self.places.get(word)
         if place is None:
             if len(self.places) >= self.known_words:
                 self.places.clear()
             digest = hashlib.md5(word.encode()).hexdigest()
-            place = int(digest[:8], 16) % self.dim, 1 if int(digest[8], 16) < 8 else -1
-            self.places[word] = place
+            bucket = int(digest[:8], 16) % self.dim
+            place = self.places[word] = bucket if int(digest[8], 16) < 8 else ~bucket
         return place
 
     def __call__(self, texts: list) -> np.ndarray:
-        counts = np.zeros((len(texts), self.dim))
-        for row, text in zip(counts, texts):
-            for word, count in Counter(re.findall("[a-z0-9]+", text.lower())).items():
-                bucket, sign = self._place(word)
-                row[bucket] += sign * count
+        # All words of the batch at once: each different word is looked up once, and the
+        # counts are a sum over (text, bucket) pairs.
+        words = [_WORD.findall(text.lower()) for text in texts]
+        codes, different = pd.factorize(np.array(list(chain.from_iterable(words)), dtype=object))
+        places = np.fromiter(map(self._place, different), np.int64, len(different))
+        rows = np.repeat(np.arange(len(texts)), [len(found) for found in words])
+        buckets, signs = np.where(places < 0, ~places, places)[codes], np.where(places < 0, -1.0, 1.0)[codes]
+        counts = np.bincount(rows * self.dim + buckets, signs, len(texts) * self.dim).reshape(len(texts), self.dim)
         norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
         return counts / np.where(norms == 0, 1, norms)
 

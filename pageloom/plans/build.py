@@ -19,10 +19,14 @@ from pageloom.functions.extract import extract_text
 from pageloom.functions.paths import detect_category, path_to_url, scan_filter
 from pageloom.functions.policy import is_meaningful_for
 from pageloom.functions.strings import clean_text, is_blank
+from pageloom.operators.contract import Contract, split_documents, split_vectors
 from pageloom.operators.embed import Encoder, HashingEncoder, encode_batch
 from pageloom.operators.index import (
     NEW,
     Index,
+    backfill_urls,
+    prune_disallowed_domains,
+    prune_skipped_files,
     replace_documents,
     save_embeddings,
     with_ids,
@@ -47,6 +51,7 @@ class BuildSettings:
     policy: ContentPolicy = ContentPolicy()
     encoder: Encoder = HashingEncoder()
     text_cap: int | None = None  # the setting of the session
+    contract: Contract = Contract()
 
 
 @dataclass(frozen=True)
@@ -55,6 +60,7 @@ class BuildResult:
     changed: DataFrame  # documents written by this build, with their status
     changed_vectors: DataFrame
     stats: DataFrame
+    rejected: DataFrame  # what broke the contract, with the reason
 
 
 def extract_pages(pages: DataFrame, settings: BuildSettings) -> DataFrame:
@@ -122,12 +128,38 @@ def build_index(
     ``keep`` stores a table that is needed more than once and returns it as
     stored: the extracted texts (for the statistics and the documents), the
     changed documents (for the tables and the encoder) and the new vectors.
+
+    Documents and vectors that break the contract are not saved; what the index has of them stays.
     """
     extracted = keep(extract_pages(pages, settings), "extracted")
-    changed = keep(with_ids(documents_of(extracted, settings), current.documents), "changed")
+    given = keep(with_ids(documents_of(extracted, settings), current.documents), "changed")
+    changed, bad_documents = split_documents(given, settings.contract)
     texts = changed.select(F.col("id").alias("doc_id"), "text")
     encoded = keep(encode_batch(texts, settings.encoder, settings.text_cap), "vectors")
+    vectors, bad_vectors = split_vectors(encoded, settings.contract)
     index = Index(
-        replace_documents(current.documents, changed), save_embeddings(current.vectors, encoded, unique=True)
+        replace_documents(current.documents, changed), save_embeddings(current.vectors, vectors, unique=True)
+    )
+    return BuildResult(index, changed, vectors, build_stats(extracted, given), bad_documents.union(bad_vectors))
+
+
+def maintain_and_build(
+    pages: DataFrame,
+    current: Index,
+    settings: BuildSettings,
+    keep: Callable[[DataFrame, str], DataFrame] = materialize,
+) -> tuple[BuildResult, DataFrame]:
+    """Clean the index by the scan rules, complete its urls, and build the pages into it.
+
+    The second value is one row: what was deleted for its domain, what for its file name, and the urls filled in.
+    """
+    allowed, domains = prune_disallowed_domains(current, settings.scan)
+    scanned, files = prune_skipped_files(allowed, settings.scan)
+    documents, filled = backfill_urls(scanned.documents, settings.scan.base)
+    counts = domains.select(
+        F.col("deleted_documents").alias("pruned_domains"),
+        files.scalar().alias("pruned_files"),
+        filled.scalar().alias("filled_urls"),
     )
-    return BuildResult(index, changed, encoded, build_stats(extracted, changed))
+    kept = Index(keep(documents, "maintained"), keep(scanned.vectors, "maintained-vectors"))
+    return build_index(pages, kept, settings, keep), counts

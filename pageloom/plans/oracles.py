@@ -140,6 +140,7 @@ ORACLES["effective_url"] = with_(
 ORACLES["source_by_category"] = with_(
     [WEB], f"SELECT seq, path FROM web WHERE starts_with(path, '{t.BASE}fr/')"
 )
+ORACLES["source_by_prefix"] = ORACLES["source_by_category"]
 ORACLES["category_documents"] = with_([DOCS], "SELECT id, path, text FROM docs WHERE category = 'fr'")
 
 # ------------------------------------------------------------------ extraction
@@ -401,6 +402,11 @@ ORACLES["meaningful_for"] = with_(
     stats_ctes("documents"),
     f"SELECT doc_id, CASE WHEN lang = 'en' THEN {reaches(RELAXED)} ELSE {reaches(GENERAL)} END AS meaningful FROM measured",
 )
+ORACLES["meaningful_policy"] = with_(
+    [DOCS, *stats_ctes("docs")],
+    f"""SELECT id AS doc_id, CASE WHEN contains(path, 'src3.example.org') AND contains(path, '/fr/') THEN {reaches(t.POLICY.relaxed)}
+ ELSE {reaches(t.POLICY.general)} END AS meaningful FROM measured""",
+)
 ORACLES["clean_and_keep"] = with_(
     [NOISY, *clean_ctes("noisy"), *stats_ctes("cleaned")],
     f"SELECT doc_id, text FROM measured WHERE {reaches(GENERAL)}",
@@ -474,6 +480,12 @@ ORACLES["l2_distances"] = with_(
 ORACLES["vector_search"] = _single(None, 5)
 ORACLES["vector_search_category"] = _single("en", 7)
 ORACLES["snapshot_search"] = _single("en", 7)
+ORACLES["empty_category_snapshot"] = with_(
+    [DOCS, VECS],
+    """SELECT 'documents' AS part, id, CASE category WHEN 'es' THEN '' ELSE category END AS category, NULL::VARCHAR AS reason FROM docs WHERE category IN ('es', 'en')
+ UNION ALL SELECT 'corpus', id, '', NULL FROM docs JOIN vecs ON id = doc_id WHERE category = 'es'
+ UNION ALL SELECT 'documents', id, NULL, CASE category WHEN 'de' THEN 'no_category' ELSE 'unknown_category' END FROM docs WHERE category NOT IN ('es', 'en')""",
+)
 ORACLES["capped_topk"] = _single("de", 10)
 ORACLES["pruned_search"] = _single(None, 5)
 ORACLES["pruned_search_category"] = _single("en", 7)
@@ -683,6 +695,24 @@ ORACLES["build_stats"] = with_(
 )
 ORACLES["rebuild_stats"] = with_(PAGES, _STATS.replace("{new}", "0::BIGINT"))
 
+ORACLES["reject_dim_build"] = with_(
+    [*BUILT, VECS],
+    """SELECT 'kept' AS part, doc_id AS id, len(embedding)::INTEGER AS dim, NULL::VARCHAR AS reason FROM vecs
+ UNION ALL SELECT 'vectors', id, NULL, 'wrong_dimension' FROM changed""",
+)
+# The index without what the rules leave out, and with all urls, before the pages come.
+_GONE = f"(NOT {allowed('path')} OR {skipped('path')})"
+_STORED = f"SELECT * REPLACE (CASE WHEN url IS NULL OR url = '' THEN {url_from_base('path')} ELSE url END AS url) FROM all_docs WHERE NOT {_GONE}"
+MAINTAINED = [("all_docs", DOCS[1]), ("docs", _STORED), *BUILT[1:]]
+ORACLES["maintain_and_build_documents"] = with_(MAINTAINED, "SELECT id, path, url, text, category FROM built")
+ORACLES["maintain_and_build_stats"] = with_(
+    MAINTAINED,
+    f"""SELECT (SELECT count(*) FROM all_docs WHERE NOT {allowed('path')}) AS pruned_domains,
+ (SELECT count(*) FROM all_docs WHERE {allowed('path')} AND {skipped('path')}) AS pruned_files,
+ (SELECT count(*) FROM all_docs WHERE NOT {_GONE} AND (url IS NULL OR url = '')) AS filled_urls, s.*
+ FROM ({_STATS.replace("{new}", "(SELECT count(*) FROM numbered)")}) s""",
+)
+
 # Pages as files: a linked file counts as a file, a broken link as one that cannot be read.
 FILES = [
     WEB,

@@ -14,14 +14,15 @@ from pageloom.functions.render import render_with_path, render_with_url, structu
 from pageloom.functions.vectors import l2_distance, split_by_dim, vector_literal
 from pageloom.operators import index as ix
 from pageloom.operators import search
+from pageloom.operators.contract import Contract
 from pageloom.operators.embed import HashingEncoder, encode_batch
 from pageloom.operators.pruned import read_pruned, search_pruned, search_pruned_batch, write_pruned
 from pageloom.plans import tables as t
-from pageloom.plans.build import BuildSettings, build_index
+from pageloom.plans.build import BuildSettings, build_index, maintain_and_build
 from pageloom.session import new_dir, with_computed
 from pageloom.sources.files import scan_files
-from pageloom.sources.pages import pages_from_table, select_category
-from pageloom.sources.snapshots import read_corpus, read_index, write_index
+from pageloom.sources.pages import pages_from_table, read_pages, select_category, write_pages
+from pageloom.sources.snapshots import read_corpus, read_index, read_rejected, write_index
 from pageloom.streaming.incremental import compact, current_index, index_stream
 from pageloom.streaming.incremental import delete_where as delete_stream_where
 
@@ -72,6 +73,14 @@ def candidate_count(spark, sf_dir):
 
 @query
 def source_by_category(spark, sf_dir):
+    """The pages stored by category, and one category read back."""
+    directory = new_dir(spark, "pages")
+    write_pages(t.web_pages(spark, sf_dir), directory, t.BASE)
+    return read_pages(spark, directory, "FR", t.LANGS).select("seq", "path")
+
+
+@query
+def source_by_prefix(spark, sf_dir):
     pages = select_category(t.web_pages(spark, sf_dir), t.BASE, "FR", t.LANGS)
     return pages.select("seq", "path")
 
@@ -188,6 +197,13 @@ def meaningful_for(spark, sf_dir):
     return documents.select("doc_id", kept.alias("meaningful"))
 
 
+@query
+def meaningful_policy(spark, sf_dir):
+    """Another policy: its own domain, part of the path and limits."""
+    kept = policy.is_meaningful_for(F.expr(t.PATH_SQL), F.col("text"), t.POLICY)
+    return t.read_documents(spark, sf_dir, "doc_id", "text", "lang", "source").select("doc_id", kept.alias("meaningful"))
+
+
 @query
 def clean_and_keep(spark, sf_dir):
     cleaned = with_computed(t.noisy_texts(spark, sf_dir), "text", strings.clean_text(F.col("text")))
@@ -266,6 +282,19 @@ def snapshot_search(spark, sf_dir):
     return _rounded(search.search_corpus(corpus, documents, vector, "en", 7))
 
 
+@query
+def empty_category_snapshot(spark, sf_dir):
+    """Documents with an empty category and with none, through a snapshot; what the contract keeps out comes as such."""
+    index, directory = t.index_tables(spark, sf_dir), new_dir(spark, "index")
+    category = F.expr("CASE category WHEN 'es' THEN '' WHEN 'de' THEN NULL ELSE category END")
+    write_index(replace(index, documents=index.documents.withColumn("category", category)), directory, Contract(DIM, ("", "en")))
+    none = F.lit(None).cast("string")
+    kept = read_index(spark, directory).documents.select(F.lit("documents").alias("part"), "id", "category", none.alias("reason"))
+    corpus = read_corpus(spark, directory).where("category = ''").select(F.lit("corpus").alias("part"), F.col("doc_id").alias("id"), "category", none.alias("reason"))
+    rejected = read_rejected(spark, directory).select("rejected_from", "id", none.alias("category"), "reason")
+    return kept.union(corpus).union(rejected)
+
+
 def _batch(spark: SparkSession, sf_dir: str, k: int = 5, **limits) -> tuple[DataFrame, DataFrame]:
     index = t.index_tables(spark, sf_dir)
     requests = t.search_requests(spark, sf_dir)
@@ -513,6 +542,31 @@ def rebuild_stats(spark, sf_dir):
     return build_index(t.web_pages(spark, sf_dir), first.index, SETTINGS).stats
 
 
+@query
+def reject_dim_build(spark, sf_dir):
+    """A build with an encoder of another dimension: its vectors are rejected, and old ones stay."""
+    settings = replace(SETTINGS, encoder=HashingEncoder(DIM // 2), contract=Contract(DIM, (*t.LANGS, "unknown")))
+    built = build_index(t.web_pages(spark, sf_dir), t.index_tables(spark, sf_dir), settings)
+    return built.index.vectors.select(F.lit("kept").alias("part"), F.col("doc_id").alias("id"), F.size("embedding").alias("dim"), F.lit(None).cast("string").alias("reason")).union(
+        built.rejected.select("rejected_from", "id", F.lit(None).cast("int"), "reason")
+    )
+
+
+def _maintained_and_built(spark: SparkSession, sf_dir: str):
+    return maintain_and_build(t.web_pages(spark, sf_dir), t.index_tables(spark, sf_dir), SETTINGS)
+
+
+@query
+def maintain_and_build_documents(spark, sf_dir):
+    return _maintained_and_built(spark, sf_dir)[0].index.documents
+
+
+@query
+def maintain_and_build_stats(spark, sf_dir):
+    built, counts = _maintained_and_built(spark, sf_dir)
+    return built.stats.withColumns({name: counts.select(name).scalar() for name in counts.columns})
+
+
 @query
 def build_and_search(spark, sf_dir):
     """The flagship: pages to index, and every indexed page looked up in it."""

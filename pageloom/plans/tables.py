@@ -12,7 +12,7 @@ from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.config import ScanRules
+from pageloom.config import ContentPolicy, ScanRules, Thresholds
 from pageloom.operators.index import Index
 from pageloom.session import new_dir, spread
 from pageloom.sources.files import write_files
@@ -22,6 +22,7 @@ from pageloom.sources.pages import pages_from_table
 BASE = "../docs/"
 BLOCKED = ("spam-farm.example.org", "7.example.org", "*.example.net")
 RULES = ScanRules(base=BASE, blocked_domains=BLOCKED)
+POLICY = ContentPolicy("src3.example.org", "/fr/", Thresholds(900, 12, 30, 150), Thresholds(300, 2, 20, 40))
 LANGS = ("en", "fr", "de")  # "es" is left out to have an unknown category
 
 # Every fiftieth document has the name of a search page.

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CATEGORY, _HOSTS = "category_key", "host_bucket"  # directories of stored pages
 # Fixed value: parts of an address.
 _ADDRESS = r"\A[a-z][a-z0-9+.-]*://([^/?#]*)([^?#]*)"
 
@@ -35,18 +36,45 @@ def pages_from_table(table: DataFrame, base: str) -> DataFrame:
     )
 
 
+def write_pages(pages: DataFrame, directory: str, base: str, hosts: int = 16) -> None:
+    """Store ``(path, raw, seq)`` by category directory and bucket of the host.
+
+    A host is in one bucket; within it, pages are cut into files by ranges of their paths, so a
+    host with a third of all pages is many files.
+    """
+    below = F.substring(F.col("path"), len(base) + 1, 2**31 - 1)
+    category = F.when(F.startswith(F.col("path"), F.lit(base)) & F.contains(below, F.lit("/")), F.split_part(below, F.lit("/"), F.lit(1)))
+    host = F.pmod(F.xxhash64(F.split_part(below, F.lit("/"), F.lit(2))), F.lit(hosts)).cast("int")
+    keyed = pages.withColumns({_CATEGORY: F.concat(F.lit("c-"), F.coalesce(category, F.lit(""))), _HOSTS: host})
+    order = (_CATEGORY, _HOSTS, "path")
+    keyed.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(_CATEGORY, _HOSTS).parquet(directory)
+
+
+def read_pages(spark: SparkSession, directory: str, category: str | None = None, known: tuple = ()) -> DataFrame:
+    """``(path, raw, seq)`` of stored pages; of one category, its directory alone is read."""
+    pages = spark.read.schema(f"path string, raw string, seq long, {_CATEGORY} string, {_HOSTS} int").parquet(directory)
+    if category:
+        pages = pages.where(F.col(_CATEGORY) == f"c-{_known(category, known)}")
+    return pages.select("path", "raw", "seq")
+
+
+def _known(category: str, known: tuple) -> str:
+    category = category.lower()
+    if category not in known:
+        raise ValueError(f"unknown category {category!r}, choose from {', '.join(known)}")
+    return category
+
+
 def select_category(pages: DataFrame, base: str, category: str | None, known: tuple) -> DataFrame:
     """The pages of one category directory, or all if no category is given.
 
-    The category is a directory directly below ``base``, so the filter is a
-    prefix of the path and reaches the scan.
+    The category is a directory directly below ``base``, so the filter is a prefix of the path. It
+    reaches the scan of a table that has the paths; where they are made from addresses, every
+    row is read. ``write_pages`` stores pages so that a category is a directory.
     """
     if not category:
         return pages
-    category = category.lower()
-    if category not in known:
-        raise ValueError(f"unknown category {category!r}, choose from {', '.join(known)}")
-    return pages.where(F.startswith(F.col("path"), F.lit(f"{base}{category}/")))
+    return pages.where(F.startswith(F.col("path"), F.lit(f"{base}{_known(category, known)}/")))
 
 
 def select_sources(
@@ -55,9 +83,7 @@ def select_sources(
     """The source directories that belong to a category; all if none is given."""
     if not category:
         return tuple(directories)
-    category = category.lower()
-    if category not in known:
-        raise ValueError(f"unknown category {category!r}, choose from {', '.join(known)}")
+    category = _known(category, known)
     matches = tuple(d for d in directories if category in d.lower().split("/"))
     if not matches:
         raise ValueError(f"no source directory belongs to category {category!r}")

@@ -1,3 +1,5 @@
+import hashlib
+import re
 import sys
 from dataclasses import replace
 
@@ -9,10 +11,11 @@ from pyspark.sql import functions as F
 from helpers import rows
 from pageloom import config
 from pageloom.config import ScanRules, Thresholds, embed_text_cap
+from pageloom.operators.contract import Contract
 from pageloom.operators.embed import HashingEncoder, encode_batch
 from pageloom.operators.index import DOCUMENTS_SCHEMA, VECTORS_SCHEMA, Index
 from pageloom.operators.search import search_by_vector
-from pageloom.plans.build import BuildSettings, build_index, extract_pages
+from pageloom.plans.build import BuildSettings, build_index, extract_pages, maintain_and_build
 from pageloom.session import spread, with_computed
 from pageloom.streaming import incremental
 
@@ -141,6 +144,43 @@ def test_hashing_encoder(spark):
     assert (found[1] == found[4]).all() and (found[1] != found[5]).any()
 
 
+def test_hashing_encoder_counts_words_of_each_text():
+    choose = np.random.default_rng(4)
+    texts = [" ".join(choose.choice(["Ab", "c1", "x-y", "é", "İa", "the"], size=n)) for n in (0, 1, 50, 400)]
+    encoder = HashingEncoder(8)
+    encoder.known_words = 3
+    for _ in range(2):
+        made = encoder(texts)
+        for text, row in zip(texts, made, strict=True):
+            counts = np.zeros(8)
+            for word in re.findall("[a-z0-9]+", text.lower()):
+                digest = hashlib.md5(word.encode()).hexdigest()
+                counts[int(digest[:8], 16) % 8] += 1 if int(digest[8], 16) < 8 else -1
+            assert np.allclose(row, counts / (np.linalg.norm(counts) or 1), atol=1e-15)
+    assert encoder([]).shape == (0, 8)
+
+
+def test_rejected_vectors_are_not_saved(pages, empty):
+    built = build_index(pages, empty, replace(SETTINGS, contract=Contract(dim=17, categories=("vue", "python"))))
+    assert built.index.vectors.count() == 0 and built.index.documents.count() == 2
+    assert sorted((r["rejected_from"], r["reason"]) for r in built.rejected.collect()) == [
+        ("documents", "unknown_category"), ("vectors", "wrong_dimension"), ("vectors", "wrong_dimension"),
+    ]
+
+
+def test_maintenance_before_a_build(spark, pages):
+    documents = spark.createDataFrame(
+        [(1, f"{BASE}vue/vuejs.org/guide.html", None, "old", "vue"), (2, f"{BASE}vue/segment.com/x.html", "u", "t", "vue"), (3, f"{BASE}vue/vuejs.org/search.html", "u", "t", "vue"), (4, f"{BASE}vue/vuejs.org/kept.html", "", "t", "vue")],
+        DOCUMENTS_SCHEMA,
+    )
+    vectors = spark.createDataFrame([(i, [0.0] * 16) for i in (1, 2, 3, 4)], VECTORS_SCHEMA)
+    built, counts = maintain_and_build(pages, Index(documents, vectors), SETTINGS)
+    assert counts.head().asDict() == {"pruned_domains": 1, "pruned_files": 1, "filled_urls": 2}
+    found = {r["id"]: r["url"] for r in built.index.documents.collect()}
+    assert found[1] == "https://vuejs.org/guide" and found[4] == "https://vuejs.org/kept" and not {2, 3} & set(found)
+    assert sorted(r["doc_id"] for r in built.index.vectors.collect()) == sorted(found)
+
+
 def test_text_cap_setting(spark):
     assert embed_text_cap(spark) == config.DEFAULT_TEXT_CAP
     try:

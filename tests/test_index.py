@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 from helpers import plan, rows
 from pageloom.config import ScanRules
 from pageloom.operators import index as ix
-from pageloom.sources.snapshots import read_legacy_documents
+from pageloom.operators.contract import Contract, split_documents, split_vectors
+from pageloom.sources.pages import read_pages, write_pages
+from pageloom.sources.snapshots import read_corpus, read_index, read_legacy_documents, read_rejected, write_index
 
 INCOMING = "path string, url string, text string, category string, seq long"
 
@@ -144,3 +146,57 @@ def test_save_embeddings_with_repeated_ids(spark, current):
     kept = [(1, [1.0]), (3, [6.0]), (9, [9.0])]
     assert rows(ix.save_embeddings(current.vectors, new, "seq")) == sorted([*kept, (2, [5.0])])
     assert rows(ix.save_embeddings(current.vectors, new)) == sorted([*kept, (2, [7.0])])
+
+
+def test_contracts(spark):
+    nan, inf = float("nan"), float("-inf")
+    documents = spark.createDataFrame(
+        [(1, "p", "u", "t", "a"), (None, "p", None, "t", "a"), (2, "", "u", "t", "a"), (3, None, "u", "t", "a"), (4, "p", "u", None, "a"), (5, "p", "u", "t", None), (6, "p", "u", "", ""), (7, None, None, None, None)],
+        ix.DOCUMENTS_SCHEMA,
+    )
+    good, bad = split_documents(documents, Contract())
+    assert [r["id"] for r in good.orderBy("id").collect()] == [1, 6]
+    reasons = {(r["id"], r["reason"]) for r in bad.collect()}
+    assert reasons == {(None, "no_id"), (2, "no_path"), (3, "no_path"), (4, "no_text"), (5, "no_category"), (7, "no_path")}
+    good, bad = split_documents(documents, Contract(categories=("", "b")))
+    assert [r["id"] for r in good.collect()] == [6] and (1, "unknown_category") in {(r["id"], r["reason"]) for r in bad.collect()}
+
+    vectors = spark.createDataFrame(
+        [(1, [1.0, 2.0]), (2, [1.0]), (3, []), (4, None), (5, [1.0, None]), (6, [1.0, nan]), (7, [inf, 1.0]), (None, [1.0, 2.0])], ix.VECTORS_SCHEMA
+    )
+    good, bad = split_vectors(vectors, Contract(dim=2))
+    assert [r["doc_id"] for r in good.collect()] == [1]
+    assert {(r["id"], r["reason"]) for r in bad.collect()} == {
+        (2, "wrong_dimension"), (3, "wrong_dimension"), (4, "no_vector"), (5, "null_number"), (6, "not_finite"), (7, "not_finite"), (None, "no_id"),
+    }
+    assert sorted(r["doc_id"] for r in split_vectors(vectors, Contract())[0].collect()) == [1, 2, 3]
+
+
+def test_snapshots_keep_every_category(spark, tmp_path):
+    names = ["", None, "a", "c-a", "x/y=z %", "__HIVE_DEFAULT_PARTITION__"]
+    documents = spark.createDataFrame([(i, f"p{i}", None, "t", name) for i, name in enumerate(names)], ix.DOCUMENTS_SCHEMA)
+    vectors = spark.createDataFrame([(i, [float(i)]) for i in range(len(names))], ix.VECTORS_SCHEMA)
+    write_index(ix.Index(documents, vectors), str(tmp_path / "all"))
+    stored = read_index(spark, str(tmp_path / "all"))
+    assert [r["category"] for r in stored.documents.orderBy("id").collect()] == names
+    assert [r["category"] for r in read_corpus(spark, str(tmp_path / "all")).orderBy("doc_id").collect()] == names
+    write_index(ix.Index(documents, vectors), str(tmp_path / "some"), Contract(dim=1, categories=("", "a")))
+    assert rows(read_index(spark, str(tmp_path / "some")).documents.select("id")) == [(0,), (2,)]
+    assert sorted(r["id"] for r in read_rejected(spark, str(tmp_path / "some")).collect()) == [1, 3, 4, 5]
+
+
+def test_stored_pages_are_read_by_category(spark, tmp_path):
+    given = [
+        ("/m/en/a.org/1", "one", 1), ("/m/en/b.org/2", None, 2), ("/m/fr/a.org/1", "three", 3), ("/m/fr/a.org/1", "three", 3), ("/other/fr/x", "no", 4), ("/m/top", "file", 5), (None, "null", 6), ("/m//d.org/x", "none", 7),
+    ]
+    pages = spark.createDataFrame(given, "path string, raw string, seq long")
+    folder = str(tmp_path / "pages")
+    write_pages(pages, folder, "/m/", hosts=4)
+    order = lambda found: sorted(map(str, found))
+    assert order(map(tuple, read_pages(spark, folder).collect())) == order(given)
+    french = read_pages(spark, folder, "FR", ("en", "fr"))
+    assert rows(french.select("seq")) == [(3,), (3,)]
+    text = plan(french)
+    assert "PartitionFilters: [isnotnull(category_key" in text and "c-fr" in text.split("PartitionFilters")[1][:120]
+    with pytest.raises(ValueError, match="unknown category"):
+        read_pages(spark, folder, "xx", ("en", "fr"))
