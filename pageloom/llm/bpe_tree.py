@@ -1,7 +1,7 @@
 """Operator 2: encode whole texts with byte-pair merges and decode them again.
 
 Texts up to ``long_chars`` are encoded from a memo of their chunks. A longer text is
-cut into pieces that are encoded as rows of their own, in parallel; the pieces
+numbered, stored and cut into pieces that are encoded as rows of their own, in parallel; the pieces
 of a text are then joined pairwise, as a tree: a window around each join is
 encoded again and grows until it agrees with both sides (``chunk_encoder``).
 
@@ -30,9 +30,11 @@ from pageloom.llm.chunk_encoder import (
     load_tokenizer,
 )
 from pageloom.llm.common import add_columns
+from pageloom.session import materialize
 
 LONG_CHARS = 65_536
 LEAF_CHARS = 16_384
+TASK_CHARS = 4_000_000  # of long texts that one task encodes
 
 
 def _decoded(path: str, ids: np.ndarray) -> str:
@@ -69,20 +71,18 @@ def encode(
     )
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, number = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for value in batch[text]:
+            for row, value in zip(batch["__row"], batch[text], strict=True):
                 starts = cut_leaves(value, leaf_chars)
                 ends = [*starts[1:], len(value)]
                 yield pd.DataFrame(
                     {
-                        "__row": f"{task}-{number}",
+                        "__row": row,
                         "_piece": range(len(starts)),
                         "_start": starts,
                         "_part": [value[a:b] for a, b in zip(starts, ends, strict=True)],
                     }
                 )
-                number += 1
 
     def encode_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = load_tokenizer(path)
@@ -110,12 +110,14 @@ def encode(
     is_long = F.coalesce(F.char_length(text) > long_chars, F.lit(False))
     plain = documents.drop("ids", *(["decoded"] if decoded else []))
     short = add_columns(plain.where(~is_long), [text], added, start_short)
-    long = plain.where(is_long)
-    pieces = long.select(text).mapInPandas(cut, piece).repartition("__row", "_piece")
+    # Numbered once and stored: tasks that run again, or a shuffle before them, may see other rows.
+    long = materialize(add_columns(plain.where(is_long), [text], "__row string", start_numbers), "long-texts")
+    chars = long.agg(F.sum(F.char_length(text).cast("long"))).head()[0] or 0
+    tasks = max(documents.sparkSession.sparkContext.defaultParallelism, -(-chars // TASK_CHARS))
+    pieces = long.select("__row", text).mapInPandas(cut, piece).repartition(tasks, "__row", "_piece")
     coded = pieces.mapInPandas(encode_pieces, T.StructType([*piece.fields, T.StructField("_rows", T.BinaryType())]))
     joined = coded.groupBy("__row").applyInPandas(join, f"__row string, {added}")
-    named = add_columns(long, [text], "__row string", start_numbers)
-    return short.unionByName(named.join(joined, "__row").drop("__row"))
+    return short.unionByName(long.join(joined, "__row").drop("__row"))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

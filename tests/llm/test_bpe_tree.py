@@ -5,9 +5,11 @@ from array import array
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from pageloom.llm import bpe_tree, queries
 from pageloom.llm.chunk_encoder import ChunkEncoder, load_tokenizer, tree_encode
+from tests.helpers import plan
 from tests.llm import cases
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -39,6 +41,26 @@ def test_hard_documents(spark, long_chars):
     assert got == sorted((str(r["doc_id"]), str(r["text"]), direct(r["text"])) for r in docs.collect())
 
 
+def test_long_texts_behind_a_shuffle_and_a_join(spark):
+    choose = random.Random(6)
+    rows = [(i, "".join(choose.choices("abc de", k=choose.randrange(300, 900)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    numbers = spark.range(70).select(F.col("id").alias("doc_id"), F.rand().alias("noise"))
+    want = {(i, text): direct(text) for i, text in rows}
+    # Every evaluation of the second one sees other partitions.
+    for given in (docs.repartition("doc_id"), docs.repartition(7, F.rand()), docs.join(numbers.hint("merge"), "doc_id").drop("noise")):
+        found = bpe_tree.encode(given, PATH, long_chars=100, leaf_chars=50).collect()
+        assert len(found) == len(rows)
+        assert {(r["doc_id"], r["text"]): list(np.frombuffer(r["ids"], "<u4")) for r in found} == want
+
+
+def test_pieces_are_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(bpe_tree, "TASK_CHARS", 1000)
+    docs = spark.createDataFrame([(i, "ab c" * 1000) for i in range(5)], "doc_id long, text string").coalesce(1)
+    text = plan(bpe_tree.encode(docs, PATH, long_chars=100, leaf_chars=50))
+    assert "REPARTITION_BY_NUM" in text and "20)" in text.split("REPARTITION_BY_NUM")[0].rsplit("hashpartitioning", 1)[1]
+
+
 def test_no_documents(spark):
     assert bpe_tree.decode(bpe_tree.encode(cases.empty_documents(spark), PATH), PATH).count() == 0
     assert bpe_tree.encode(cases.empty_documents(spark), PATH, decoded=True).count() == 0
