@@ -23,19 +23,22 @@ _BLOCK_TAG = (
 _OPENED, _CLOSED = "\ufdd0", "\ufdd1"
 _REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 _FRONT_MATTER = r"(?s)\A\s*-{3,}[ \t]*\n.*?\n-{3,}[ \t]*(?:\n|\z)"
-# Code in Markdown: spans between equally many back-ticks, those of one not beyond a blank
-# line, and indented lines after a blank one.
-_CODE = (
-    r"(?<!`)(`{3,})(?!`)[\s\S]*?(?<!`)\1(?!`)"
+# Code within lines of Markdown: between equally many back-ticks, those of one not beyond a blank line.
+_CODE_SPAN = (
+    r"(?<!`)(`{3,})(?!`)[^\n]*?(?<!`)\1(?!`)"
     r"|(?<!`)``(?!`)[^\n]*?(?<!`)``(?!`)"
     r"|(?<!`)`(?!`)(?:[^`\n]++|\n(?![ \t]*\n))++`(?!`)"
-    r"|(?:(?<=\n\n)|\A)(?:(?:[ ]{4}|\t)[^\n]*+(?:\n|\z))++"
 )
+# What makes up a line: marks of quotes, and in what follows them the mark of a list item, and a fence.
+_QUOTE = r"^((?: {0,3}> ?)+)"
+_ITEM = r"^( *(?:[-*+]|\d{1,9}[.)]) +)"
+_FENCE = r"^ *(`{3,}(?=[^`]*$)|~{3,})"
+_MAY_HOLD_BLOCKS = r"(?m)^[ \t>]*(?:(?:[-*+]|\d{1,9}[.)]) +)?(?:```|~~~)|^[ \t>]*(?: {4}|\t)"
+_TEXT, _BLOCK_CODE, _QUOTED_CODE, _FENCE_LINE = 0, 1, 2, 3
 # While the marks are taken away, those in code are written as noncharacters.
 _MARKS = "*_<>&[]()#-+!.`"
 _HIDDEN = "".join(chr(0xFDD0 + i) for i in range(len(_MARKS)))
-# Markdown marks and what stays of them, in order. Images go like any tag; a
-# code fence leaves its content, as inline code does.
+# Markdown marks and what stays of them, in order. Images go like any tag.
 _MARKDOWN_STEPS = (
     (r"(?m)^[ ]{0,3}\[[^\]\n]+\]:[ \t]*\S.*$", ""),  # link definitions
     (r"!\[[^\]]*\]\([^)]*\)", " "),
@@ -195,9 +198,91 @@ def _hide_code(code: Column) -> Column:
     return F.translate(plain, _MARKS, _HIDDEN)
 
 
+def _line_parts(line: Column) -> Column:
+    """What the block rules look at: the line behind quote marks, its indent, item mark and fence."""
+    line = F.replace(line, F.lit("\t"), F.lit("    "))
+
+    def of(quote: Column, rest: Column) -> Column:
+        return bind(
+            F.regexp_extract(rest, _ITEM, 1),
+            lambda item: F.struct(
+                (quote != "").alias("quoted"),
+                rest.alias("rest"),
+                line.alias("line"),
+                (F.length(rest) - F.length(F.ltrim(rest))).alias("indent"),
+                F.length(item).alias("item"),
+                F.regexp_extract(F.substring(rest, F.length(item) + 1, 2**31 - 1), _FENCE, 1).alias("fence"),
+                (F.trim(rest) == "").alias("blank"),
+                F.trim(line).alias("whole"),
+            ),
+        )
+
+    return bind(F.regexp_extract(line, _QUOTE, 1), lambda quote: of(quote, F.substring(line, F.length(quote) + 1, 2**31 - 1)))
+
+
+def _next_state(state: Column, part: Column) -> Column:
+    """The state behind a line: the open fence, the indent of the list, the line before, and the kinds of all lines."""
+    # Without the marks of its quote, a fence is over.
+    inside = (state["fence"] != "") & ~(state["quoted"] & ~part["quoted"])
+    # A fence ends at a line of nothing but its sign, as often at least; in a quote, behind the marks of one.
+    seen = F.when(state["quoted"], F.trim(part["rest"])).otherwise(part["whole"])
+    rest = F.regexp_replace(seen, F.concat(F.lit("["), F.substring(state["fence"], 1, 1), F.lit("]+$")), "")
+    closes = inside & (seen != "") & (rest == "") & (F.length(seen) >= F.length(state["fence"]))
+    opens = ~inside & (part["fence"] != "")
+    far = part["indent"] >= state["list"] + 4
+    code = ~inside & ~opens & ~part["blank"] & far & (state["blank"] | state["code"])
+    item = ~inside & ~code & (part["item"] > 0)
+    ends = ~inside & ~code & ~part["blank"] & (part["indent"] < state["list"]) & state["blank"]
+    kind = (
+        F.when(closes | opens, F.lit(_FENCE_LINE))
+        .when((inside & state["quoted"]) | (code & part["quoted"]), F.lit(_QUOTED_CODE))
+        .when(inside | code, F.lit(_BLOCK_CODE))
+        .otherwise(F.lit(_TEXT))
+    )
+    return F.struct(
+        F.when(opens, part["fence"]).when(closes | ~inside, "").otherwise(state["fence"]).alias("fence"),
+        F.when(opens, part["quoted"]).otherwise(state["quoted"]).alias("quoted"),
+        F.when(item, part["item"]).when(ends, F.lit(0)).otherwise(state["list"]).alias("list"),
+        F.when(inside, F.lit(False)).otherwise(part["blank"]).alias("blank"),
+        (code | (state["code"] & part["blank"] & ~inside)).alias("code"),
+        F.concat(state["kinds"], F.array(kind)).alias("kinds"),
+    )
+
+
+def _without_blocks(text: Column) -> Column:
+    """The text with the marks in code blocks hidden, and without the signs of fences."""
+
+    def joined(lines: Column) -> Column:
+        parts = F.transform(lines, _line_parts)
+        start = F.struct(
+            F.lit("").alias("fence"), F.lit(False).alias("quoted"), F.lit(0).alias("list"),
+            F.lit(True).alias("blank"), F.lit(False).alias("code"), F.array().cast("array<int>").alias("kinds"),
+        )
+        kinds = F.aggregate(parts, start, _next_state, lambda state: state["kinds"])
+
+        def shown(line: Column, kind: Column) -> Column:
+            # What stands behind the sign of a fence stays, as it does in a span.
+            code = (
+                F.when(kind == _BLOCK_CODE, line)
+                .when(kind == _QUOTED_CODE, F.regexp_replace(line, _QUOTE, ""))
+                .otherwise(F.regexp_replace(line, "^.*?(?:`{3,}|~{3,})", ""))
+            )
+            return F.when(kind == _TEXT, line).otherwise(F.translate(code, _MARKS, _HIDDEN))
+
+        return F.array_join(F.zip_with(lines, kinds, shown), "\n")
+
+    return F.when(text.rlike(_MAY_HOLD_BLOCKS), bind(F.split(text, "\n"), joined)).otherwise(text)
+
+
 def markdown_text(raw: Column) -> Column:
-    """Markdown as a single line of text; code stays as it is, with ``& < >`` as entities."""
-    raw = _replace_matches(F.regexp_replace(raw, _FRONT_MATTER, ""), _CODE, _hide_code)
+    """Markdown as a single line of text; code stays as it is, with ``& < >`` as entities.
+
+    Code blocks are found line by line, with what is open at a line: fences of either sign, in
+    quotes and list items too, and lines indented by four beyond the text or list item they
+    stand in. A fence that is not closed goes on to the end.
+    """
+    raw = bind(F.regexp_replace(raw, _FRONT_MATTER, ""), _without_blocks)
+    raw = _replace_matches(raw, _CODE_SPAN, _hide_code)
     for pattern, kept in _MARKDOWN_STEPS:
         raw = F.regexp_replace(raw, pattern, kept)
     for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):

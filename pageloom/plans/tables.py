@@ -75,7 +75,12 @@ LINKED, BROKEN = "en/links.example.org/linked.html", "en/links.example.org/broke
 MARKDOWN_SQL = """'---' || chr(10) || 'title: ' || source || chr(10) || '---' || chr(10)
  || '# Heading of **' || lang || '**' || chr(10) || chr(10) || '> quoted [link](https://example.org/a) & `code`' || chr(10)
  || chr(10) || '- item *one*' || chr(10) || '1. item <b>two</b> ![image](a.png)' || chr(10)
- || '```text' || chr(10) || 'a < b > c &copy;' || chr(10) || '```' || chr(10) || text"""
+ || '```text' || chr(10) || 'a < b > c &copy;' || chr(10) || '```' || chr(10)
+ || '~~~ py' || chr(10) || '# *not* a `head`' || chr(10) || '```' || chr(10) || 'still [code](x)' || chr(10) || '~~~' || chr(10)
+ || '> ~~~' || chr(10) || '> quoted *code* > x' || chr(10) || '> ~~~' || chr(10)
+ || '- list' || chr(10) || '  ````' || chr(10) || '  - in *list*' || chr(10) || '  ```' || chr(10) || '  ````' || chr(10) || chr(10)
+ || '      deep_*code*' || chr(10) || chr(10) || '  more *text*' || chr(10) || chr(10) || '    still *text*' || chr(10) || chr(10)
+ || 'after' || chr(10) || chr(10) || '    indented *code*' || chr(10) || chr(10) || text"""
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

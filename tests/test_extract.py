@@ -221,6 +221,30 @@ def test_markdown_keeps_code(spark):
     assert got == list(given.values())
 
 
+BLOCKS = {
+    "~~~\n*a* `b`\n```\n~~\n~~~ \n*c*": "*a* `b` ``` ~~ c",
+    "````\n```\n*x*\n`````\n*y*": "``` *x* y",
+    "> ~~~\n> *q*\n> ~~~\n*t*": "*q* t",
+    "> ```\n> # *q*\n\n*open to the end*": "# *q* open to the end",
+    "```\n> *kept* mark\n```": "&gt; *kept* mark",
+    "- a\n  ~~~\n  *b*\n  ~~~\n- *c*": "a *b* c",
+    "- ```\n  *b*\n  ```\n*c*": "*b* c",
+    "- a\n\n    *still text*\n\n      *code*\n\nend\n\n    *code*": "a still text *code* end *code*",
+    "1. a\n\n   *text*\n\n       *code*": "a text *code*",
+    "*a*\n    *no code within a paragraph*": "a no code within a paragraph",
+    "    *code*\n\n    *more*\n*text*": "*code* *more* text",
+    "\t*tab*\n\n- *b*": "*tab* b",
+    "```x``` and *y*": "x and y",
+    "~~~\nopen *to the end*": "open *to the end*",
+    "~~~\n" + "*line*\n" * 3000 + "~~~\n*end*": "*line* " * 3000 + "end",
+}
+
+
+def test_markdown_blocks(spark):
+    got = values(spark, [(g,) for g in BLOCKS], "raw string", extract.markdown_text(F.col("raw")))
+    assert got == list(BLOCKS.values())
+
+
 def test_references(spark):
     given = "&eacute; &#8212; &#x27; &copy;&hellip; &#128512; &amp;lt; &amp;#39; &unknown; &#55296; &#0; & &#x110000; &;"
     page = f"<article><p>{given}</p></article>"
