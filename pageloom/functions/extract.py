@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import partial
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -104,35 +105,47 @@ def _innermost(tag: str) -> str:
     return rf"(?is){_opening(tag)}((?:[^<]++|<(?!/?{tag}(?![\w-])))*+)</{tag}\s*>"
 
 
-def _repeated(text: Column, times: Column, pattern: str, kept: str) -> Column:
-    """``regexp_replace`` over and over, ``times`` times at most; a pass without a match is cheap."""
+def _count(low: Column, tag: str) -> Column:
+    """An upper bound of the opening tags of a kind in a page in lower case, without a regular expression."""
+    opening = f"<{tag}"
+    return ((F.octet_length(low) - F.octet_length(F.replace(low, F.lit(opening), F.lit("")))) / len(opening)).cast("int")
+
+
+def _repeated(text: Column, times: Column, mark: str, pattern: str, kept: str) -> Column:
+    """``regexp_replace`` over and over, ``times`` times at most; a text without ``mark`` is left as it is."""
 
     def once(t: Column) -> Column:
-        return F.when(t.rlike(pattern), F.regexp_replace(t, pattern, kept)).otherwise(t)
+        return F.when(F.contains(F.lower(t), F.lit(mark)), F.regexp_replace(t, pattern, kept)).otherwise(t)
+
+    def passes(n: Column) -> Column:
+        return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), text, lambda t, _: once(t))).otherwise(text)
+
+    return bind(times, passes)
 
-    return F.when(times > 0, F.aggregate(F.sequence(F.lit(1), times), text, lambda t, _: once(t))).otherwise(text)
 
+def _without_raw(low: Column, tag: str, html: Column) -> Column:
+    """Without the elements of a kind that hold no markup."""
+    whole = rf"(?is){_opening(tag)}.*?</{tag}\s*>"
+    return F.when(_count(low, tag) > 0, F.regexp_replace(html, whole, "")).otherwise(html)
 
-def _without(html: Column, tag: str) -> Column:
+
+def _without(low: Column, tag: str, html: Column) -> Column:
     """Without the elements of a kind, whatever their depth: the innermost go first."""
-    return bind(html, lambda h: _repeated(h, F.regexp_count(h, F.lit(f"(?i){_opening(tag)}")), _innermost(tag), ""))
+    return _repeated(html, _count(low, tag), f"<{tag}", _innermost(tag), "")
 
 
-def _articles(html: Column) -> Column:
+def _articles(html: Column, low: Column) -> Column:
     """What all outermost articles hold, in their order, nested ones in their place; null if there is none."""
 
-    def marked(h: Column, count: Column) -> Column:
-        h = _repeated(h, count, _innermost("article"), f"{_OPENED}$1{_CLOSED}")
+    def joined(h: Column, count: Column) -> Column:
+        h = _repeated(F.translate(h, _OPENED + _CLOSED, ""), count, "<article", _innermost("article"), f"{_OPENED}$1{_CLOSED}")
         # An article right after the beginning of another one gives up its marks, until none is inside.
         inner = f"{_OPENED}([^{_OPENED}{_CLOSED}]*){_OPENED}([^{_OPENED}{_CLOSED}]*){_CLOSED}"
-        return bind(h, lambda m: _repeated(m, count, inner, f"{_OPENED}$1\n$2\n"))
-
-    def joined(h: Column) -> Column:
-        whole = marked(F.translate(h, _OPENED + _CLOSED, ""), F.regexp_count(h, F.lit(f"(?i){_opening('article')}")))
+        whole = bind(h, lambda m: _repeated(m, count - 1, _OPENED, inner, f"{_OPENED}$1\n$2\n"))
         found = F.regexp_extract_all(whole, F.lit(f"{_OPENED}([^{_CLOSED}]*){_CLOSED}"), 1)
         return bind(F.array_join(found, "\n"), lambda text: F.when(text != "", text))
 
-    return F.when(html.rlike(f"(?i){_opening('article')}"), bind(html, joined))
+    return bind(_count(low, "article"), lambda count: F.when(count > 0, bind(html, lambda h: joined(h, count))))
 
 
 def html_main_text(html: Column) -> Column:
@@ -141,11 +154,6 @@ def html_main_text(html: Column) -> Column:
     All articles of a page, or else its body. Elements may lie in others of their kind. A tag without its other
     half leaves its content.
     """
-    html = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    for tag in _RAW_ELEMENTS:
-        html = F.regexp_replace(html, rf"(?is){_opening(tag)}.*?</{tag}\s*>", "")
-    for tag in _DROPPED_ELEMENTS:
-        html = _without(html, tag)
 
     def body(source: Column) -> Column:
         # From the first opening tag to the first closing tag after it; a greedy
@@ -156,8 +164,15 @@ def html_main_text(html: Column) -> Column:
             lambda parts: F.when((F.size(parts) == 2) & (F.get(parts, F.lit(0)) != ""), F.get(parts, F.lit(0))),
         )
 
-    main = bind(html, lambda h: F.coalesce(_articles(h), body(h), h))
-    text = F.regexp_replace(main, _BLOCK_TAG, "\n")
+    def main(page: Column, low: Column) -> Column:
+        page = F.when(F.contains(page, F.lit("<!--")), F.regexp_replace(page, r"(?s)<!--.*?-->", "")).otherwise(page)
+        steps = [partial(_without_raw, low, tag) for tag in _RAW_ELEMENTS] + [partial(_without, low, tag) for tag in _DROPPED_ELEMENTS]
+        for step in steps:
+            page = bind(page, lambda p: step(p))  # noqa: B023
+        return bind(page, lambda p: F.coalesce(_articles(p, low), body(p), p))
+
+    found = bind(html, lambda page: bind(F.lower(page), lambda low: main(page, low)))
+    text = F.regexp_replace(found, _BLOCK_TAG, "\n")
     text = F.regexp_replace(text, r"<[^>]+>", "")
     return bind(decode_references(text), lambda t: F.when(is_blank(t), F.lit("")).otherwise(t))
 
