@@ -5,9 +5,10 @@ ASCII white space; with fewer words, the whole sequence is its only run), each a
 a 64-bit hash. Two documents link when they share 80 % of the union.
 
 1. Equal sets are one class, represented by the smallest id.
-2. Two sets that link share a run among the smallest fifth (and one) of their
-   hashes. Classes meet under such shared hashes; of hashes with the same members
-   one is enough. A meeting is split by size: a class meets its own size band and
+2. Two sets that link share a run among the first fifth (and one) of their
+   hashes, in any order that is the same for all. Hashes that many texts have come
+   last (``common_hashes``), all others by their value. Classes meet under shared first
+   hashes; of hashes with the same members one is enough. A meeting is split by size: a class meets its own size band and
    the next one, and bands with many members are cut into tiles.
 3. In each tile a signature tree is built: its leaves are classes in order of size,
    inner nodes hold the bitwise OR of their token bitmaps and the range of their
@@ -48,6 +49,9 @@ FAN_OUT = 16
 PIECE = 256  # rows by which a worker's tiles grow
 LEAF = 64  # a tile with so many members is one leaf of a tree
 BROADCAST_KEYS = 200_000  # hashes, of 8 bytes each, that are sent to every executor at most
+COMMON = 65_536  # hashes, of 8 bytes each, that come last in the order of prefixes
+COUNTED = 8  # one document of so many is counted to find them
+OFTEN = 3  # texts of one slice that have a hash, before it is counted
 BAND = 1.26  # sizes of linked sets differ by at most 1.25
 MEMO = 100_000
 STEP_BYTES = 1 << 22  # of bitmaps that are compared at once
@@ -82,10 +86,20 @@ def shingle_sets(texts: list[str | None], memo: WordHashes) -> list[np.ndarray]:
 
 
 def prefix_length(size: int) -> int:
-    """So many of the smallest hashes of two linked sets have one in common."""
+    """So many of the first hashes of two linked sets, in an order that both follow, have one in common."""
     return size - -(-SHARE[0] * size // SHARE[1]) + 1 if size else 0
 
 
+def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first hashes of a sorted set: those that are not common come first."""
+    n = prefix_length(len(hashes))
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+        if late[:n].any():
+            return np.concatenate([hashes[~late], hashes[late]])[:n]
+    return hashes[:n]
+
+
 def bitmap(hashes: np.ndarray, bits: int) -> np.ndarray:
     """A bitmap over the lowest bits of the hashes; halves can be combined to a shorter one."""
     seen = np.zeros(bits, bool)
@@ -362,15 +376,40 @@ def _tile_by_tile(rows: DataFrame) -> DataFrame:
     return rows.repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY)
 
 
-def _sets_start(bits: bool):
+def _common_in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    memo = WordHashes()
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        for a, b in in_slices(texts):
+            # Equal sets are one class and count once.
+            sets = {s.tobytes(): s for s in shingle_sets(texts[a:b], memo)}
+            hashes, n = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+            often = n >= OFTEN
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[often].view(np.int64)), pa.array(n[often])], names=["h", "n"])
+
+
+def common_hashes(documents: DataFrame) -> np.ndarray:
+    """Hashes that many texts have, at most ``COMMON``, sorted.
+
+    One document of ``COUNTED`` is counted. What is found only decides an order; the links
+    are the same whatever it is, but a passage in many documents then makes no meetings.
+    """
+    some = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(COUNTED)) == 0).select(F.coalesce("text", F.lit("")).alias("text"))
+    counts = some.mapInArrow(_common_in_slices, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    found = counts.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow()
+    return np.sort(found["h"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _sets_start(bits: bool, common: np.ndarray | None = None):
     memo = WordHashes()
+    late = np.zeros(0, np.uint64) if common is None else common
 
     def work(texts):
         sets = [s for a, b in in_slices([t or "" for t in texts]) for s in shingle_sets(texts[a:b], memo)]
         if not bits:
             return ([s.tobytes() for s in sets],)
         digests = [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets]
-        prefixes = [s[: prefix_length(len(s))].view(np.int64).tolist() for s in sets]
+        prefixes = [prefix(s, late).view(np.int64).tolist() for s in sets]
         maps = [bitmap(s, bits_for(len(s))).tobytes() if len(s) else b"" for s in sets]
         return [len(s) for s in sets], digests, prefixes, maps
 
@@ -387,8 +426,8 @@ def _fine_start():
 
 def _links(documents: DataFrame, meetings: DataFrame, reps: DataFrame, sets: DataFrame | None, name: str):
     """Linked components of the members of the meetings ``(h, rep, component)``, and the sets that were needed."""
-    sized = meetings.join(reps, "rep")
-    tiles = _tiles(sized)
+    # Bitmaps join what is left after the split by size, so they are shuffled once with each tile.
+    tiles = _tiles(meetings.join(reps.select("rep", "size"), "rep")).join(reps.select("rep", "bits"), "rep")
     schema = "h long, band int, kind int, ti int, tj int, role int, rep long, component long"
     survivors = materialize(_tile_by_tile(tiles).mapInArrow(_by_bitmaps, schema), f"{name}-survivors")
     needed = survivors.select("rep").distinct()
@@ -419,9 +458,10 @@ def _relabelled(components: DataFrame, joined: DataFrame) -> DataFrame:
 
 def shingle_classes(documents: DataFrame) -> DataFrame:
     """``(doc_id, size, digest, prefix, bits)``, stored: what the join needs of each document."""
+    common = common_hashes(documents)
     made = add_columns(
         documents.select("doc_id", "text"), ["text"], "size int, digest binary, prefix array<long>, bits binary",
-        lambda: _sets_start(True),
+        lambda: _sets_start(True, common),
     )
     return materialize(made.drop("text"), "shingles")
 

@@ -109,3 +109,30 @@ def test_trees_lose_no_pair():
             if 5 * shared >= 4 * (len(sets[a]) + len(sets[b]) - shared):
                 assert (a, b) in (inside if b < 90 else across) or a >= 90
     assert len(across) < 90 * 60
+
+
+def test_prefixes_meet_in_any_order():
+    choose = np.random.default_rng(3)
+    for _ in range(300):
+        size = int(choose.integers(1, 60))
+        a = choose.choice(500, size, replace=False).astype(np.uint64)
+        b = np.unique(np.append(a[: size - int(choose.integers(0, 1 + size // 9))], choose.integers(500, 600, int(choose.integers(0, 1 + size // 9))).astype(np.uint64)))
+        a = np.sort(a)
+        if 5 * len(np.intersect1d(a, b)) < 4 * len(np.union1d(a, b)) or not len(b):
+            continue
+        common = np.unique(choose.choice(500, int(choose.integers(0, 400)))).astype(np.uint64)
+        assert len(np.intersect1d(signature_tree.prefix(a, common), signature_tree.prefix(b, common)))
+
+
+def test_common_passages_come_last(spark):
+    choose = random.Random(5)
+    shared = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, " ".join(f"w{choose.randrange(10**6)}" for _ in range(60)) + " " + shared) for i in range(400)]
+    rows += [(400 + i, text + " more") for i, (_, text) in enumerate(rows[:20])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    common = signature_tree.common_hashes(frame)
+    passage = signature_tree.shingle_sets([shared], signature_tree.WordHashes())[0]
+    assert set(passage.tolist()) <= set(common.tolist())
+    firsts = signature_tree.shingle_classes(frame).select("prefix").collect()
+    assert not any(np.isin(np.array(r["prefix"], np.int64).view(np.uint64), passage).any() for r in firsts)
+    assert found(frame) == expected(rows)
