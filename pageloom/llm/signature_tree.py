@@ -15,7 +15,8 @@ a 64-bit hash. Two documents link when they share 80 % of the union.
    sizes. Two trees are traversed together; pairs of nodes whose largest possible
    overlap is below the smallest necessary one are dropped. First with bitmaps
    alone, short ones and then long ones, which tells the classes that can have a
-   partner at all; only those get their sets, for the exact count.
+   partner at all; only those get their sets, for the exact count. Of tiles in which the same
+   classes are left one is enough.
 4. The first rounds use one meeting per class each. Their links give components; the
    last round looks at all meetings whose members are not all in one component yet. A tile tests a
    pair only if its classes are not connected already, so groups of copies cost
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.chunk_encoder import in_slices
-from pageloom.llm.common import add_columns, connected_components, drop_shuffles, skew_join
+from pageloom.llm.common import add_columns, connected_components, drop_shuffles, hold, skew_join
 from pageloom.session import materialize
 
 WORDS = 5
@@ -354,7 +355,38 @@ def _by_bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apart = groups[x] != groups[y]
         keep = np.zeros(rows.num_rows, bool)
         keep[x[apart]] = keep[y[apart]] = True
-        yield from rows.select([*TILE_KEY, "role", "rep", "component"]).filter(pa.array(keep)).to_batches()
+        kept = rows.select([*TILE_KEY, "role", "rep", "component"]).filter(pa.array(keep))
+        if kept.num_rows:
+            yield from named_by_members(kept).to_batches()
+
+
+def named_by_members(rows: pa.Table) -> pa.Table:
+    """Whole tiles under keys that follow from their members, so that tiles with the same members have the same key.
+
+    Two classes meet under each of the first hashes they share, and what the bitmaps leave of those
+    tiles is mostly the same few classes. Tiles that got the same key by chance make one larger tile, in which
+    every pair of each is tested.
+    """
+    tiles = Tiles(rows)
+    # Of a block with itself all rows meet; else those of one role meet those of the other.
+    crossed = ~tiles.alone
+    member = rows["rep"].to_numpy().astype(np.uint64) * np.uint64(2) + (rows["role"].to_numpy() != 0)
+    member[tiles.alone[tiles.of]] &= ~np.uint64(1)
+    order = np.lexsort((member, tiles.of))
+    cuts = np.split(member[order], np.cumsum(tiles.counts)[:-1])
+    digests = np.array([xxhash.xxh64_intdigest(own.tobytes()) for own in cuts], np.uint64).view(np.int64)
+    n = len(rows)
+    columns = {
+        "h": pa.array(digests[tiles.of]),
+        "band": pa.array(np.zeros(n, np.int32)),
+        "kind": pa.array(np.zeros(n, np.int32)),
+        "ti": pa.array(np.zeros(n, np.int32)),
+        "tj": pa.array(crossed[tiles.of].astype(np.int32)),
+        "role": pa.array(np.where(crossed[tiles.of], rows["role"].to_numpy(), 0).astype(np.int32)),
+        "rep": rows["rep"],
+        "component": rows["component"],
+    }
+    return pa.table(columns)
 
 
 def _by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,6 +433,7 @@ def common_hashes(documents: DataFrame) -> np.ndarray:
 
 
 def _sets_start(bits: bool, common: np.ndarray | None = None):
+    hold("shingles")
     memo = WordHashes()
     late = np.zeros(0, np.uint64) if common is None else common
 
@@ -429,7 +462,7 @@ def _links(documents: DataFrame, meetings: DataFrame, reps: DataFrame, sets: Dat
     # Bitmaps join what is left after the split by size, so they are shuffled once with each tile.
     tiles = _tiles(meetings.join(reps.select("rep", "size"), "rep")).join(reps.select("rep", "bits"), "rep")
     schema = "h long, band int, kind int, ti int, tj int, role int, rep long, component long"
-    survivors = materialize(_tile_by_tile(tiles).mapInArrow(_by_bitmaps, schema), f"{name}-survivors")
+    survivors = materialize(_tile_by_tile(tiles).mapInArrow(_by_bitmaps, schema).distinct(), f"{name}-survivors")
     needed = survivors.select("rep").distinct()
     if sets is not None:
         needed = needed.join(sets.select("rep"), "rep", "left_anti")
@@ -444,7 +477,7 @@ def _links(documents: DataFrame, meetings: DataFrame, reps: DataFrame, sets: Dat
     # Longer bitmaps are nearly exact and still much smaller than the sets.
     fine = add_columns(sets, ["hashes"], "size int, bits binary", _fine_start).drop("hashes")
     closer = _tile_by_tile(survivors.join(fine, "rep")).mapInArrow(_by_bitmaps, schema)
-    full = materialize(closer, f"{name}-closer").join(sets, "rep")
+    full = materialize(closer.distinct(), f"{name}-closer").join(sets, "rep")
     links = _tile_by_tile(full).mapInArrow(_by_sets, "a long, b long")
     return materialize(links, f"{name}-links"), sets
 

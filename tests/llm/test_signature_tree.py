@@ -5,6 +5,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 
 from pageloom.llm import oracles, queries, signature_tree
 from tests.llm import cases
@@ -136,3 +137,18 @@ def test_common_passages_come_last(spark):
     firsts = signature_tree.shingle_classes(frame).select("prefix").collect()
     assert not any(np.isin(np.array(r["prefix"], np.int64).view(np.uint64), passage).any() for r in firsts)
     assert found(frame) == expected(rows)
+
+
+def test_tiles_with_the_same_members_are_one():
+    names = ("h", "band", "kind", "ti", "tj", "role", "rep", "component")
+    alone = [(h, 9, 0, 0, 0, 0, rep, rep) for h in (1, 2, 3) for rep in (20, 10)]
+    crossed = [(h, 9, 1, h, 3, role, rep, rep) for h in (4, 5) for role, rep in ((0, 10), (1, 20))]
+    other = [(6, 9, 0, 0, 0, 0, 10, 10), (6, 9, 0, 0, 0, 0, 30, 30), (7, 9, 1, 0, 0, 0, 20, 20), (7, 9, 1, 0, 0, 1, 10, 10)]
+    rows = pa.table({name: pa.array(column, pa.int64()) for name, column in zip(names, zip(*alone, *crossed, *other, strict=True), strict=True)})
+    made = signature_tree.named_by_members(rows).to_pylist()
+    assert [r["rep"] for r in made] == rows["rep"].to_pylist()
+    tiles = {tuple(r[k] for k in signature_tree.TILE_KEY): set() for r in made}
+    for r in made:
+        tiles[tuple(r[k] for k in signature_tree.TILE_KEY)].add((r["rep"], r["role"]))
+    members = sorted((key[3] == key[4], sorted(own)) for key, own in tiles.items())
+    assert members == [(False, [(10, 0), (20, 1)]), (False, [(10, 1), (20, 0)]), (True, [(10, 0), (20, 0)]), (True, [(10, 0), (30, 0)])]
