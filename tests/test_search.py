@@ -128,6 +128,33 @@ def test_batch_search_in_small_matrices(data, requests, monkeypatch):
         assert hits == [(s, d) for _, d, s in expected(data, vector, category, 4)]
 
 
+def test_rows_within_a_known_bound_are_not_partitioned(monkeypatch):
+    seen, partition = [], np.partition
+    monkeypatch.setattr(topk.np, "partition", lambda a, *rest, **named: seen.append(a.shape) or partition(a, *rest, **named))
+    choose = np.random.default_rng(2)
+    wanted, corpus = choose.random((40, 8)), choose.random((3000, 8))
+    best = topk.TopK(np.arange(40), [""] * 40, wanted, 3)
+    for at in range(0, 3000, 1000):
+        best.add(np.arange(at, at + 1000), ["a"] * 1000, corpus[at : at + 1000])
+    assert sum(rows for rows, _ in seen) <= 50
+    gaps = np.sqrt(((wanted[:, None] - corpus[None]) ** 2).sum(axis=2))
+    order = np.argsort(gaps, axis=1)[:, :3]
+    assert best.hits()[1].reshape(40, 3).tolist() == order.tolist()
+
+
+def test_small_parts_are_read_by_few_tasks(spark, tmp_path):
+    choose = np.random.default_rng(6)
+    rows = [(i, "ab"[i % 2], choose.random(4).tolist()) for i in range(400)]
+    pruned.write_pruned(spark.createDataFrame(rows, "doc_id long, category string, embedding array<float>"), str(tmp_path / "p"), part_rows=4, sample_rows=50)
+    store = pruned.read_pruned(spark, str(tmp_path / "p"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 2000)
+    try:
+        assert pruned._in_few_tasks(store, store.corpus).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_no_queries(data, requests):
     documents, vectors, _, _ = data
     assert search.search_batch(documents, vectors, requests[0].where("false")).count() == 0
