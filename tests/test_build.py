@@ -144,6 +144,13 @@ def test_hashing_encoder(spark):
     assert (found[1] == found[4]).all() and (found[1] != found[5]).any()
 
 
+def test_hashing_encoder_remembers_few_words():
+    encoder = HashingEncoder(8)
+    for at in range(0, 100_000, 1000):
+        encoder([" ".join(f"w{i}" for i in range(at, at + 1000))])
+    assert len(encoder.places) <= 20_000
+
+
 def test_hashing_encoder_counts_words_of_each_text():
     choose = np.random.default_rng(4)
     texts = [" ".join(choose.choice(["Ab", "c1", "x-y", "é", "İa", "the"], size=n)) for n in (0, 1, 50, 400)]
@@ -206,6 +213,13 @@ def test_spread_only_widens_narrow_tables(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_spread_follows_the_rows(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "narrow"))
+    narrow, cores = spark.read.parquet(str(tmp_path / "narrow")), spark.sparkContext.defaultParallelism
+    tasks = spread(narrow, "id", task_rows=max(1, 1000 // (3 * cores))).rdd.getNumPartitions()
+    assert tasks >= 3 * cores
+
+
 def test_computed_column_is_not_repeated_in_filters(spark):
     frame = with_computed(spark.createDataFrame([("a",)], "text string"), "text", F.regexp_replace("text", "a", "marker"))
     optimized = frame.where("length(text) > 2").select("text")._jdf.queryExecution().optimizedPlan().toString()
