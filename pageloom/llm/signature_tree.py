@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.chunk_encoder import in_slices
-from pageloom.llm.common import add_columns, connected_components, drop_shuffles, hold, skew_join
+from pageloom.llm.common import add_columns, connected_components, drop_shuffles, hold, skew_join, small_batches
 from pageloom.session import materialize
 
 WORDS = 5
@@ -409,6 +409,7 @@ def _tile_by_tile(rows: DataFrame) -> DataFrame:
 
 
 def _common_in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hold("shingles")
     memo = WordHashes()
     for batch in batches:
         texts = batch.column("text").to_pylist()
@@ -501,7 +502,12 @@ def shingle_classes(documents: DataFrame) -> DataFrame:
 
 def similar_documents(documents: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``(doc_id, text)``."""
-    documents = documents.select("doc_id", "text")
+    # All work in Python is done when this returns; what is left are joins of stored tables.
+    with small_batches(documents.sparkSession):
+        return _similar_documents(documents.select("doc_id", "text"))
+
+
+def _similar_documents(documents: DataFrame) -> DataFrame:
     known = shingle_classes(documents)
     classes = materialize(
         known.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")),

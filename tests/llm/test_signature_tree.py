@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 
-from pageloom.llm import oracles, queries, signature_tree
+from pageloom.llm import common, kneser_ney, oracles, queries, signature_tree
 from tests.llm import cases
 
 
@@ -152,3 +152,18 @@ def test_tiles_with_the_same_members_are_one():
         tiles[tuple(r[k] for k in signature_tree.TILE_KEY)].add((r["rep"], r["role"]))
     members = sorted((key[3] == key[4], sorted(own)) for key, own in tiles.items())
     assert members == [(False, [(10, 0), (20, 1)]), (False, [(10, 1), (20, 0)]), (True, [(10, 0), (20, 0)]), (True, [(10, 0), (30, 0)])]
+
+
+def test_workers_get_small_batches(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "en", f"one two three four five {i % 3} six") for i in range(50)], "doc_id long, lang string, text string")
+    labels = spark.range(50).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    before, seen = spark.conf.get(common.BATCH_CONF), []
+    for module in (signature_tree, kneser_ney):
+        stored = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda *a, f=stored: (seen.append(int(spark.conf.get(common.BATCH_CONF))), f(*a))[1])
+    assert int(before) > common.BATCH_ROWS
+    signature_tree.similar_documents(docs)
+    assert spark.conf.get(common.BATCH_CONF) == before
+    kneser_ney.fit(docs, labels)
+    assert spark.conf.get(common.BATCH_CONF) == before
+    assert len(seen) > 10 and max(seen) == common.BATCH_ROWS
