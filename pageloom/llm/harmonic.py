@@ -21,9 +21,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pageloom.llm.chunk_encoder import chunk_encoder, in_slices
@@ -31,6 +32,7 @@ from pageloom.llm.chunk_encoder import chunk_encoder, in_slices
 CAPACITY = 2048
 END_ID = 1
 CUT_CLASSES = 32
+BATCH = 10_000  # pieces that a worker passes on at once
 
 SCHEMA = T.StructType(
     [
@@ -112,32 +114,27 @@ def pack(
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("the capacity must be a power of two")
 
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                "doc_id": pd.array([row[0] for row in rows], dtype="Int64"),
-                "start": [row[1] for row in rows],
-                "length": [len(row[2]) for row in rows],
-                "ids": [row[2].astype("<u4").tobytes() for row in rows],
-                "doc_tokens": [row[3] for row in rows],
-                "sequence_id": [row[4] for row in rows],
-                "offset": [row[5] for row in rows],
-            }
-        )
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(rows), BATCH):
+            docs, starts, ids, tokens, sequences, offsets = zip(*rows[at : at + BATCH], strict=True)
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            ends = np.concatenate([[0], 4 * np.cumsum(lengths)]).astype(np.int32)
+            data = np.concatenate(ids).astype("<u4", copy=False)
+            cut = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+            columns = [pa.array(x, pa.int64()) for x in (docs, starts, lengths, tokens, sequences, offsets)]
+            yield pa.RecordBatch.from_arrays([*columns[:3], cut, *columns[3:]], names=SCHEMA.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = chunk_encoder(path)
         packer = Packer(TaskContext.get().partitionId() << 40, capacity, classes)
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            docs, texts = batch["doc_id"].tolist(), batch["text"].fillna("").tolist()
+            docs, texts = batch["doc_id"].to_pylist(), [text or "" for text in batch["text"].to_pylist()]
             for a, b in in_slices(texts):
                 rows: list[tuple] = []
                 for doc, ids in zip(docs[a:b], encoder.encode(texts[a:b]), strict=True):
-                    rows += packer.add(None if pd.isna(doc) else int(doc), np.concatenate([ids, end]))
-                if rows:
-                    yield frame(rows)
-        if rows := packer.finish():
-            yield frame(rows)
+                    rows += packer.add(doc, np.concatenate([ids, end]))
+                yield from pieces(rows)
+        yield from pieces(packer.finish())
 
-    return documents.select("doc_id", "text").mapInPandas(run, SCHEMA)
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)

@@ -85,3 +85,16 @@ def test_cut_lengths(n):
 def test_capacity_is_a_power_of_two(spark):
     with pytest.raises(ValueError, match="power of two"):
         harmonic.pack(cases.empty_documents(spark), PATH, capacity=1000)
+
+
+def test_large_ids_beside_a_missing_one(spark):
+    big = 2**53 + 1  # no double has this value
+    docs = spark.createDataFrame([(big, "one two"), (None, "three")], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in harmonic.pack(docs, PATH).collect()} == {big, None}
+
+
+def test_rows_of_a_worker_are_passed_on_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(harmonic, "BATCH", 3)
+    docs = spark.createDataFrame([(i, "a b c " * i) for i in range(40)], "doc_id long, text string")
+    packed = harmonic.pack(docs, PATH).selectExpr("*", "crc32(ids) as ids_crc32")
+    check(packed.collect(), {i: "a b c " * i for i in range(40)})
