@@ -14,7 +14,7 @@ a 64-bit hash. Two documents link when they share 80 % of the union.
    inner nodes hold the bitwise OR of their token bitmaps and the range of their
    sizes. Two trees are traversed together; pairs of nodes whose largest possible
    overlap is below the smallest necessary one are dropped. First with bitmaps
-   alone, short ones and then long ones, which tells the classes that can have a
+   alone, then with parities of the bits beside them, which tells the classes that can have a
    partner at all; only those get their sets, for the exact count. Of tiles in which the same
    classes are left one is enough.
 4. The first rounds use one meeting per class each. Their links give components; the
@@ -35,12 +35,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.llm.chunk_encoder import in_slices
 from pageloom.llm.common import add_columns, connected_components, drop_shuffles, hold, skew_join, small_batches
-from pageloom.session import materialize
+from pageloom.session import discard, materialize
 
 WORDS = 5
 SHARE = (4, 5)  # links share at least this part of their union
@@ -49,7 +49,7 @@ TILE = 1024  # classes of a band in one tile
 FAN_OUT = 16
 PIECE = 256  # rows by which a worker's tiles grow
 LEAF = 64  # a tile with so many members is one leaf of a tree
-BROADCAST_KEYS = 200_000  # hashes, of 8 bytes each, that are sent to every executor at most
+BROADCAST_KEYS = 10_000  # hashes, of 8 bytes each, that are sent to every executor at most
 COMMON = 65_536  # hashes, of 8 bytes each, that come last in the order of prefixes
 COUNTED = 8  # one document of so many is counted to find them
 OFTEN = 3  # texts of one slice that have a hash, before it is counted
@@ -108,6 +108,15 @@ def bitmap(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(seen, bitorder="little").view(np.uint64)
 
 
+def parities(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Which of the lowest bits an odd number of the hashes have; halves can be combined by XOR to a shorter one.
+
+    Where two of them differ there is a hash that only one set has.
+    """
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
+
+
 def bits_for(size: int, most: int = 8192) -> int:
     return min(max(128, 1 << int(size - 1).bit_length()), most)
 
@@ -232,16 +241,35 @@ def tile_candidates(tiles: Tiles, bits: list[bytes], sizes: np.ndarray) -> tuple
     return np.concatenate([none, *out_x]), np.concatenate([none, *out_y])
 
 
-def _folded(bits: list[bytes], widths: np.ndarray, rows: np.ndarray, width: int) -> np.ndarray:
+def _folded(bits: list[bytes], widths: np.ndarray, rows: np.ndarray, width: int, combine=np.bitwise_or) -> np.ndarray:
     """The bitmaps of the rows, all folded to ``width`` bytes."""
     out = np.zeros((len(rows), width // 8), np.uint64)
     for own in np.unique(widths[rows]):
         some = np.flatnonzero(widths[rows] == own)
         maps = np.frombuffer(b"".join(bits[i] for i in rows[some].tolist()), np.uint64).reshape(len(some), -1)
-        out[some] = np.bitwise_or.reduce(maps.reshape(len(some), -1, width // 8), axis=1)
+        out[some] = combine.reduce(maps.reshape(len(some), -1, width // 8), axis=1)
     return out
 
 
+def close_pairs(x: np.ndarray, y: np.ndarray, odd: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """Which pairs of rows can be linked, by the fewest hashes that only one of the two sets has."""
+    widths = np.fromiter(map(len, odd), np.int64, len(odd))
+    narrow = np.minimum(widths[x], widths[y])
+    apart = np.zeros(len(x), np.int64)
+    for width in np.unique(narrow):
+        pairs = np.flatnonzero(narrow == width)
+        rows = np.unique(np.concatenate([x[pairs], y[pairs]]))
+        maps = _folded(odd, widths, rows, width, np.bitwise_xor)
+        place = np.zeros(len(odd), np.int64)
+        place[rows] = np.arange(len(rows))
+        step = max(1, STEP_BYTES // int(width))
+        for at in range(0, len(pairs), step):
+            some = pairs[at : at + step]
+            apart[some] = np.bitwise_count(maps[place[x[some]]] ^ maps[place[y[some]]]).sum(axis=1)
+    part, whole = SHARE
+    return (whole + part) * apart <= (whole - part) * (sizes[x] + sizes[y])
+
+
 class Tiles:
     """Rows sorted by tile: where each tile begins, and whose rows meet."""
 
@@ -350,11 +378,16 @@ def _whole_tiles(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.T
 def _by_bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members of tiles that the bitmaps leave a partner in another component."""
     for rows in _whole_tiles(batches, 10_000):
-        x, y = tile_candidates(Tiles(rows), rows["bits"].to_pylist(), rows["size"].to_numpy().astype(np.int64))
+        sizes = rows["size"].to_numpy().astype(np.int64)
+        x, y = tile_candidates(Tiles(rows), rows["bits"].to_pylist(), sizes)
         groups = rows["component"].to_numpy()
         apart = groups[x] != groups[y]
+        x, y = x[apart], y[apart]
+        if "odd" in rows.column_names:
+            close = close_pairs(x, y, rows["odd"].to_pylist(), sizes)
+            x, y = x[close], y[close]
         keep = np.zeros(rows.num_rows, bool)
-        keep[x[apart]] = keep[y[apart]] = True
+        keep[x] = keep[y] = True
         kept = rows.select([*TILE_KEY, "role", "rep", "component"]).filter(pa.array(keep))
         if kept.num_rows:
             yield from named_by_members(kept).to_batches()
@@ -453,7 +486,8 @@ def _sets_start(bits: bool, common: np.ndarray | None = None):
 def _fine_start():
     def work(column):
         sets = [np.frombuffer(x, np.uint64) for x in column]
-        return [len(x) for x in sets], [bitmap(x, bits_for(16 * len(x), 1 << 20)).tobytes() for x in sets]
+        bits = [bitmap(x, bits_for(len(x))).tobytes() for x in sets]
+        return [len(x) for x in sets], bits, [parities(x, bits_for(2 * len(x), 1 << 20)).tobytes() for x in sets]
 
     return work
 
@@ -475,8 +509,8 @@ def _links(documents: DataFrame, meetings: DataFrame, reps: DataFrame, sets: Dat
     made = add_columns(found.dropDuplicates(["rep", "digest"]), ["text"], "hashes binary", lambda: _sets_start(False))
     new = materialize(made.select("rep", "hashes"), f"{name}-sets")
     sets = new if sets is None else sets.unionByName(new)
-    # Longer bitmaps are nearly exact and still much smaller than the sets.
-    fine = add_columns(sets, ["hashes"], "size int, bits binary", _fine_start).drop("hashes")
+    # Parities are nearly exact and much smaller than the sets: half a byte or less for a hash of 8.
+    fine = add_columns(sets, ["hashes"], "size int, bits binary, odd binary", _fine_start).drop("hashes")
     closer = _tile_by_tile(survivors.join(fine, "rep")).mapInArrow(_by_bitmaps, schema)
     full = materialize(closer.distinct(), f"{name}-closer").join(sets, "rep")
     links = _tile_by_tile(full).mapInArrow(_by_sets, "a long, b long")
@@ -508,27 +542,32 @@ def similar_documents(documents: DataFrame) -> DataFrame:
 
 
 def _similar_documents(documents: DataFrame) -> DataFrame:
-    known = shingle_classes(documents)
+    shingles = shingle_classes(documents)
+    known = materialize(shingles.drop("prefix"), "known")
     classes = materialize(
         known.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")),
         "classes",
     )
     owners = materialize(classes.groupBy("rep").agg(F.min("digest").alias("digest")), "owners")
-    # Copies bring their hashes along until the hashes that nothing else has are gone.
-    entries = known.where("doc_id is not null").select("doc_id", F.explode("prefix").alias("h"))
-    shared = materialize(entries.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
-    entries = entries.join(F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared, "h")
+    # Every hash is shuffled once: what nothing else has goes where it is counted. Until then copies bring theirs along.
+    entries = shingles.where("doc_id is not null").select("doc_id", F.explode("prefix").alias("h"))
+    entries = entries.withColumn("rows", F.count("*").over(Window.partitionBy("h"))).where("rows > 1").drop("rows")
+    shared = materialize(entries, "shared")
+    discard(shingles)
+    drop_shuffles(documents)
     own = known.where("doc_id is not null").join(owners, "digest").select("doc_id", "rep").distinct()
     own = materialize(own, "class-of")
-    met = materialize(entries.join(own, "doc_id").groupBy("h", "rep").agg(F.lit(1).alias("one")).drop("one"), "met")
+    met = materialize(shared.join(own, "doc_id").groupBy("h", "rep").agg(F.lit(1).alias("one")).drop("one"), "met")
+    discard(shared)
     drop_shuffles(documents)
     groups = met.groupBy("h").agg(
         F.count("*").alias("members"), F.bit_xor(F.xxhash64("rep")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("s2")
     )
     # Of hashes with the same members one is enough.
     several = groups.where("members > 1").groupBy("members", "s1", "s2").agg(F.min("h").alias("h")).select("h")
-    meetings = skew_join(met, several, ["h"], "inner")
-    meetings = materialize(meetings, "meetings")
+    several = materialize(several, "several")
+    meetings = materialize(met.join(F.broadcast(several) if several.count() <= BROADCAST_KEYS else several, "h"), "meetings")
+    discard(met)
     touched = materialize(meetings.select("rep").distinct(), "touched")
     small = known.select(F.col("doc_id").alias("rep"), "digest", "size", "bits").join(owners, ["rep", "digest"], "left_semi")
     small = materialize(small.join(touched, "rep", "left_semi").dropDuplicates(["rep"]), "representatives")

@@ -6,8 +6,11 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
 
+from pageloom import session
 from pageloom.llm import common, kneser_ney, oracles, queries, signature_tree
+from tests.helpers import plan
 from tests.llm import cases
 
 
@@ -167,3 +170,55 @@ def test_workers_get_small_batches(spark, monkeypatch):
     kneser_ney.fit(docs, labels)
     assert spark.conf.get(common.BATCH_CONF) == before
     assert len(seen) > 10 and max(seen) == common.BATCH_ROWS
+
+
+def test_hashes_are_shuffled_once_and_not_kept(spark, monkeypatch):
+    stored, frames, plans = signature_tree.materialize, {}, {}
+
+    def seen(frame, name="stage"):
+        plans[name] = plan(frame)
+        frames[name] = stored(frame, name)
+        return frames[name]
+
+    monkeypatch.setattr(signature_tree, "materialize", seen)
+    monkeypatch.setattr(signature_tree, "LIGHT_ROUNDS", 0)
+    rows = cluster_rows()[::3]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == expected(rows)
+    assert plans["shared"].count("Exchange (") == 1 and "doc_id" in frames["shared"].columns
+    assert "prefix" not in frames["known"].columns
+    # What only the meetings are made from is gone, the rest can be read.
+    for name, frame in frames.items():
+        gone = name in ("shingles", "shared", "met")
+        assert not any(Path(file.removeprefix("file:")).exists() for file in frame.inputFiles()) == gone, name
+
+
+def test_only_stored_tables_are_removed(spark, sf, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "own"))
+    with pytest.raises(ValueError):
+        session.discard(spark.read.parquet(str(tmp_path / "own")))
+    assert spark.read.parquet(str(tmp_path / "own")).count() == 3
+
+
+def test_parities_lose_no_pair_and_are_short():
+    choose = np.random.default_rng(6)
+    sets, shared = [], []
+    for size in choose.integers(5, 700, 200):
+        base = choose.integers(0, 2**63, size, dtype=np.uint64)
+        for part in (0.65, 0.85, 0.89, 0.9, 0.95, 1):
+            own = base[: max(1, round(part * size))]
+            sets.append(np.unique(np.concatenate([own, choose.integers(0, 2**63, size - len(own), dtype=np.uint64)])))
+            shared.append(part)
+    sizes, bits, odd = signature_tree._fine_start()([s.tobytes() for s in sets])
+    sizes = np.array(sizes)
+    # Pairs of different lengths are folded.
+    x, y = np.triu_indices(len(sets), 1)
+    near = y - x <= 8
+    x, y = x[near], y[near]
+    close = signature_tree.close_pairs(x, y, odd, sizes)
+    linked = [5 * (n := len(np.intersect1d(sets[i], sets[j]))) >= 4 * (len(sets[i]) + len(sets[j]) - n) for i, j in zip(x, y, strict=True)]
+    assert sum(linked) > 500 and close[np.array(linked)].all()
+    far = ~np.array(linked) & (sizes[x] > 100) & (np.array(shared)[x] == 0.65)
+    assert far.sum() > 500 and close[far].mean() < 0.01
+    large = sizes > 100
+    both = np.array([len(b) + len(o) for b, o in zip(bits, odd, strict=True)])
+    assert (both[large] <= 0.8 * sizes[large]).all()
