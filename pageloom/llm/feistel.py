@@ -21,7 +21,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from pageloom.llm.common import add_columns
+from pageloom.llm.common import add_columns, hold
 
 KEY = b"pageloom-pseudonyms"  # give a key of your own; this one is only good for tests
 ROUNDS = 8
@@ -306,6 +306,8 @@ def pseudonymize(documents: DataFrame, key: bytes = KEY, text: str = "text", bac
     """The documents with pseudonyms in their texts, and ``n_<kind>`` counts."""
 
     def start():
+        hold("pseudonyms")
+
         def work(texts):
             found = [(None, dict.fromkeys(KINDS, 0)) if t is None else replace_all(t, key, back) for t in texts]
             return [[f[0] for f in found], *[[f[1][kind] for f in found] for kind in KINDS]]

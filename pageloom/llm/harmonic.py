@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.llm.chunk_encoder import chunk_encoder, in_slices
+from pageloom.llm.chunk_encoder import SLICE_CHARS, chunk_encoder, in_slices
+from pageloom.llm.common import give_back
 
 CAPACITY = 2048
 END_ID = 1
@@ -105,11 +106,18 @@ class Packer:
 
 
 def pack(
-    documents: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, classes: int = CUT_CLASSES
+    documents: DataFrame,
+    path: str,
+    capacity: int = CAPACITY,
+    end_id: int = END_ID,
+    classes: int = CUT_CLASSES,
+    memo: int | None = None,
+    slice_chars: int = SLICE_CHARS,
 ) -> DataFrame:
     """One row per piece of ``(doc_id, text)``; ``ids`` are little-endian unsigned 32-bit integers.
 
-    The capacity must be a power of two.
+    The capacity must be a power of two. ``memo`` is the number of chunks whose ids a worker remembers, ``slice_chars``
+    how much it encodes at once; both take memory and save time.
     """
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("the capacity must be a power of two")
@@ -125,16 +133,17 @@ def pack(
             yield pa.RecordBatch.from_arrays([*columns[:3], cut, *columns[3:]], names=SCHEMA.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = chunk_encoder(path)
+        encoder = chunk_encoder(path, memo)
         packer = Packer(TaskContext.get().partitionId() << 40, capacity, classes)
         end = np.array([end_id], np.uint32)
         for batch in batches:
             docs, texts = batch["doc_id"].to_pylist(), [text or "" for text in batch["text"].to_pylist()]
-            for a, b in in_slices(texts):
+            for a, b in in_slices(texts, slice_chars):
                 rows: list[tuple] = []
                 for doc, ids in zip(docs[a:b], encoder.encode(texts[a:b]), strict=True):
                     rows += packer.add(doc, np.concatenate([ids, end]))
                 yield from pieces(rows)
         yield from pieces(packer.finish())
+        give_back()
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.llm.chunk_encoder import in_slices
-from pageloom.llm.common import add_columns, connected_components, drop_shuffles, hold, skew_join, small_batches
+from pageloom.llm.common import add_columns, connected_components, drop_shuffles, give_back, hold, skew_join, small_batches
 from pageloom.session import discard, materialize
 
 WORDS = 5
@@ -391,6 +391,7 @@ def _by_bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = rows.select([*TILE_KEY, "role", "rep", "component"]).filter(pa.array(keep))
         if kept.num_rows:
             yield from named_by_members(kept).to_batches()
+    give_back()
 
 
 def named_by_members(rows: pa.Table) -> pa.Table:
@@ -435,6 +436,7 @@ def _by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links = links_of(x[order], y[order], sets, groups.tolist())
         p, q = np.array(links, np.int64).reshape(-1, 2).T
         yield pa.RecordBatch.from_arrays([pa.array(groups[p]), pa.array(groups[q])], names=["a", "b"])
+    give_back()
 
 
 def _tile_by_tile(rows: DataFrame) -> DataFrame:

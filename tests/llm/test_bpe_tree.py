@@ -102,3 +102,10 @@ def test_memo_starts_afresh(monkeypatch):
     encoder = ChunkEncoder(load_tokenizer(PATH))
     for text in ("a b c d e f", "c d x y z", "", "a b"):
         assert encoder.encode([text])[0].tolist() == direct(text)
+
+
+def test_a_memo_of_its_own_is_kept_to():
+    encoder = ChunkEncoder(load_tokenizer(PATH), 5)
+    for text in (" ".join(f"w{i}x" for i in range(20)), "c d x y z", "", "a w1x b", "a b"):
+        assert encoder.encode([text])[0].tolist() == direct(text)
+        assert len(encoder) <= 5 + len(text.split())

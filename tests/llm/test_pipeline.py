@@ -4,7 +4,7 @@ import public_tokenizers
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from pageloom.llm import feistel
+from pageloom.llm import chunk_encoder, common, feistel, harmonic
 from pageloom.llm.chunk_encoder import load_tokenizer
 from tests.llm import cases
 from tests.llm.test_signature_tree import expected
@@ -47,3 +47,26 @@ def test_hard_documents(spark, sf):
         for _, stage in corpus_pipeline.STAGES:
             docs = spark.createDataFrame((out := stage(spark, docs, sf)).collect(), out.schema)
         assert docs.select("doc_id").distinct().count() > 0 or n == 0
+
+
+def test_stages_with_python_run_in_small_batches(spark, sf, monkeypatch):
+    docs = spark.createDataFrame(
+        [(i, "en" if i % 3 else None, None if i == 7 else f"w{i} one two a@b{i}.org three " * (i % 5)) for i in range(60)],
+        "doc_id long, lang string, text string",
+    )
+    before, seen = spark.conf.get(common.BATCH_CONF), {}
+    stored = corpus_pipeline.materialize
+    monkeypatch.setattr(corpus_pipeline, "materialize", lambda frame, name: (seen.update({name: spark.conf.get(common.BATCH_CONF)}), stored(frame, name))[1])
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+        assert spark.conf.get(common.BATCH_CONF) == before
+        # No work in Python is left for whoever reads the rows.
+        assert "MapIn" not in docs._jdf.queryExecution().executedPlan().toString(), name
+    assert seen == dict.fromkeys(("quality", "pseudonyms", "packing"), str(common.BATCH_ROWS))
+
+
+def test_packing_remembers_few_chunks(spark, sf, monkeypatch):
+    made, limits = harmonic.pack, []
+    monkeypatch.setattr(harmonic, "pack", lambda *a, **b: (limits.append(b), made(*a, **b))[1])
+    corpus_pipeline.packed_sequences(spark, spark.createDataFrame([(1, "a b")], "doc_id long, text string"), sf)
+    assert limits[0]["memo"] < chunk_encoder.MEMO and limits[0]["slice_chars"] < chunk_encoder.SLICE_CHARS
