@@ -125,3 +125,51 @@ def test_every_language_has_a_model(spark):
 @pytest.mark.parametrize(("word", "kind"), [("12", 0), ("!!", 1), ("abc", 2), ("ABC", 3), ("Abc", 4), ("a1", 5), ("ABC!!", 11), ("abcdefghijklmnop", 6)])
 def test_shapes(word, kind):
     assert kneser_ney.shape(word, None) == kind
+
+
+def words_of(choose, n):
+    """Words of which most are rare, in all shapes."""
+    return [choose.choice(("the", "of", f"w{choose.randrange(4000)}", f"Rare{'abc'[choose.randrange(3)]}{choose.randrange(9000)}!!")) for _ in range(n)]
+
+
+def test_every_word_of_trusted_texts_counts(spark, monkeypatch):
+    choose = random.Random(5)
+    rows = [(i, " ".join(words_of(choose, choose.randrange(1, 90))), "en") for i in range(400)] + [(400, "the never, seen 17 w1 of of w2 w2 never, never,", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.where("doc_id < 300").selectExpr("doc_id", "1 as quality", "0 as toxic")
+    held_out = {r["doc_id"] for r in docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(kneser_ney.HELD_OUT)) == 0).collect()}
+    trained = [["", *text.split()] for i, text, _ in rows if i < 300 and i not in held_out]
+    known = Counter(word for words in trained for word in words[1:])
+    assert len(known) > 3000
+    pairs = [pair for words in trained for pair in zip(words, words[1:])]
+    p = brute(pairs, len(known) + 1)
+    before = Counter(v for _, v in set(pairs))
+    shapes = Counter(kneser_ney.shape(word, None) for word, n in before.items() if n == 1)
+
+    seen = Counter(pairs)
+    shapes[kneser_ney.REPEATED] += sum(u == v and n == 1 for (u, v), n in seen.items())
+
+    def chance(u, v):
+        if v in known and (u != v or (u, v) in seen):
+            return p(u, v)
+        return p(u, "never") * (shapes[kneser_ney.shape(v, u)] + 1) / (sum(shapes.values()) + kneser_ney.SHAPES)
+
+    want = {i: -sum(math.log(chance(*pair)) for pair in zip(["", *text.split()], text.split())) / len(text.split()) for i, text, _ in rows}
+    # Stored in many parts, read for many groups and in small pieces, the same comes out.
+    for sizes in ({}, {"PART_CHARS": 1000, "GROUP_BYTES": 2000, "LOAD_ROWS": 7, "FLUSH": 50, "MEMO": 20}):
+        for name, size in sizes.items():
+            monkeypatch.setattr(kneser_ney, name, size)
+        model = kneser_ney.fit(docs, labels)
+        assert model.vocabulary == {"en": len(known), kneser_ney.OTHERS: 0}
+        scores = {r["doc_id"]: r["log_perplexity"] for r in kneser_ney.with_quality(docs, model).collect()}
+        assert all(math.isclose(scores[i], want[i], rel_tol=1e-9) for i in want)
+
+
+def test_invented_words_are_not_good(spark):
+    choose = random.Random(6)
+    rows = [(i, " ".join(words_of(choose, 60)), "en") for i in range(300)]
+    rows += [(300 + i, " ".join(f"invented{choose.randrange(10**9)}" for _ in range(60)), "en") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.where("doc_id < 300").selectExpr("doc_id", "1 as quality", "0 as toxic")
+    good = {r["doc_id"]: r["good"] for r in kneser_ney.with_quality(docs, kneser_ney.fit(docs, labels)).collect()}
+    assert sum(good[i] for i in range(300)) >= 290 and not any(good[i] for i in range(300, 320))
