@@ -1,10 +1,11 @@
+import random
 from collections import Counter
 
 import public_tokenizers
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from pageloom.llm import chunk_encoder, common, feistel, harmonic
+from pageloom.llm import chunk_encoder, common, feistel, harmonic, kneser_ney
 from pageloom.llm.chunk_encoder import load_tokenizer
 from tests.llm import cases
 from tests.llm.test_signature_tree import expected
@@ -70,3 +71,13 @@ def test_packing_remembers_few_chunks(spark, sf, monkeypatch):
     monkeypatch.setattr(harmonic, "pack", lambda *a, **b: (limits.append(b), made(*a, **b))[1])
     corpus_pipeline.packed_sequences(spark, spark.createDataFrame([(1, "a b")], "doc_id long, text string"), sf)
     assert limits[0]["memo"] < chunk_encoder.MEMO and limits[0]["slice_chars"] < chunk_encoder.SLICE_CHARS
+
+
+def test_words_that_no_trusted_text_has_do_not_pass(spark):
+    choose = random.Random(7)
+    rows = [(i, " ".join(f"w{choose.randrange(4000)}" for _ in range(80)), "en") for i in range(300)]
+    rows += [(300 + i, " ".join(f"x{choose.randrange(10**9)}" for _ in range(80)), "en") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = kneser_ney.fit(docs, docs.where("doc_id < 300").selectExpr("doc_id", "1 as quality", "0 as toxic"))
+    kept = {r["doc_id"] for r in kneser_ney.keep_good(docs, model).collect()}
+    assert max(kept) < 300 and len(kept) >= 290
