@@ -413,3 +413,38 @@ def test_wrong_shapes_and_repeated_ids_are_refused(spark, data, requests):
             search.search_batch(documents, vectors, requests[0].union(requests[0]), **limits)
     with pytest.raises(Exception, match="numbers and not|holds a null"):
         search.search_by_vector(documents, mixed, [1.0] * 4)
+
+
+def test_small_blocks_are_joined(spark, many):
+    _, queries, _ = many
+    blocks = streamed.store_queries(queries, 16)
+    alone = [(number, streamed.load_block(uri, None)) for number, uri in enumerate(blocks.files)]
+    sizes = {number: len(block.ids) for number, block in alone if block is not None}
+    dim = next(block for _, block in alone if block is not None).vectors.shape[1]
+    together = list(streamed.loaded_blocks(blocks, None, dim))
+    assert len(sizes) > 2 and len(together) == 1
+    numbers, block = together[0]
+    assert {number: int((numbers == number).sum()) for number in set(numbers.tolist())} == sizes
+    assert block.ids.tolist() == [i for _, b in alone if b is not None for i in b.ids.tolist()]
+    assert np.array_equal(block.vectors, np.concatenate([b.vectors for _, b in alone if b is not None]))
+
+
+def test_many_small_parts_are_written_by_few_tasks(spark, tmp_path, monkeypatch):
+    choose = np.random.default_rng(8)
+    rows = [(i, "ab"[i % 2], choose.random(4).tolist()) for i in range(1200)]
+    corpus = spark.createDataFrame(rows, "doc_id long, category string, embedding array<float>")
+    seen, cut = [], type(corpus).repartitionByRange
+    monkeypatch.setattr(type(corpus), "repartitionByRange", lambda self, n, *key: seen.append(n) or cut(self, n, *key))
+    pruned.write_pruned(corpus, str(tmp_path / "p"), part_rows=10, sample_rows=50)
+    assert seen == [max(spark.sparkContext.defaultParallelism, 2)]
+    store = pruned.read_pruned(spark, str(tmp_path / "p"))
+    sizes = [r["n"] for r in store.parts.groupBy("part").agg(F.sum("rows").alias("n")).collect()]
+    assert len(sizes) >= 120 and max(sizes) <= 10 and sum(sizes) == 1200
+
+
+def test_least_distances_are_at_most_the_distances():
+    vectors = np.random.default_rng(9).random((300, 8))
+    least = streamed._least_distances(vectors, vectors[5], (vectors * vectors).sum(axis=1))
+    exact = streamed.distances(vectors, vectors[5])
+    assert (least <= exact).all() and np.allclose(least, exact, atol=1e-4)
+    assert np.isnan(streamed._least_distances(np.full((1, 8), np.nan), vectors[5], np.array([np.nan]))).all()
